@@ -247,7 +247,19 @@ def official_labels(rows=None) -> list[str]:
     return list(dict.fromkeys(label for *_, label in rows or dims.brand_rows()))
 
 
-def typosquat_hit(host: Column, rows=None, strict: bool = True) -> Column:
+def with_labels(hosts: DataFrame) -> DataFrame:
+    """Adds the label of a host, `own`, and the one after look-alike characters are replaced, `plain`."""
+    bare = U.strip_www(F.col("host"))
+    return hosts.withColumns(
+        {"own": U.sld_label(bare), "plain": U.sld_label(U.normalize_confusables(bare))}
+    )
+
+
+def is_official(own: Column, plain: Column, rows=None) -> Column:
+    return (own == plain) & plain.isin(official_labels(rows))
+
+
+def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: bool = True) -> Column:
     """struct<kind, official> of the first official domain a host imitates, or null.
 
     Only the first domain of a label can be the first hit, so later ones are left out. With
@@ -260,33 +272,18 @@ def typosquat_hit(host: Column, rows=None, strict: bool = True) -> Column:
             seen.add(label)
             table.append({"domain": domain, "label": label})
     officials = _literal(table, "array<struct<domain:string,label:string>>")
-    bare = U.strip_www(host)
-    own = U.sld_label(bare)
-    plain = U.sld_label(U.normalize_confusables(bare))
-    labels = sorted(seen)
-    exempt = U.is_ip(bare) | ((own == plain) & plain.isin(labels))
+    exempt = U.is_ip(U.strip_www(host)) | is_official(own, plain, rows)
     if not strict:
-        exempt = exempt | own.isin(labels)
+        exempt = exempt | own.isin(sorted(seen))
 
-    pair = F.struct(own.alias("own"), plain.alias("plain"))
+    def confusable(o: Column) -> Column:
+        return (plain == o["label"]) & (own != o["label"])
 
-    def kind(p: Column, o: Column) -> Column:
-        return F.when((p["plain"] == o["label"]) & (p["own"] != o["label"]), F.lit("confusable")).when(
-            (p["plain"] != o["label"]) & U.is_typosquat(p["plain"], o["label"]), F.lit("typosquat")
-        )
+    def similar(o: Column) -> Column:
+        return (plain != o["label"]) & U.is_typosquat(plain, o["label"])
 
-    # The labels are computed once per host: a one-element array binds them for the inner search.
-    first = F.transform(
-        F.array(pair),
-        lambda p: F.try_element_at(
-            F.filter(
-                F.transform(
-                    F.filter(officials, lambda o: F.abs(F.length(o["label"]) - F.length(p["plain"])) <= 2),
-                    lambda o: F.struct(kind(p, o).alias("kind"), o["domain"].alias("official")),
-                ),
-                lambda h: h["kind"].isNotNull(),
-            ),
-            F.lit(1),
-        ),
-    )[0]
-    return F.when(~exempt, first)
+    first = F.try_element_at(F.filter(officials, lambda o: confusable(o) | similar(o)), F.lit(1))
+    kind = F.when(plain == first["label"], F.lit("confusable")).otherwise(F.lit("typosquat"))
+    return F.when(
+        ~exempt & first.isNotNull(), F.struct(kind.alias("kind"), first["domain"].alias("official"))
+    )

@@ -32,15 +32,18 @@ def redirect_targets(body: Column, page_host: Column) -> Column:
         hosts = F.transform(
             F.regexp_extract_all(body, F.lit("(?i)" + pattern), F.lit(1)), lambda t: U.host(F.trim(t))
         )
-        found.append(
-            F.transform(hosts, lambda h, v=vector: F.struct(F.lit(v).alias("vector"), h.alias("host")))
-        )
+        name = F.lit(vector).alias("vector")
+        found.append(F.transform(hosts, _pair_with(name)))
     away = F.filter(
         F.concat(*found), lambda r: (r["host"] != "") & (U.strip_www(r["host"]) != U.strip_www(page_host))
     )
     return F.when(body.rlike("(?i)location|refresh"), F.try_element_at(away, F.lit(1)))
 
 
+def _pair_with(name: Column) -> Callable[[Column], Column]:
+    return lambda h: F.struct(name, h.alias("host"))
+
+
 def external_form_host(forms: Column, inputs: Column, page_host: Column) -> Column:
     """Host of the first form that sends sensitive inputs to another host, else null."""
     sensitive = F.filter(inputs, lambda i: H.is_sensitive(i["type"], i["name"], i["id"]))
@@ -114,13 +117,23 @@ def host_signals(
     brands=None,
     strict: bool = True,
 ) -> DataFrame:
-    """Per host with at least one hit: `feed_hit`, `typosquat_hit`, `blocklist_host_hit`."""
+    """Per host with something to say: `feed_hit`, `typosquat_hit`, `official`, `blocklist_host_hit`."""
     on = _enabled(enabled)
     found = hosts
     if on("typosquatting"):
-        found = found.withColumn("typosquat_hit", M.typosquat_hit(F.col("host"), brands, strict))
+        found = M.with_labels(hosts).withColumns(
+            {
+                "typosquat_hit": M.typosquat_hit(F.col("host"), F.col("own"), F.col("plain"), brands, strict),
+                "official": M.is_official(F.col("own"), F.col("plain"), brands),
+            }
+        ).drop("own", "plain")
     else:
-        found = found.withColumn("typosquat_hit", F.lit(None).cast("struct<kind:string,official:string>"))
+        found = found.withColumns(
+            {
+                "typosquat_hit": F.lit(None).cast("struct<kind:string,official:string>"),
+                "official": F.lit(False),
+            }
+        )
     if feed is not None and on("domain_blacklist"):
         found = found.join(M.feed_hits(hosts, feed), "host", "left")
     else:
@@ -132,6 +145,7 @@ def host_signals(
         found = found.withColumn("blocklist_host_hit", F.lit(None).cast("boolean"))
     return found.filter(
         F.col("typosquat_hit").isNotNull()
+        | F.col("official")
         | F.col("feed_hit").isNotNull()
         | F.col("blocklist_host_hit").isNotNull()
     )
@@ -220,8 +234,6 @@ def rule_form_action() -> Verdict:
 def rule_typosquat() -> Verdict:
     """R7."""
     hit, bare = F.col("typosquat_hit"), U.strip_www(F.col("host"))
-    own = U.sld_label(bare)
-    official = (own == U.sld_label(U.normalize_confusables(bare))) & own.isin(M.official_labels())
     return _verdict(
         hit.isNotNull(),
         F.when(
@@ -229,7 +241,7 @@ def rule_typosquat() -> Verdict:
             F.format_string("Domain '%s' uses confusable characters to impersonate '%s'", bare, hit["official"]),
         ).otherwise(F.format_string("Domain '%s' appears to be a typosquat of '%s'", bare, hit["official"])),
         F.when(U.is_ip(bare), F.lit("IP address — typosquatting check not applicable"))
-        .when(official, F.lit("Domain label is a known official brand (not a typosquat of another brand)"))
+        .when(F.col("official"), F.lit("Domain label is a known official brand (not a typosquat of another brand)"))
         .otherwise(F.lit("No typosquatting pattern detected")),
     )
 
@@ -362,7 +374,7 @@ def score_rows(
     book, on = book or RuleBook(), _enabled(enabled)
     passthrough = [
         c for c in rows.columns
-        if c not in ("blocklist_host_hit", "blocklist_url_hit", "feed_hit", "typosquat_hit", "brand_hit",
+        if c not in ("blocklist_host_hit", "blocklist_url_hit", "feed_hit", "typosquat_hit", "official", "brand_hit",
                      "redirect_hit", "form_hit", "has_dom", "blocklisted", "blocklist_configured")
     ]
     ordered = [r for r in book.rules if r.rule_type != "contextual"]

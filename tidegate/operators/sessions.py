@@ -120,7 +120,7 @@ def _cover(first: Column, end: Column) -> Column:
     """The fewest power-of-two blocks of slots that make up [first, end): at most two per level."""
 
     def at(level: Column) -> Column:
-        size = F.shiftleft(F.lit(1).cast("long"), level)
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
         low, high = F.ceil(first / size), F.floor(end / size)
         left = F.when((low < high) & (low % 2 == 1), low)
         right = F.when((low < high) & (high % 2 == 1), high - 1)
@@ -162,7 +162,7 @@ def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int
     slots = asked.select(*key, "slot").distinct()
     levels = F.transform(
         F.sequence(F.lit(0), F.lit(_LEVELS - 1)),
-        lambda level: F.struct(level.alias("level"), F.shiftright("slot", level).alias("block")),
+        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("slot"), level).alias("block")),
     )
     spanning = (
         slots.select(*key, "slot", F.inline(levels))
