@@ -29,6 +29,10 @@ IPV6 = (
     r")(?:%[^%]+)?"
 )
 
+_PLAIN_SITE = r"^https?://[^/?#\s]+"
+_PLAIN_PATH = r"^(?:/[^/?#\s]+)+/?(?:\?[^#\s]+)?(?:#\S+)?$"
+_PLAIN_URL = r"^https?://[^/?#\s]+(?:/[^?#\s]*)?(?:\?[^#\s]+)?(?:#\S+)?$"
+
 # Schemes whose references resolve against a base.
 HIERARCHICAL = """
 ftp http gopher nntp imap wais file https shttp mms prospero rtsp rtsps rtspu sftp svn svn+ssh ws wss
@@ -94,6 +98,13 @@ def domain_matches(name: Column, domain: Column) -> Column:
     return (name == domain) | F.endswith(name, F.concat(F.lit("."), domain))
 
 
+def among(col: Column, words: list[str]) -> Column:
+    """Membership: a short list is one array literal, a long one a hash set."""
+    if len(words) > 256:
+        return col.isin(words)
+    return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), col)
+
+
 def host_suffixes(name: Column, min_labels: int = 1) -> Column:
     """Every suffix of a host made of whole labels, longest first, down to `min_labels` labels."""
     parts = F.split(name, r"\.")
@@ -120,7 +131,7 @@ def sld_label(name: Column, suffixes: list[str] | None = None) -> Column:
     parts = F.split(name, r"\.")
 
     def is_suffix(s: Column) -> Column:
-        hit = s.isin(plain)
+        hit = among(s, plain)
         if wild:
             hit = hit | F.regexp_replace(s, r"^[^.]*\.", "").isin(wild)
         return hit & ~s.isin(kept) if kept else hit
@@ -201,7 +212,16 @@ def join_url(base: Column, reference: Column) -> Column:
         F.when(own_query != "", F.concat(F.lit("?"), own_query)).otherwise(F.lit("")),
         F.when(fragment(ref) != "", F.concat(F.lit("#"), fragment(ref))).otherwise(F.lit("")),
     )
-    return F.when(reference == "", base).when(foreign, reference).otherwise(url)
+    # Most references are plain absolute paths or whole URLs; they skip the segment work.
+    site = F.regexp_extract(base, _PLAIN_SITE, 0)
+    plain_path = reference.rlike(_PLAIN_PATH) & ~F.contains(reference, F.lit("/.")) & (site != "")
+    return (
+        F.when(reference == "", base)
+        .when(plain_path, F.concat(site, reference))
+        .when(reference.rlike(_PLAIN_URL), reference)
+        .when(foreign, reference)
+        .otherwise(url)
+    )
 
 
 def joined_host(base: Column, reference: Column) -> Column:

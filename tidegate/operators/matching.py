@@ -256,7 +256,24 @@ def with_labels(hosts: DataFrame) -> DataFrame:
 
 
 def is_official(own: Column, plain: Column, rows=None) -> Column:
-    return (own == plain) & plain.isin(official_labels(rows))
+    return (own == plain) & U.among(plain, official_labels(rows))
+
+
+def _first_imitated(officials: Column, p: Column) -> Column:
+    hits = F.filter(
+        officials,
+        lambda o: F.when(p["plain"] == o["label"], p["own"] != o["label"]).otherwise(
+            U.is_typosquat(p["plain"], o["label"])
+        ),
+    )
+    named = F.transform(
+        F.slice(hits, 1, 1),
+        lambda o: F.struct(
+            F.when(p["plain"] == o["label"], F.lit("confusable")).otherwise(F.lit("typosquat")).alias("kind"),
+            o["domain"].alias("official"),
+        ),
+    )
+    return F.try_element_at(named, F.lit(1))
 
 
 def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: bool = True) -> Column:
@@ -274,16 +291,9 @@ def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: b
     officials = _literal(table, "array<struct<domain:string,label:string>>")
     exempt = U.is_ip(U.strip_www(host)) | is_official(own, plain, rows)
     if not strict:
-        exempt = exempt | own.isin(sorted(seen))
+        exempt = exempt | U.among(own, sorted(seen))
 
-    def confusable(o: Column) -> Column:
-        return (plain == o["label"]) & (own != o["label"])
-
-    def similar(o: Column) -> Column:
-        return (plain != o["label"]) & U.is_typosquat(plain, o["label"])
-
-    first = F.try_element_at(F.filter(officials, lambda o: confusable(o) | similar(o)), F.lit(1))
-    kind = F.when(plain == first["label"], F.lit("confusable")).otherwise(F.lit("typosquat"))
-    return F.when(
-        ~exempt & first.isNotNull(), F.struct(kind.alias("kind"), first["domain"].alias("official"))
-    )
+    # A one-element array binds the labels, so that the search does not derive them per official row.
+    pair = F.struct(own.alias("own"), plain.alias("plain"))
+    first = F.transform(F.array(pair), lambda p: _first_imitated(officials, p))[0]
+    return F.when(~exempt, first)

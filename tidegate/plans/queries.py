@@ -23,6 +23,7 @@ from tidegate.plans import oracle as O
 from tidegate.plans import views as V
 from tidegate.session import scratch_path
 from tidegate.sources import dims, readers, writers
+from tidegate.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1263,6 +1264,119 @@ def q4(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ X streaming
+def _stream_source(spark: SparkSession, name: str, rows: DataFrame, fmt: str) -> str:
+    """Rows as three files, so that a stream over them takes several batches."""
+    path = scratch_path(spark, name)
+    rows.repartition(3).write.format(fmt).save(path)
+    return path
+
+
+def _traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stream_source(spark, "stream-traffic", V.traffic(spark, sf_dir), "json")
+    return J.read_traffic_stream(spark, path, max_files=2)
+
+
+@query("x1_streaming_scoring", O.scoring(f"SELECT {SCORED_COLUMNS} FROM scored"))
+def x1(spark, sf_dir):
+    out = scratch_path(spark, "stream-scored")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _scored_columns(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    J.score_stream(
+        _traffic_stream(spark, sf_dir), sink, scratch_path(spark, "checkpoint"), feed(spark, sf_dir), blocklist(spark, sf_dir)
+    ).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query(
+    "x2_streaming_audit",
+    O.scoring(
+        """SELECT l.request_id * 100 + l.ordinal AS analysis_id, l.request_id AS event_id, l.rule_id AS rule_code, l.score AS rule_score,
+                  l.explanation AS details, upper(s.decision[1]) || s.decision[2:] AS guard_action
+           FROM long l JOIN scored s USING (request_id)"""
+    ),
+)
+def x2(spark, sf_dir):
+    out = scratch_path(spark, "stream-audit")
+    J.write_stream(
+        _traffic_stream(spark, sf_dir), out, scratch_path(spark, "checkpoint"),
+        feed=feed(spark, sf_dir), blocklist=blocklist(spark, sf_dir),
+    ).awaitTermination()
+    events = J.read_audit(spark, out, "events").select("event_id", "guard_action")
+    return J.read_audit(spark, out, "rules_analysis").join(events, "event_id")
+
+
+CLOSED_SQL = O.from_views(
+    f"""SELECT session_id, {O.iso_us('start_time')} AS start_time, {O.iso_us('end_time')} AS end_time, environment, agent_name,
+               CASE next_action WHEN 'start' THEN {O.q(S.SUPERSEDED)} WHEN 'stop' THEN {O.q(S.STOPPED)} END AS end_reason,
+               replaced_session_id
+        FROM rotated WHERE end_time IS NOT NULL""",
+    "lifecycle", extra=ROTATED,
+)
+
+
+def _lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves in three files by time: both variants take them in order."""
+    path = scratch_path(spark, "stream-moves")
+    moves = V.load(spark, sf_dir, "lifecycle").filter("action <> 'request'")
+    for part, (low, high) in enumerate((("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2030-01-01"))):
+        moves.filter(F.col("ts") >= low).filter(F.col("ts") < high).coalesce(1).write.mode("append").parquet(f"{path}/p{part}")
+    return spark.readStream.schema(schemas.LIFECYCLE).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def _shown_sessions(df: DataFrame) -> DataFrame:
+    return df.withColumns({"start_time": iso_us("start_time"), "end_time": iso_us("end_time")}).select(
+        "session_id", "start_time", "end_time", "environment", "agent_name", "end_reason", "replaced_session_id"
+    )
+
+
+@query("x3_stateful_rotation", CLOSED_SQL)
+def x3(spark, sf_dir):
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, J.ROCKSDB)
+    try:
+        out = scratch_path(spark, "stream-sessions")
+        closed = J.session_stream(_lifecycle_stream(spark, sf_dir))
+        (
+            closed.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    finally:
+        spark.conf.set(setting, before)
+    return _shown_sessions(spark.read.parquet(out))
+
+
+@query("x3_rotation_in_batches", CLOSED_SQL)
+def x3_batches(spark, sf_dir):
+    out = scratch_path(spark, "stream-rotation")
+    J.rotate_stream(_lifecycle_stream(spark, sf_dir), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return _shown_sessions(spark.read.parquet(f"{out}/closed"))
+
+
+@query("x4_streaming_stats", O.from_views(STATS_SQL, "sessions", "guard_events"))
+def x4(spark, sf_dir):
+    rows = guard_events(spark, sf_dir).select("event_id", "session_id", "guard_action", "risk_score")
+    source = _stream_source(spark, "stream-events", rows, "parquet")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = scratch_path(spark, "stream-stats")
+    (
+        J.stats_stream(stream).writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/latest"))
+        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    stats = spark.read.parquet(f"{out}/latest")
+    return (
+        sessions(spark, sf_dir).select("session_id").join(stats, "session_id", "left")
+        .fillna(0, ["total_events", "allow", "warn", "block"]).fillna(0.0, ["average_risk_score"])
+        .withColumn("average_risk_score", F.round("average_risk_score", 9))
+    )
+
+
 # ------------------------------------------------------------------ flagship
 FLAGSHIP_SQL = O.scoring(
     """SELECT host, decision, count(*) AS requests, round(avg(risk_score), 6) AS average_risk,
