@@ -56,17 +56,23 @@ def keep_tags(tokens: Column, *names: str) -> Column:
 
 
 def attributes(raw: Column) -> Column:
-    """Attribute texts of an opening tag, in order."""
+    """array<struct<name, value>> of an opening tag, in order; a bare attribute has an empty value."""
+
+    def pair(a: Column) -> Column:
+        value = F.regexp_extract(a, r"(?s)^[^\s=]+\s*=+\s*(.*)$", 1)
+        bare = F.regexp_replace(value, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+        return F.struct(
+            F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"),
+            decode_entities(bare, attribute=True).alias("value"),
+        )
+
     rest = F.regexp_replace(raw, r"^<[a-zA-Z][^\s/>]*|>$", "")
-    return F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(0))
+    return F.transform(F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(0)), pair)
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """Value of the last attribute of that name: null when absent, empty when it has no value."""
-    hits = F.filter(attrs, lambda a: a.rlike(rf"(?i)^{name}(?=\s|=|$)"))
-    raw = F.regexp_extract(F.try_element_at(hits, F.lit(-1)), r"(?s)^[^\s=]+\s*=+\s*(.*)$", 1)
-    bare = F.regexp_replace(raw, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
-    return decode_entities(bare, attribute=True)
+    """Value of the last attribute of that name, null when absent."""
+    return F.try_element_at(F.filter(attrs, lambda a: a["name"] == name), F.lit(-1))["value"]
 
 
 def title(live_html: Column) -> Column:

@@ -35,13 +35,12 @@ _FORM_TAGS = r"(?i)^(?:<form|</form|<input)(?=[\s/>])"
 
 
 def _form_struct(entry: Column, entries: Column, url: Column) -> Column:
-    attrs = H.attributes(entry["raw"])
-    action = F.coalesce(H.attribute(attrs, "action"), F.lit(""))
+    action = F.coalesce(H.attribute(entry["attrs"], "action"), F.lit(""))
     close = F.filter(entries, lambda e: (e["kind"] == "close") & (e["form_no"] == entry["form_no"]))
     return F.struct(
         entry["form_no"].alias("form_no"),
         action.alias("action"),
-        F.lower(F.coalesce(H.attribute(attrs, "method"), F.lit("get"))).alias("method"),
+        F.lower(F.coalesce(H.attribute(entry["attrs"], "method"), F.lit("get"))).alias("method"),
         U.joined_host(url, action).alias("action_host"),
         entry["pos"].alias("from_pos"),
         F.coalesce(F.try_element_at(close, F.lit(1))["pos"], F.lit(2**31 - 1)).alias("to_pos"),
@@ -49,7 +48,7 @@ def _form_struct(entry: Column, entries: Column, url: Column) -> Column:
 
 
 def _input_struct(entry: Column) -> Column:
-    attrs = H.attributes(entry["raw"])
+    attrs = entry["attrs"]
     return F.struct(
         entry["form_no"].alias("form_no"),
         entry["pos"].alias("pos"),
@@ -66,19 +65,26 @@ def with_forms(pages: DataFrame, url: str = "url") -> DataFrame:
     its innermost form.
     """
     entries = F.col("form_entries")
+    nested = H.nest_forms(F.filter("tokens", lambda t: t.rlike(_FORM_TAGS)))
+    parsed = F.transform(
+        nested,
+        lambda e: F.struct(
+            e["kind"].alias("kind"),
+            e["form_no"].alias("form_no"),
+            e["pos"].alias("pos"),
+            F.when(e["kind"] != "close", H.attributes(e["raw"])).alias("attrs"),
+        ),
+    )
     return (
-        pages.withColumn(
-            "form_entries", H.nest_forms(F.filter("tokens", lambda t: t.rlike(_FORM_TAGS)))
-        )
-        .withColumn(
-            "forms",
-            F.transform(
-                F.filter(entries, lambda e: e["kind"] == "open"),
-                lambda e: _form_struct(e, entries, F.col(url)),
-            ),
-        )
-        .withColumn(
-            "inputs", F.transform(F.filter(entries, lambda e: e["kind"] == "input"), _input_struct)
+        pages.withColumn("form_entries", parsed)
+        .withColumns(
+            {
+                "forms": F.transform(
+                    F.filter(entries, lambda e: e["kind"] == "open"),
+                    lambda e: _form_struct(e, entries, F.col(url)),
+                ),
+                "inputs": F.transform(F.filter(entries, lambda e: e["kind"] == "input"), _input_struct),
+            }
         )
         .drop("form_entries")
     )
@@ -160,8 +166,7 @@ def page_scripts(pages: DataFrame, key: str = "page_id", html: str = "html", url
 def _meta_entries(tokens: Column) -> Column:
     """array<struct<key, value>> with the last of equal keys kept."""
 
-    def entry(raw: Column) -> Column:
-        attrs = H.attributes(raw)
+    def entry(attrs: Column) -> Column:
         name = F.coalesce(
             F.nullif(H.attribute(attrs, "name"), F.lit("")), H.attribute(attrs, "http-equiv"), F.lit("")
         )
@@ -170,7 +175,8 @@ def _meta_entries(tokens: Column) -> Column:
             F.coalesce(H.attribute(attrs, "content"), F.lit("")).alias("value"),
         )
 
-    named = F.filter(F.transform(H.keep_tags(tokens, "meta"), entry), lambda e: e["key"] != "")
+    parsed = F.transform(H.keep_tags(tokens, "meta"), H.attributes)
+    named = F.filter(F.transform(parsed, entry), lambda e: e["key"] != "")
     keys = F.transform(named, lambda e: e["key"])
     return F.filter(named, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
 

@@ -44,14 +44,13 @@ def _pair_with(name: Column) -> Callable[[Column], Column]:
     return lambda h: F.struct(name, h.alias("host"))
 
 
-def external_form_host(forms: Column, inputs: Column, page_host: Column) -> Column:
+def external_form_host(forms: Column, hot_inputs: Column, page_host: Column) -> Column:
     """Host of the first form that sends sensitive inputs to another host, else null."""
-    sensitive = F.filter(inputs, lambda i: H.is_sensitive(i["type"], i["name"], i["id"]))
     away = F.filter(
         forms,
         lambda f: (f["action_host"] != "")
         & (U.strip_www(f["action_host"]) != U.strip_www(page_host))
-        & F.exists(sensitive, lambda i: P.encloses(f, i["pos"])),
+        & F.exists(hot_inputs, lambda i: P.encloses(f, i["pos"])),
     )
     return F.try_element_at(away, F.lit(1))["action_host"]
 
@@ -85,12 +84,13 @@ def page_signals(
     )
     has_inputs = F.col("live_html").rlike("(?i)<input")
     tokens = live.withColumn("tokens", F.when(has_inputs, H.tag_tokens(F.col("live_html"))))
-    found = P.with_forms(tokens)
-    sensitive = F.coalesce(
-        F.exists("inputs", lambda i: H.is_sensitive(i["type"], i["name"], i["id"])), F.lit(False)
-    )
-    signals = found.withColumn("sensitive", sensitive).withColumn(
-        "title", F.coalesce(H.title(F.col("live_html")), F.lit(""))
+    hot = F.filter("inputs", lambda i: H.is_sensitive(i["type"], i["name"], i["id"]))
+    signals = (
+        P.with_forms(tokens)
+        .withColumns(
+            {"hot_inputs": hot, "title": F.coalesce(H.title(F.col("live_html")), F.lit(""))}
+        )
+        .withColumn("sensitive", F.coalesce(F.size("hot_inputs"), F.lit(0)) > 0)
     )
     title, host = F.col("title"), F.col("host")
     out = [*keep, "scheme", "host", F.col("raw_body").isNotNull().alias("has_dom"), "title", "sensitive"]
@@ -103,7 +103,7 @@ def page_signals(
     if on("external_form_action"):
         out.append(
             F.when(
-                F.col("sensitive"), external_form_host(F.col("forms"), F.col("inputs"), host)
+                F.col("sensitive"), external_form_host(F.col("forms"), F.col("hot_inputs"), host)
             ).alias("form_hit")
         )
     return signals.select(*out)

@@ -487,14 +487,14 @@ def j6(spark, sf_dir):
 @query(
     "j7_sessions_with_risk",
     O.from_views(
-        """SELECT s.session_id, s.agent_name, s.user_id, round(coalesce(avg(e.risk_score), 0), 9) AS average_risk_score
+        """SELECT s.session_id, s.agent_name, s.user_id, round(coalesce(avg(e.risk_score), 0), 12) AS average_risk_score
            FROM sessions s LEFT JOIN guard_events e ON e.session_id = s.session_id GROUP BY ALL""",
         "sessions", "guard_events",
     ),
 )
 def j7(spark, sf_dir):
     return A.sessions_with_risk(sessions(spark, sf_dir), guard_events(spark, sf_dir)).select(
-        "session_id", "agent_name", "user_id", F.round("average_risk_score", 9).alias("average_risk_score")
+        "session_id", "agent_name", "user_id", F.round("average_risk_score", 12).alias("average_risk_score")
     )
 
 
@@ -803,14 +803,14 @@ def e1(spark, sf_dir):
 # ------------------------------------------------------------------ A aggregations
 STATS_SQL = """SELECT s.session_id, count(e.event_id) AS total_events, count(*) FILTER (WHERE e.guard_action = 'Allow') AS allow,
        count(*) FILTER (WHERE e.guard_action = 'Warn') AS warn, count(*) FILTER (WHERE e.guard_action = 'Block') AS block,
-       round(coalesce(avg(e.risk_score), 0), 9) AS average_risk_score
+       round(coalesce(avg(e.risk_score), 0), 12) AS average_risk_score
 FROM sessions s LEFT JOIN guard_events e ON e.session_id = s.session_id GROUP BY s.session_id"""
 
 
 @query("a1_session_stats", O.from_views(STATS_SQL, "sessions", "guard_events"))
 def a1(spark, sf_dir):
     return A.session_stats(sessions(spark, sf_dir), guard_events(spark, sf_dir)).withColumn(
-        "average_risk_score", F.round("average_risk_score", 9)
+        "average_risk_score", F.round("average_risk_score", 12)
     )
 
 
@@ -1373,13 +1373,13 @@ def x4(spark, sf_dir):
     return (
         sessions(spark, sf_dir).select("session_id").join(stats, "session_id", "left")
         .fillna(0, ["total_events", "allow", "warn", "block"]).fillna(0.0, ["average_risk_score"])
-        .withColumn("average_risk_score", F.round("average_risk_score", 9))
+        .withColumn("average_risk_score", F.round("average_risk_score", 12))
     )
 
 
 # ------------------------------------------------------------------ flagship
 FLAGSHIP_SQL = O.scoring(
-    """SELECT host, decision, count(*) AS requests, round(avg(risk_score), 6) AS average_risk,
+    """SELECT host, decision, count(*) AS requests, round(avg(risk_score), 12) AS average_risk,
               count(*) FILTER (WHERE hard_block_triggered) AS hard_blocks FROM scored GROUP BY host, decision"""
 )
 
@@ -1392,7 +1392,7 @@ def flagship(spark, sf_dir):
         .groupBy("host", "decision")
         .agg(
             F.count("*").alias("requests"),
-            F.round(F.avg("risk_score"), 6).alias("average_risk"),
+            F.round(F.avg("risk_score"), 12).alias("average_risk"),
             F.count_if("hard_block_triggered").alias("hard_blocks"),
         )
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +43,33 @@ def audit_analyses(scored: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def scored_once(scored: DataFrame) -> Iterator[DataFrame]:
+    """Keeps the thin scored rows on disk while several sinks read them; lost parts are recomputed."""
+    kept = scored.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def write_audit_tables(scored: DataFrame, path: str, mode: str = "append") -> None:
     """Writes `events` (by day) and `rules_analysis` below `path`.
 
     Rows of one day go to one partition folder without a shuffle; `maxRecordsPerFile` bounds files.
     """
-    (
-        audit_events(scored)
-        .withColumn("event_date", F.to_date("timestamp"))
-        .write.mode(mode)
-        .option("maxRecordsPerFile", 5_000_000)
-        .partitionBy("event_date")
-        .parquet(f"{path}/events")
-    )
-    audit_analyses(scored).write.mode(mode).option("maxRecordsPerFile", 20_000_000).parquet(
-        f"{path}/rules_analysis"
-    )
+    with scored_once(scored) as kept:
+        (
+            audit_events(kept)
+            .withColumn("event_date", F.to_date("timestamp"))
+            .write.mode(mode)
+            .option("maxRecordsPerFile", 5_000_000)
+            .partitionBy("event_date")
+            .parquet(f"{path}/events")
+        )
+        audit_analyses(kept).write.mode(mode).option("maxRecordsPerFile", 20_000_000).parquet(
+            f"{path}/rules_analysis"
+        )
 
 
 def decision_records(scored: DataFrame) -> DataFrame:

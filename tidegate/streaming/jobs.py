@@ -74,9 +74,10 @@ def audit_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(scored: DataFrame, batch_id: int) -> None:
         part = f"batch_id={batch_id}"
-        writers.audit_events(scored).write.mode("overwrite").parquet(f"{path}/events/{part}")
-        writers.audit_analyses(scored).write.mode("overwrite").parquet(f"{path}/rules_analysis/{part}")
-        writers.write_audit_log(writers.decision_records(scored), f"{path}/log/{part}", mode="overwrite")
+        with writers.scored_once(scored) as kept:
+            writers.audit_events(kept).write.mode("overwrite").parquet(f"{path}/events/{part}")
+            writers.audit_analyses(kept).write.mode("overwrite").parquet(f"{path}/rules_analysis/{part}")
+            writers.write_audit_log(writers.decision_records(kept), f"{path}/log/{part}", mode="overwrite")
 
     return write
 
