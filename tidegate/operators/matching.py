@@ -24,22 +24,35 @@ def distinct_hosts(traffic: DataFrame, url: str = "url") -> DataFrame:
 
 
 # ------------------------------------------------------------------ threat feed
-def feed_hits(hosts: DataFrame, feed: DataFrame) -> DataFrame:
-    """Hosts with a listed suffix of two labels or more; the longest suffix wins."""
+def listed_domains(feed: DataFrame) -> DataFrame:
+    """One row per listed domain: suffix, source (the first by the fixed source order)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in dims.FEED_SOURCE_ORDER]), F.col("source"))
     order = F.when(rank > 0, rank).otherwise(F.lit(len(dims.FEED_SOURCE_ORDER) + 1))
-    listed = (
-        feed.filter("listed")
-        .groupBy(F.lower("domain").alias("candidate"))
+    return (
+        feed.filter(F.col("listed") & F.contains("domain", F.lit(".")))
+        .groupBy(F.lower("domain").alias("suffix"))
         .agg(F.min_by("source", F.struct(order, F.col("source"))).alias("source"))
     )
-    suffixes = hosts.select(
-        "host", F.posexplode(U.host_suffixes(U.strip_www(F.col("host")), 2)).alias("pos", "candidate")
-    )
+
+
+def host_suffix_rows(hosts: DataFrame) -> DataFrame:
+    """host, pos, suffix: the suffixes of each host, longest first."""
+    return hosts.select("host", F.posexplode(U.host_suffixes(U.strip_www(F.col("host")))).alias("pos", "suffix"))
+
+
+def longest_listed() -> Column:
+    """Aggregate: struct<candidate, source> of the longest listed suffix of a host."""
+    hit = F.struct(F.col("suffix").alias("candidate"), "source")
+    return F.min_by(hit, F.when(F.col("source").isNotNull(), F.col("pos")))
+
+
+def feed_hits(hosts: DataFrame, feed: DataFrame) -> DataFrame:
+    """Hosts with a listed suffix of two labels or more; the longest suffix wins."""
     return (
-        suffixes.join(listed, "candidate")
+        host_suffix_rows(hosts)
+        .join(listed_domains(feed), "suffix")
         .groupBy("host")
-        .agg(F.min_by(F.struct("candidate", "source"), "pos").alias("feed_hit"))
+        .agg(longest_listed().alias("feed_hit"))
     )
 
 
@@ -155,16 +168,19 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^[^?]*\?(.*)$", 1)
 
 
-def blocklist_host_hits(hosts: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """J3, host rules: hosts equal to or below an entry."""
-    rules = (
+def host_rules(blocklist: DataFrame) -> DataFrame:
+    """Suffixes that block a host."""
+    return (
         classify_blocklist(blocklist)
         .filter("kind = 'host' and rule_host <> ''")
         .select(F.col("rule_host").alias("suffix"))
         .distinct()
     )
-    suffixes = hosts.select("host", F.explode(U.host_suffixes(U.strip_www(F.col("host")))).alias("suffix"))
-    return suffixes.join(rules, "suffix", "left_semi").select("host").distinct()
+
+
+def blocklist_host_hits(hosts: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """J3, host rules: hosts equal to or below an entry."""
+    return host_suffix_rows(hosts).join(host_rules(blocklist), "suffix", "left_semi").select("host").distinct()
 
 
 def with_blocklist_url_hit(rows: DataFrame, blocklist: DataFrame, url: str = "url") -> DataFrame:

@@ -117,37 +117,47 @@ def host_signals(
     brands=None,
     strict: bool = True,
 ) -> DataFrame:
-    """Per host with something to say: `feed_hit`, `typosquat_hit`, `official`, `blocklist_host_hit`."""
+    """Per host with something to say: `feed_hit`, `typosquat_hit`, `official`, `blocklist_host_hit`.
+
+    One pass: hosts are exploded into suffixes, both lists join on the suffix, and the grouping by
+    host reuses the partitioning of the distinct hosts where the lists are small.
+    """
     on = _enabled(enabled)
+    use_feed = feed is not None and on("domain_blacklist")
+    use_blocks = blocklist is not None and on("custom_blacklist")
+    none_hit, none_typo = "struct<candidate:string,source:string>", "struct<kind:string,official:string>"
     found = hosts
+    if use_feed or use_blocks:
+        rows, aggregates = M.host_suffix_rows(hosts), []
+        if use_feed:
+            rows = rows.join(M.listed_domains(feed), "suffix", "left")
+            aggregates.append(M.longest_listed().alias("feed_hit"))
+        if use_blocks:
+            blocks = M.host_rules(blocklist).withColumn("blocks", F.lit(True))
+            rows = rows.join(blocks, "suffix", "left")
+            aggregates.append(F.bool_or("blocks").alias("blocklist_host_hit"))
+        found = rows.groupBy("host").agg(*aggregates)
+    extra = {}
+    if not use_feed:
+        extra["feed_hit"] = F.lit(None).cast(none_hit)
+    if not use_blocks:
+        extra["blocklist_host_hit"] = F.lit(None).cast("boolean")
     if on("typosquatting"):
-        found = M.with_labels(hosts).withColumns(
-            {
-                "typosquat_hit": M.typosquat_hit(F.col("host"), F.col("own"), F.col("plain"), brands, strict),
-                "official": M.is_official(F.col("own"), F.col("plain"), brands),
-            }
-        ).drop("own", "plain")
+        found = M.with_labels(found)
+        own, plain = F.col("own"), F.col("plain")
+        extra["typosquat_hit"] = M.typosquat_hit(F.col("host"), own, plain, brands, strict)
+        extra["official"] = M.is_official(own, plain, brands)
     else:
-        found = found.withColumns(
-            {
-                "typosquat_hit": F.lit(None).cast("struct<kind:string,official:string>"),
-                "official": F.lit(False),
-            }
+        extra |= {"typosquat_hit": F.lit(None).cast(none_typo), "official": F.lit(False)}
+    return (
+        found.withColumns(extra)
+        .drop("own", "plain")
+        .filter(
+            F.col("typosquat_hit").isNotNull()
+            | F.col("official")
+            | F.col("feed_hit").isNotNull()
+            | F.col("blocklist_host_hit").isNotNull()
         )
-    if feed is not None and on("domain_blacklist"):
-        found = found.join(M.feed_hits(hosts, feed), "host", "left")
-    else:
-        found = found.withColumn("feed_hit", F.lit(None).cast("struct<candidate:string,source:string>"))
-    if blocklist is not None and on("custom_blacklist"):
-        hits = M.blocklist_host_hits(hosts, blocklist).withColumn("blocklist_host_hit", F.lit(True))
-        found = found.join(hits, "host", "left")
-    else:
-        found = found.withColumn("blocklist_host_hit", F.lit(None).cast("boolean"))
-    return found.filter(
-        F.col("typosquat_hit").isNotNull()
-        | F.col("official")
-        | F.col("feed_hit").isNotNull()
-        | F.col("blocklist_host_hit").isNotNull()
     )
 
 
