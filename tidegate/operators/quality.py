@@ -20,20 +20,20 @@ _INTEGER = r"^\s*[+-]?\d+\s*$"
 
 @dataclass(frozen=True)
 class Field:
-    """One field of the parsed payload."""
+    """One field of a parsed payload: `bound` holds its type name and its variant value."""
 
-    name: str
+    bound: Column
 
     def _get(self, kind: str) -> Column:
-        return F.try_variant_get("_v", f"$.{self.name}", kind)
+        return F.try_variant_get(self.bound["value"], "$", kind)
 
     @property
-    def present(self) -> Column:
-        return self._get("variant").isNotNull()
+    def kind(self) -> Column:
+        return self.bound["kind"]
 
     @property
-    def kind(self) -> Column:
-        return F.coalesce(F.schema_of_variant(self._get("variant")), F.lit("MISSING"))
+    def present(self) -> Column:
+        return self.kind != "MISSING"
 
     @property
     def given(self) -> Column:
@@ -85,33 +85,55 @@ class Field:
         return X.parse_iso(self.text)
 
 
+Payload = Callable[[str], Field]
+
+
 @dataclass(frozen=True)
 class Spec:
     """Checks of one table: the error of a row (null when valid) and its typed columns."""
 
-    error: Callable[[], Column]
-    columns: Callable[[], dict[str, Column]]
+    fields: tuple[str, ...]
+    error: Callable[[Payload], Column]
+    columns: Callable[[Payload], dict[str, Column]]
     not_object: str = "Invalid JSON body"
 
+    def over(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
+        """`build` over the parsed payload.
 
-def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): valid rows get the typed columns, rejected ones their `error`."""
-    checked = checked_rows(df, spec, payload)
-    columns = spec.columns()
-    valid = checked.filter("error is null")
-    others = [c for c in df.columns if c != payload and c not in columns]
-    return (
-        valid.select(*others, *[c.alias(n) for n, c in columns.items()]),
-        checked.filter("error is not null").select(*df.columns, "error"),
-    )
+        One-element arrays bind the variant and its fields, so a filter on the result that the
+        optimizer moves around still parses each payload once.
+        """
+
+        def field(v: Column, name: str) -> Column:
+            value = F.try_variant_get(v, f"$.{name}", "variant")
+            kind = F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+            return F.struct(kind.alias("kind"), value.alias("value")).alias(name)
 
+        def read(v: Column) -> Column:
+            whole = F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
+            return F.struct(whole.alias("_whole"), *[field(v, n) for n in self.fields])
 
-def checked_rows(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
-    parsed = df.withColumn("_v", F.try_parse_json(payload))
-    object_like = F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT")
-    return parsed.withColumn(
-        "error", F.when(~object_like, F.lit(spec.not_object)).otherwise(spec.error())
+        bound = F.transform(F.array(F.try_parse_json(payload)), read)
+        return F.transform(bound, lambda r: build(r["_whole"], lambda name: Field(r[name])))[0]
+
+    def error_of(self, payload: str) -> Column:
+        return self.over(
+            payload, lambda whole, p: F.when(~whole, F.lit(self.not_object)).otherwise(self.error(p))
+        )
+
+    def row_of(self, payload: str) -> Column:
+        return self.over(
+            payload, lambda _, p: F.struct(*[c.alias(n) for n, c in self.columns(p).items()])
+        )
+
+
+def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): valid rows get the typed columns, rejected ones their `error`."""
+    checked = df.withColumn("error", spec.error_of(payload))
+    valid = checked.filter("error is null").withColumn("_row", spec.row_of(payload)).select(
+        *[c for c in df.columns if c != payload], "_row.*"
     )
+    return valid, checked.filter("error is not null")
 
 
 def _first(*checks: tuple[Column, str]) -> Column:
@@ -124,10 +146,10 @@ def _not_in(field: Field, allowed: list[str]) -> Column:
 
 
 # ------------------------------------------------------------------ Q1 traffic
-def _traffic_error() -> Column:
+def _traffic_error(p: Payload) -> Column:
     names = ("url", "method", "headers", "body")
-    missing = F.array_compact(F.array(*[F.when(~Field(n).present, F.lit(n)) for n in names]))
-    env, ts = Field("environment"), Field("timestamp")
+    missing = F.array_compact(F.array(*[F.when(~p(n).present, F.lit(n)) for n in names]))
+    env, ts = p("environment"), p("timestamp")
     bad_env = env.given & ~F.coalesce(F.lower(env.clean()).isin(dims.ENVIRONMENTS), F.lit(False))
     listed = F.when(
         F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", "))
@@ -135,71 +157,75 @@ def _traffic_error() -> Column:
     return F.coalesce(
         listed,
         _first(
-            (Field("url").clean().isNull(), "'url' must be a non-empty string"),
-            (Field("method").clean().isNull(), "'method' must be a non-empty string"),
-            (~Field("headers").is_object, "'headers' must be an object"),
+            (p("url").clean().isNull(), "'url' must be a non-empty string"),
+            (p("method").clean().isNull(), "'method' must be a non-empty string"),
+            (~p("headers").is_object, "'headers' must be an object"),
             (ts.given & ts.timestamp.isNull(), "'timestamp' must be a valid ISO-8601 datetime"),
             (bad_env, "'environment' must be one of: prod, test"),
             (
-                Field("session_id").given & Field("session_id").positive_int.isNull(),
+                p("session_id").given & p("session_id").positive_int.isNull(),
                 "'session_id' must be a positive integer",
             ),
             (
-                Field("agent_name").given & Field("agent_name").clean().isNull(),
+                p("agent_name").given & p("agent_name").clean().isNull(),
                 "'agent_name' must be a non-empty string when provided",
             ),
         ),
     )
 
 
-def _traffic_columns() -> dict[str, Column]:
-    env = Field("environment")
+def _traffic_columns(p: Payload) -> dict[str, Column]:
+    env = p("environment")
     return {
-        "url": Field("url").clean(),
-        "method": F.upper(Field("method").clean()),
-        "req_headers": Field("headers").mapping,
-        "body": F.coalesce(Field("body").any_text, F.lit("")),
-        "timestamp": F.coalesce(Field("timestamp").timestamp, F.current_timestamp()),
+        "url": p("url").clean(),
+        "method": F.upper(p("method").clean()),
+        "req_headers": p("headers").mapping,
+        "body": F.coalesce(p("body").any_text, F.lit("")),
+        "timestamp": F.coalesce(p("timestamp").timestamp, F.current_timestamp()),
         "environment": F.coalesce(F.lower(env.clean()), F.lit(dims.DEFAULT_ENVIRONMENT)),
         "environment_given": env.given,
-        "session_id": Field("session_id").positive_int,
-        "agent_name": Field("agent_name").clean(),
+        "session_id": p("session_id").positive_int,
+        "agent_name": p("agent_name").clean(),
     }
 
 
-TRAFFIC = Spec(_traffic_error, _traffic_columns, "JSON request body is required")
+_TRAFFIC_FIELDS = (
+    "url", "method", "headers", "body", "timestamp", "environment", "session_id", "agent_name",
+)
+TRAFFIC = Spec(_TRAFFIC_FIELDS, _traffic_error, _traffic_columns, "JSON request body is required")
 
 
 # ------------------------------------------------------------------ Q3 events
-def _event_error() -> Column:
-    headers = Field("headers")
+def _event_error(p: Payload) -> Column:
+    headers = p("headers")
     faults = F.array_compact(
         F.array(
-            F.when(Field("url").clean().isNull(), F.lit("url")),
+            F.when(p("url").clean().isNull(), F.lit("url")),
             F.when(~headers.given, F.lit("headers")).when(
                 ~headers.is_object, F.lit("headers must be an object")
             ),
-            F.when(Field("method").clean(16).isNull(), F.lit("method")),
-            F.when(Field("timestamp").timestamp.isNull(), F.lit("timestamp")),
-            F.when(_not_in(Field("guard_action"), dims.GUARD_ACTIONS), F.lit("guard_action")),
-            F.when(Field("risk_score").number(0, 1).isNull(), F.lit("risk_score")),
+            F.when(p("method").clean(16).isNull(), F.lit("method")),
+            F.when(p("timestamp").timestamp.isNull(), F.lit("timestamp")),
+            F.when(_not_in(p("guard_action"), dims.GUARD_ACTIONS), F.lit("guard_action")),
+            F.when(p("risk_score").number(0, 1).isNull(), F.lit("risk_score")),
         )
     )
     return F.when(F.size(faults) > 0, F.concat(F.lit("Invalid payload: "), F.array_join(faults, ", ")))
 
 
-def _event_columns() -> dict[str, Column]:
+def _event_columns(p: Payload) -> dict[str, Column]:
     return {
-        "url": Field("url").clean(),
-        "headers": Field("headers").mapping,
-        "http_method": F.upper(Field("method").clean(16)),
-        "timestamp": Field("timestamp").timestamp,
-        "guard_action": Field("guard_action").text,
-        "risk_score": Field("risk_score").number(0, 1),
+        "url": p("url").clean(),
+        "headers": p("headers").mapping,
+        "http_method": F.upper(p("method").clean(16)),
+        "timestamp": p("timestamp").timestamp,
+        "guard_action": p("guard_action").text,
+        "risk_score": p("risk_score").number(0, 1),
     }
 
 
-EVENTS = Spec(_event_error, _event_columns)
+_EVENT_FIELDS = ("url", "headers", "method", "timestamp", "guard_action", "risk_score")
+EVENTS = Spec(_EVENT_FIELDS, _event_error, _event_columns)
 
 
 # ------------------------------------------------------------------ Q4 rules
@@ -208,33 +234,33 @@ _RULE_FIELDS = (
 )
 
 
-def _rule_error() -> Column:
-    description = Field("description")
+def _rule_error(p: Payload) -> Column:
+    description = p("description")
     return _first(
-        *[(~Field(n).present, f"Missing {n}") for n in _RULE_FIELDS],
-        (Field("rule_code").clean(30).isNull(), "Invalid rule_code"),
-        (Field("weight").number(0).isNull(), "Invalid weight"),
-        (_not_in(Field("rule_type"), dims.RULE_TYPES), "Invalid rule_type"),
-        (_not_in(Field("compute_class"), dims.COMPUTE_CLASSES), "Invalid compute_class"),
-        (~Field("is_enabled").is_boolean, "Invalid is_enabled"),
-        (~Field("is_hard_block").is_boolean, "Invalid is_hard_block"),
+        *[(~p(n).present, f"Missing {n}") for n in _RULE_FIELDS],
+        (p("rule_code").clean(30).isNull(), "Invalid rule_code"),
+        (p("weight").number(0).isNull(), "Invalid weight"),
+        (_not_in(p("rule_type"), dims.RULE_TYPES), "Invalid rule_type"),
+        (_not_in(p("compute_class"), dims.COMPUTE_CLASSES), "Invalid compute_class"),
+        (~p("is_enabled").is_boolean, "Invalid is_enabled"),
+        (~p("is_hard_block").is_boolean, "Invalid is_hard_block"),
         (description.given & description.clean(255).isNull(), "Invalid description"),
     )
 
 
-def _rule_columns() -> dict[str, Column]:
+def _rule_columns(p: Payload) -> dict[str, Column]:
     return {
-        "rule_code": Field("rule_code").clean(30),
-        "weight": Field("weight").number(0),
-        "rule_type": Field("rule_type").text,
-        "compute_class": Field("compute_class").text,
-        "is_enabled": Field("is_enabled").boolean,
-        "is_hard_block": Field("is_hard_block").boolean,
-        "description": Field("description").clean(255),
+        "rule_code": p("rule_code").clean(30),
+        "weight": p("weight").number(0),
+        "rule_type": p("rule_type").text,
+        "compute_class": p("compute_class").text,
+        "is_enabled": p("is_enabled").boolean,
+        "is_hard_block": p("is_hard_block").boolean,
+        "description": p("description").clean(255),
     }
 
 
-RULES = Spec(_rule_error, _rule_columns)
+RULES = Spec(_RULE_FIELDS, _rule_error, _rule_columns)
 
 
 def split_new_rules(
@@ -253,55 +279,56 @@ def split_new_rules(
 
 
 # ------------------------------------------------------------------ Q5 rule analyses
-def _analysis_error() -> Column:
-    score = Field("rule_score")
+def _analysis_error(p: Payload) -> Column:
+    score = p("rule_score")
     return _first(
-        (Field("event_id").positive_int.isNull(), "Invalid event_id"),
-        (Field("rule_code").clean(30).isNull(), "Invalid rule_code"),
+        (p("event_id").positive_int.isNull(), "Invalid event_id"),
+        (p("rule_code").clean(30).isNull(), "Invalid rule_code"),
         (score.given & score.number(0, 1).isNull(), "Invalid rule_score"),
-        (Field("details").clean(255).isNull(), "Invalid details"),
+        (p("details").clean(255).isNull(), "Invalid details"),
     )
 
 
-def _analysis_columns() -> dict[str, Column]:
+def _analysis_columns(p: Payload) -> dict[str, Column]:
     return {
-        "event_id": Field("event_id").positive_int,
-        "rule_code": Field("rule_code").clean(30),
-        "rule_score": Field("rule_score").number(0, 1),
-        "details": Field("details").clean(255),
+        "event_id": p("event_id").positive_int,
+        "rule_code": p("rule_code").clean(30),
+        "rule_score": p("rule_score").number(0, 1),
+        "details": p("details").clean(255),
     }
 
 
-ANALYSES = Spec(_analysis_error, _analysis_columns)
+ANALYSES = Spec(("event_id", "rule_code", "rule_score", "details"), _analysis_error, _analysis_columns)
 
 
 # ------------------------------------------------------------------ Q6 sessions
-def _session_error() -> Column:
+def _session_error(p: Payload) -> Column:
     return _first(
-        (Field("start_time").timestamp.isNull(), "Invalid or missing start_time"),
-        (Field("agent_name").clean(20).isNull(), "Missing agent_name"),
-        (_not_in(Field("environment"), dims.ENVIRONMENTS), "Invalid environment value"),
+        (p("start_time").timestamp.isNull(), "Invalid or missing start_time"),
+        (p("agent_name").clean(20).isNull(), "Missing agent_name"),
+        (_not_in(p("environment"), dims.ENVIRONMENTS), "Invalid environment value"),
     )
 
 
-def _session_columns() -> dict[str, Column]:
+def _session_columns(p: Payload) -> dict[str, Column]:
     return {
-        "start_time": Field("start_time").timestamp,
-        "agent_name": Field("agent_name").clean(20),
-        "environment": Field("environment").text,
+        "start_time": p("start_time").timestamp,
+        "agent_name": p("agent_name").clean(20),
+        "environment": p("environment").text,
     }
 
 
-def _session_end_error() -> Column:
+def _session_end_error(p: Payload) -> Column:
     return _first(
-        (~Field("end_time").present, "end_time is required"),
-        (Field("end_time").timestamp.isNull(), "Invalid end_time"),
+        (~p("end_time").present, "end_time is required"),
+        (p("end_time").timestamp.isNull(), "Invalid end_time"),
     )
 
 
-SESSIONS = Spec(_session_error, _session_columns)
-SESSION_ENDS = Spec(_session_end_error, lambda: {"end_time": Field("end_time").timestamp})
+SESSIONS = Spec(("start_time", "agent_name", "environment"), _session_error, _session_columns)
+SESSION_ENDS = Spec(("end_time",), _session_end_error, lambda p: {"end_time": p("end_time").timestamp})
 RULE_FLAGS = Spec(
-    lambda: _first((~Field("is_enabled").is_boolean, "Invalid is_enabled")),
-    lambda: {"is_enabled": Field("is_enabled").boolean},
+    ("is_enabled",),
+    lambda p: _first((~p("is_enabled").is_boolean, "Invalid is_enabled")),
+    lambda p: {"is_enabled": p("is_enabled").boolean},
 )
