@@ -186,11 +186,11 @@ def join_url(base: Column, reference: Column) -> Column:
     kept = F.when(
         F.element_at(base_parts, F.lit(-1)) != "", F.slice(base_parts, F.lit(1), F.size(base_parts) - 1)
     ).otherwise(base_parts)
-    joined = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
-        F.concat(kept, F.split(ref_path, "/"))
-    )
-    last = F.size(joined)
-    segments = F.filter(joined, lambda s, i: (i == 0) | (i == last - 1) | (s != ""))
+    # Empty segments survive in an absolute path only.
+    relative = F.concat(kept, F.split(ref_path, "/"))
+    last = F.size(relative)
+    tidy = F.filter(relative, lambda s, i: (i == 0) | (i == last - 1) | (s != ""))
+    segments = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(tidy)
     dotted = F.exists(segments, lambda s: s.isin(".", ".."))
     merged = F.array_join(F.when(dotted, _remove_dots(segments)).otherwise(segments), "/")
 

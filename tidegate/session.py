@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -28,17 +27,24 @@ def build_session(master: str | None = None, app: str = "tidegate", **extra: str
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The folder that the cluster names in `spark.checkpoint.dir`."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The shared folder comes from `spark.checkpoint.dir`. Only where that is unset, as in local
-    tests, a temporary folder of this machine is used and remembered for the session.
+    Only where that setting is missing, as in local tests, a temporary folder of this machine is
+    used, one per process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    global _local_root
+    root = checkpoint_dir(spark)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidegate-")
-        spark.sparkContext.setCheckpointDir(os.path.join(root, "checkpoints"))
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root = _local_root or tempfile.mkdtemp(prefix="tidegate-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
