@@ -11,16 +11,16 @@ from tidegate.sources import dims
 # Comments, and the bodies of scripts and styles, found left to right. The replacement leaves
 # `<!>` as a mark, so that text on both sides stays apart, and keeps the opening tag.
 _INERT = (
-    r"(?is)<!--.*?-->"
+    r"(?is)(?=<[!s])(?:<!--.*?-->"
     r"|(<script\b[^>]*>).*?(?:</script\s*>|\z)"
-    r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
+    r"|(<style\b[^>]*>).*?(?:</style\s*>|\z))"
 )
 _INERT_KEPT = "<!>$1$2"
 
 # One tag. Quotes count only in attribute values. The possessive loops keep the matcher's stack flat.
 TAG = (
-    r"""</[a-zA-Z][^>]*+>|<[a-zA-Z][^\s/>]*+"""
-    r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+>"""
+    r"""<(?:/[a-zA-Z][^>]*+|[a-zA-Z][^\s/>]*+"""
+    r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>"""
 )
 _MARKUP = TAG + r"|<[!?][^>]*+>"
 _ATTRIBUTE = r"""[^\s/>=][^\s/>=]*(?:\s*=+\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?"""

@@ -80,7 +80,7 @@ def page_signals(
         return base.drop("raw_body")
     live = base.withColumn(
         "live_html",
-        F.when(F.col("raw_body").rlike("(?i)<input|<title"), H.without_inert(F.col("raw_body"))),
+        F.when(F.col("raw_body").rlike("(?i)<(?:input|title)"), H.without_inert(F.col("raw_body"))),
     )
     has_inputs = F.col("live_html").rlike("(?i)<input")
     tokens = live.withColumn("tokens", F.when(has_inputs, H.tag_tokens(F.col("live_html"))))
@@ -454,6 +454,9 @@ def evaluate(
     **options,
 ) -> DataFrame:
     """Traffic to scored rows. `options` are those of `prepare`."""
+    if book is not None:
+        listed = {r.rule_id for r in book.rules}
+        enabled = {**(enabled or {}), **{r: False for r in BUILT_IN if r not in listed}}
     return score_rows(prepare(traffic, feed, blocklist, enabled, **options), enabled, book)
 
 
@@ -467,13 +470,14 @@ def evaluate_responses(
     """Response analysis: the eligible responses, through the same rules."""
     from tidegate.operators import filters as T
 
-    eligible = M.with_filter_list(traffic, filter_list).filter(
-        ~T.should_ignore_response(
-            F.col("url"), F.col("method"), F.col("req_headers"), F.col("status_code"),
-            F.col("resp_headers"), F.col("resp_body"), F.col("host_listed"),
-        )
+    # Whatever needs no join filters first; the list of hosts then meets thin rows, not bodies.
+    ignored = T.should_ignore_response(
+        F.col("url"), F.col("method"), F.col("req_headers"), F.col("status_code"),
+        F.col("resp_headers"), F.col("resp_body"), F.lit(False),
     )
-    return evaluate(eligible, feed, blocklist, enabled, body="resp_body", headers="resp_headers")
+    rows = prepare(traffic.filter(~ignored), feed, blocklist, enabled, "resp_body", "resp_headers")
+    eligible = M.with_filter_list(rows, filter_list).filter(~F.col("host_listed")).drop("host_listed")
+    return score_rows(eligible, enabled)
 
 
 def rule_results(scored: DataFrame, key: str = "request_id") -> DataFrame:
