@@ -40,16 +40,19 @@ def enforcement(
     """Decision, reason, source, status_code (null: the request goes on).
 
     `decisions` has request_id, decision, rule_results and `error` (null, timeout, unreachable, or
-    anything else for an unusable answer). A request without a row counts as unreachable. In passive
-    mode an answered block is recorded and not applied; failures still follow the failure mode.
+    anything else for an unusable answer), and may have a boolean `passive_mode` of its own. A request
+    without a row counts as unreachable. In passive mode an answered block is recorded and not
+    applied; failures still follow the failure mode.
     """
     if failure_mode not in ("fail_closed", "fail_open"):
         raise ValueError("failure_mode is fail_closed or fail_open")
+    own_mode = F.col("passive_mode") if "passive_mode" in decisions.columns else F.lit(None).cast("boolean")
     answered = decisions.select(
         "request_id",
         F.lower("decision").alias("answer"),
         "rule_results",
         "error",
+        F.coalesce(own_mode, F.lit(passive)).alias("passive"),
         F.lit(True).alias("came_back"),
     )
     joined = traffic.select("request_id").join(answered, "request_id", "left")
@@ -73,7 +76,7 @@ def enforcement(
         .when(F.col("answer") == "warn", F.lit(WARNED))
         .otherwise(F.lit(APPROVED))
     )
-    blocks = F.lit(not passive) & (F.col("answer") == "block")
+    blocks = ~F.col("passive") & (F.col("answer") == "block")
     return joined.withColumn("source", source).select(
         "request_id",
         F.when(ok, F.col("answer")).otherwise(failed).alias("decision"),

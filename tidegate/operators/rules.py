@@ -333,8 +333,12 @@ def prepare(
     keep: tuple[str, ...] = ("request_id", "url", "method"),
     brands=None,
     strict: bool = True,
+    hosts: DataFrame | None = None,
 ) -> DataFrame:
-    """Thin rows with every column the rules read."""
+    """Thin rows with every column the rules read.
+
+    `hosts` spares a second pass over the addresses where the distinct hosts are known already.
+    """
     on = _enabled(enabled)
     rows = page_signals(traffic, enabled, body, headers, keep, brands)
     defaults = {
@@ -344,7 +348,9 @@ def prepare(
     for name, kind in defaults.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    signals = host_signals(M.distinct_hosts(traffic), feed, blocklist, enabled, brands, strict)
+    signals = host_signals(
+        M.distinct_hosts(traffic) if hosts is None else hosts, feed, blocklist, enabled, brands, strict
+    )
     rows = rows.join(signals, "host", "left")
     configured = blocklist is not None and on("custom_blacklist") and not blocklist.isEmpty()
     if configured:
@@ -503,12 +509,16 @@ def rule_counts(scored: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def enablement_map(rules: DataFrame | None, book: RuleBook | None = None) -> dict[str, bool]:
-    """Enablement of the known rules; missing rules, or an unreadable table, mean enabled."""
+    """Enablement of the known rules; missing rules, or an unreadable table, mean enabled.
+
+    At most one row per known rule reaches the driver.
+    """
     known = [r.rule_id for r in (book or RuleBook()).rules]
     if rules is None:
         return {}
     try:
-        rows = rules.filter(F.col("rule_code").isin(known)).select("rule_code", "is_enabled").collect()
+        flags = rules.filter(F.col("rule_code").isin(known)).groupBy("rule_code")
+        rows = flags.agg(F.bool_or("is_enabled").alias("is_enabled")).collect()
     except Exception:
         return {}
     return {r["rule_code"]: bool(r["is_enabled"]) for r in rows}

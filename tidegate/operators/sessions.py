@@ -16,7 +16,7 @@ from tidegate.functions import urls as U
 from tidegate.sources import dims
 
 DAY = 86_400
-MINUTE = 60
+FIVE_MINUTES = 300
 
 SUPERSEDED = "superseded_by_new_proxy_session"
 STOPPED = "proxy_stopped"
@@ -132,7 +132,7 @@ def _cover(first: Column, end: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at))
 
 
-def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int = MINUTE) -> DataFrame:
+def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int = FIVE_MINUTES) -> DataFrame:
     """J9 without explicit ids: adds `open_session_id`, the newest session open at `ts`, or null.
 
     An interval join that never pairs requests with sessions. Sessions that span a whole slot are
@@ -141,6 +141,8 @@ def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int
     one slot row.
     """
     key = ["agent_name", "environment"]
+    asked = requests.withColumns(_agent_key()).withColumn("slot", _time_slot(F.col("ts"), slot_seconds))
+    slots = asked.select(*key, "slot").distinct()
     spans = sessions.select(
         *key,
         "session_id",
@@ -149,23 +151,31 @@ def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int
         _time_slot(F.col("start_time"), slot_seconds).alias("s"),
         _time_slot(F.col("end_time"), slot_seconds).alias("e"),
     )
+    # An open session need not reach beyond the last request of its agent.
+    horizon = slots.groupBy(*key).agg((F.max("slot") + 1).alias("horizon"))
     blocks = (
-        spans.select(
-            *key,
-            "session_id",
-            F.explode(_cover(F.col("s") + 1, F.coalesce("e", F.lit(2**_LEVELS)))).alias("b"),
-        )
+        spans.join(horizon, key)
+        .select(*key, "session_id", F.explode(_cover(F.col("s") + 1, F.least("e", "horizon"))).alias("b"))
         .groupBy(*key, "b.level", "b.block")
         .agg(F.max("session_id").alias("session_id"))
     )
-    asked = requests.withColumns(_agent_key()).withColumn("slot", _time_slot(F.col("ts"), slot_seconds))
-    slots = asked.select(*key, "slot").distinct()
-    levels = F.transform(
+    # Per agent, a bit mask of the block sizes that occur: requests look up no others.
+    used = blocks.groupBy(*key).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).alias("used")
+    )
+    levels = F.filter(
         F.sequence(F.lit(0), F.lit(_LEVELS - 1)),
-        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("slot"), level).alias("block")),
+        lambda level: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level)) != 0,
+    )
+    looked_up = F.transform(
+        levels,
+        lambda level: F.struct(
+            level.alias("level"), F.call_function("shiftright", F.col("slot"), level).alias("block")
+        ),
     )
     spanning = (
-        slots.select(*key, "slot", F.inline(levels))
+        slots.join(used, key)
+        .select(*key, "slot", F.inline(looked_up))
         .join(blocks, [*key, "level", "block"])
         .groupBy(*key, "slot")
         .agg(F.max("session_id").alias("spanning"))
@@ -188,7 +198,7 @@ def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int
     )
 
 
-def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: int = MINUTE) -> DataFrame:
+def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: int = FIVE_MINUTES) -> DataFrame:
     """Adds the resolved `session_id`, `environment` and `agent_name`, and `error`.
 
     An explicit session must exist, be open at the time of the request and agree with the
@@ -242,12 +252,13 @@ def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY)
     `unique_domains_visited`. Input: session_id, event_id, timestamp, url, sensitive.
     """
     moment = F.struct("timestamp", "event_id")
-    first_visits = (
+    visits = (
         events.select("session_id", "event_id", "timestamp", U.host(F.col("url")).alias("host"))
         .groupBy("session_id", "host")
         .agg(F.min(moment).alias("m"))
-        .select(F.col("m.event_id").alias("event_id"), F.lit(1).alias("new_host"))
+        .select("session_id", "m.*")
     )
+    first_visits = visits.select("event_id", F.lit(1).alias("new_host"))
     rows = (
         events.join(first_visits, "event_id", "left")
         .withColumns(
@@ -265,19 +276,11 @@ def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY)
             "urls_here": F.collect_list("url").over(order.rowsBetween(-depth, -1)),
             "hot_here": F.coalesce(F.sum("hot").over(before), F.lit(0)),
             "hosts_here": F.coalesce(F.sum("new_host").over(before), F.lit(0)),
-            "last_here": F.lead("event_id").over(order).isNull(),
         }
     )
-    ends = inside.filter("last_here").select(
-        "session_id",
-        "slot",
-        F.array_append("urls_here", F.col("url")).alias("tail"),
-        (F.col("hot_here") + F.col("hot")).alias("hot_total"),
-        (F.col("hosts_here") + F.col("new_host")).alias("host_total"),
-    )
     slots = Window.partitionBy("session_id").orderBy("slot")
     earlier = slots.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
+    carried = _slot_totals(events, visits, depth, slot_seconds).select(
         "session_id",
         "slot",
         F.flatten(F.collect_list("tail").over(slots.rowsBetween(-depth, -1))).alias("urls_before"),
@@ -293,6 +296,26 @@ def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY)
     )
 
 
+def _slot_totals(events: DataFrame, visits: DataFrame, depth: int, slot_seconds: int) -> DataFrame:
+    """Per session and slot: the latest `depth` URLs, sensitive events and first visits."""
+    slot = slot_of(F.col("timestamp"), slot_seconds).alias("slot")
+    totals = events.groupBy("session_id", slot).agg(
+        F.sum(F.coalesce(F.col("sensitive").cast("int"), F.lit(0))).alias("hot_total")
+    )
+    newest = Window.partitionBy("session_id", "slot").orderBy(F.desc("timestamp"), F.desc("event_id"))
+    tails = (
+        events.select("session_id", slot, "timestamp", "event_id", "url")
+        .withColumn("place", F.row_number().over(newest))
+        .filter(F.col("place") <= depth)
+        .groupBy("session_id", "slot")
+        .agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", "url"))).alias("latest"))
+        .select("session_id", "slot", F.transform("latest", lambda e: e["url"]).alias("tail"))
+    )
+    fresh = visits.groupBy("session_id", slot).agg(F.count("*").alias("host_total"))
+    key = ["session_id", "slot"]
+    return totals.join(tails, key).join(fresh, key, "left").fillna({"host_total": 0})
+
+
 # ------------------------------------------------------------------ U3–U5
 def close_sessions(sessions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, outcomes). Requests carry request_id, session_id, end_time.
