@@ -52,6 +52,15 @@ def test_inputs_lie_in_every_enclosing_form(pages):
     ]
 
 
+def test_closing_an_ancestor_closes_the_form(spark):
+    html = (
+        "<div><form action=/a><p><br><input name=1></div><input name=2></form>"
+        "<table><form><tr></form></tr><input name=3></table><b><i><form></b></i><input name=4></span><div/><form><div></p><input name=5>"
+    )
+    rows = spark.createDataFrame([(0, "https://h.com/", html)], "page_id long, url string, html string")
+    assert [(r[0], r[3]) for r in of_page(P.page_inputs(rows))] == [(1, "1"), (None, "2"), (None, "3"), (None, "4"), (4, "5")]
+
+
 def test_links_scripts_meta(pages):
     assert of_page(P.page_links(pages)) == [(1, "https://h.com/a/b"), (2, "https://h.com/z?x=1&y=2")]
     assert of_page(P.page_scripts(pages)) == [(1, "https://h.com/s.js")]

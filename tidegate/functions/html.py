@@ -87,15 +87,29 @@ def visible_text(live_html: Column) -> Column:
     return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
 
 
-def nest_forms(form_tokens: Column) -> Column:
-    """Form nesting, from the form and input tags of a page in document order.
+# Elements that never hold others. The bodies of scripts and styles are gone already,
+# with their closing tags.
+VOID = "area base basefont bgsound br col command embed frame hr image img isindex link meta param source track wbr".split()
+_NOT_NESTING = rf"(?i)^<(?:{'|'.join([*VOID, 'keygen', 'menuitem', 'nextid', 'spacer', 'script', 'style'])})(?=[\s/>])"
+_CLOSED_AT_ONCE = r"""["'\s]/\s*>$|^<[a-zA-Z][^\s/>]*/>$"""
+_FORM_OR_INPUT = r"(?i)^<(?:form|input)(?=[\s/>])"
+
+
+def nest_forms(tokens: Column) -> Column:
+    """Form nesting, from the tags of a page in document order.
 
     Returns array<struct<kind, form_no, pos, raw>> with one `open` and at most one `close` entry per
-    form and one `input` entry per input. A closing tag ends the innermost open form and is ignored
-    where none is open; `<form/>` is empty. An input lies in every form whose entries enclose it.
+    form and one `input` entry per input (its innermost form, or null). An input lies in every form
+    whose entries enclose it. A closing tag ends everything down to the nearest open element of its
+    name, forms included, and is ignored where there is none; `<form/>` is empty.
     """
     entry = "struct<kind:string,form_no:int,pos:int,raw:string>"
+    relevant = F.filter(
+        tokens, lambda t: t.rlike(_FORM_OR_INPUT) | ~(t.rlike(_NOT_NESTING) | t.rlike(_CLOSED_AT_ONCE))
+    )
+    # `stack` is the text of the open elements, innermost first, such as `<form><div><body>`.
     start = F.struct(
+        F.lit("").alias("stack"),
         F.array().cast("array<int>").alias("open"),
         F.lit(0).alias("seen"),
         F.lit(0).alias("pos"),
@@ -103,33 +117,53 @@ def nest_forms(form_tokens: Column) -> Column:
     )
 
     def step(acc: Column, raw: Column) -> Column:
-        open_, seen, pos, found = acc["open"], acc["seen"], acc["pos"], acc["found"]
-        depth = F.size(open_)
-        closing = raw.startswith("</")
-        form = raw.rlike(r"(?i)^<form")
-        closed_at_once = raw.rlike(r"""["'\s]/\s*>$|^<[a-zA-Z]+/>$""")
+        stack, open_, seen, pos, found = (acc[n] for n in ("stack", "open", "seen", "pos", "found"))
 
         def as_entry(kind: str, form_no: Column) -> Column:
             return F.struct(
                 F.lit(kind).alias("kind"), form_no.alias("form_no"), pos.alias("pos"), raw.alias("raw")
             )
 
-        return F.struct(
-            F.when(closing, F.slice(open_, F.lit(1), F.greatest(depth - 1, F.lit(0))))
-            .when(form & ~closed_at_once, F.array_append(open_, seen + 1))
-            .otherwise(open_)
-            .alias("open"),
-            F.when(form, seen + 1).otherwise(seen).alias("seen"),
-            (pos + 1).alias("pos"),
-            F.when(closing & (depth == 0), found)
-            .when(closing, F.array_append(found, as_entry("close", F.element_at(open_, F.lit(-1)))))
-            .when(form & closed_at_once, F.concat(found, F.array(as_entry("open", seen + 1), as_entry("close", seen + 1))))
-            .when(form, F.array_append(found, as_entry("open", seen + 1)))
-            .otherwise(F.array_append(found, as_entry("input", F.try_element_at(open_, F.lit(-1)))))
-            .alias("found"),
+        def next_state(stack=stack, open_=open_, seen=seen, found=found) -> Column:
+            return F.struct(
+                stack.alias("stack"), open_.alias("open"), seen.alias("seen"), (pos + 1).alias("pos"),
+                found.alias("found"),
+            )
+
+        name = tag_name(raw)
+        here = F.concat(F.lit("<"), name, F.lit(">"))
+        at = F.instr(stack, here)
+        popped = F.left(stack, at + F.length(here) - 1)
+        rest = F.substring(stack, at + F.length(here), F.length(stack))
+        ended = F.size(F.split(popped, "<form>")) - 1
+        kept = F.size(open_) - ended
+        ends = F.transform(
+            F.reverse(F.slice(open_, kept + 1, ended)), lambda n: as_entry("close", n)
+        )
+        number = seen + 1
+        opened = F.array_append(found, as_entry("open", number))
+        return (
+            F.when(
+                raw.startswith("</"),
+                F.when(at == 0, next_state())
+                .when(F.contains(popped, F.lit("<form>")), next_state(
+                    stack=rest, open_=F.slice(open_, F.lit(1), kept), found=F.concat(found, ends)
+                ))
+                .otherwise(next_state(stack=rest)),
+            )
+            .when(name == "input", next_state(
+                found=F.array_append(found, as_entry("input", F.try_element_at(open_, F.lit(-1))))
+            ))
+            .when(name != "form", next_state(stack=F.concat(here, stack)))
+            .when(raw.rlike(_CLOSED_AT_ONCE), next_state(
+                seen=number, found=F.array_append(opened, as_entry("close", number))
+            ))
+            .otherwise(next_state(
+                stack=F.concat(here, stack), open_=F.array_append(open_, number), seen=number, found=opened
+            ))
         )
 
-    return F.aggregate(form_tokens, start, step, lambda acc: acc["found"])
+    return F.aggregate(relevant, start, step, lambda acc: acc["found"])
 
 
 def is_sensitive(kind: Column, name: Column, ident: Column) -> Column:

@@ -31,7 +31,8 @@ def with_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-_FORM_TAGS = r"(?i)^(?:<form|</form|<input)(?=[\s/>])"
+_FORM_TAGS = r"(?i)^<(?:form|input)(?=[\s/>])"
+_ENTRIES = "array<struct<kind:string,form_no:int,pos:int,raw:string>>"
 
 
 def _form_struct(entry: Column, entries: Column, url: Column) -> Column:
@@ -65,7 +66,8 @@ def with_forms(pages: DataFrame, url: str = "url") -> DataFrame:
     its innermost form.
     """
     entries = F.col("form_entries")
-    nested = H.nest_forms(F.filter("tokens", lambda t: t.rlike(_FORM_TAGS)))
+    has_inputs = F.exists("tokens", lambda t: t.rlike(_FORM_TAGS))
+    nested = F.when(has_inputs, H.nest_forms(F.col("tokens"))).otherwise(F.array().cast(_ENTRIES))
     parsed = F.transform(
         nested,
         lambda e: F.struct(
