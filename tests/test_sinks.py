@@ -92,6 +92,18 @@ def test_stream_equals_batch(spark, log, tmp_path):
     assert spark.read.text(f"{out}/log").count() == 3
 
 
+def test_stream_attributes_sessions(spark, log, tmp_path):
+    sessions = spark.createDataFrame(
+        [(7, None, "2023-12-31", None, "prod", "bot"), (8, None, "2024-01-01", None, "test", "a")],
+        "session_id long, user_id long, start_time string, end_time string, environment string, agent_name string",
+    ).withColumns({c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")})
+    stream = J.read_traffic_stream(spark, log).filter("request_id is not null")
+    out = str(tmp_path / "attributed")
+    J.write_stream(stream, out, str(tmp_path / "c2"), sessions=sessions).awaitTermination()
+    got = {r["event_id"]: r["session_id"] for r in J.read_audit(spark, out, "events").collect()}
+    assert got == {1: 7, 2: 8}
+
+
 def test_replayed_batch_leaves_no_duplicates(spark, log, tmp_path):
     rows = readers.read_traffic(spark, log).filter("request_id is not null")
     scored = R.evaluate(rows, keep=KEEP)

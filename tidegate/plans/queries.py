@@ -710,17 +710,23 @@ REASONS = {
                       ELSE {O.q(E.BLOCKED)} || chr(10) || chr(10) || 'Reason: ' || coalesce(d.hard, nullif(d.few, '')) END
                WHEN s.decision = 'warn' THEN {O.q(E.WARNED)} ELSE {O.q(E.APPROVED)} END AS reason
         FROM scored s LEFT JOIN details d USING (request_id)""",
-    # The fate of the call by request id: three kinds of failure among the answers.
+    # The fate of the call: no answer for one method, failures for three groups of addresses.
     "calls": """
-        SELECT *, CASE request_id % 9 WHEN 1 THEN 'timeout' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'bad' END AS error,
-               request_id % 9 = 4 AS lost FROM reasons""",
+        SELECT *, CASE WHEN url LIKE '%.example.net%' THEN 'timeout' WHEN url LIKE '%.example.org%' THEN 'unreachable'
+                       WHEN url LIKE 'https://bank.com%' THEN 'bad' END AS error,
+               method = 'OPTIONS' AS lost FROM reasons""",
 }
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fate = F.col("request_id") % 9
-    error = F.when(fate == 1, F.lit("timeout")).when(fate == 2, F.lit("unreachable")).when(fate == 3, F.lit("bad"))
-    return scored(spark, sf_dir).filter(fate != 4).select("request_id", "decision", "rule_results", error.alias("error"))
+    url = F.col("url")
+    error = (
+        F.when(F.contains(url, F.lit(".example.net")), F.lit("timeout"))
+        .when(F.contains(url, F.lit(".example.org")), F.lit("unreachable"))
+        .when(url.startswith("https://bank.com"), F.lit("bad"))
+    )
+    answered = scored(spark, sf_dir).filter("method <> 'OPTIONS'")
+    return answered.select("request_id", "decision", "rule_results", error.alias("error"))
 
 
 def _enforced_sql(open_mode: bool, passive: bool) -> str:

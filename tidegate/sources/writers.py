@@ -56,12 +56,14 @@ def scored_once(scored: DataFrame) -> Iterator[DataFrame]:
 def write_audit_tables(scored: DataFrame, path: str, mode: str = "append") -> None:
     """Writes `events` (by day) and `rules_analysis` below `path`.
 
-    Rows of one day go to one partition folder without a shuffle; `maxRecordsPerFile` bounds files.
+    The thin event rows are rebalanced by day before the write, so that a day gets few files and a
+    busy day is split over several tasks.
     """
     with scored_once(scored) as kept:
         (
             audit_events(kept)
             .withColumn("event_date", F.to_date("timestamp"))
+            .hint("rebalance", "event_date")
             .write.mode(mode)
             .option("maxRecordsPerFile", 5_000_000)
             .partitionBy("event_date")
