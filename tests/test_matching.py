@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators import filters as T
 from tidegate.operators import matching as M
-from tidegate.sources import readers
+from tidegate.sources import dims, readers
 
 
 def column(df, name):
@@ -152,3 +152,23 @@ def test_hosts_as_the_standard_library_sees_them(spark):
     urls = ["https://A.com/x", "https://b.com:1/y", "https://u@c.com?z", "no"]
     got = M.distinct_hosts(spark.createDataFrame([(u,) for u in urls], "url string"))
     assert column(got, "host") == sorted({urlparse(u).hostname or "" for u in urls})
+
+
+def test_typosquats_by_join_equal_the_search(spark):
+    rng = random.Random(9)
+    names = [label for *_, label in dims.brand_rows()]
+    hosts = set()
+    for _ in range(400):
+        word = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "1", "rn", "0", "l", "e"])
+            word = word or ["a"]
+        hosts.add(rng.choice(["", "www.", "login."]) + "".join(word) + rng.choice([".com", ".io", ".co.uk"]))
+    hosts |= {"192.168.1.1", "", "localhost", "icloud.com"}
+    rows = spark.createDataFrame([(h,) for h in sorted(hosts)], "host string")
+    hit = M.typosquat_hit(F.col("host"), F.col("own"), F.col("plain"))
+    searched = M.with_labels(rows).select("host", hit.alias("h")).filter("h is not null").select("host", "h.*")
+    joined = M.typosquat_hits(rows, dims.brand_domains(spark))
+    want = sorted(map(tuple, searched.collect()))
+    assert want and sorted(map(tuple, joined.collect())) == want

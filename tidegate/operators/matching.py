@@ -313,3 +313,59 @@ def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: b
     pair = F.struct(own.alias("own"), plain.alias("plain"))
     first = F.transform(F.array(pair), lambda p: _first_imitated(officials, p))[0]
     return F.when(~exempt, first)
+
+
+def _deletions(text: Column) -> Column:
+    """Every text that lacks one character of `text`."""
+    return F.transform(
+        F.sequence(F.lit(1), F.length(text)),
+        lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text))),
+    )
+
+
+def deletion_keys(label: Column) -> Column:
+    """The label without up to two of its characters: labels two edits apart share such a key."""
+    once = _deletions(label)
+    twice = F.flatten(F.transform(F.filter(once, lambda t: t != ""), _deletions))
+    return F.array_distinct(F.concat(F.array(label), once, twice))
+
+
+def similar_labels(labels: DataFrame, officials: DataFrame) -> DataFrame:
+    """J5 for brand tables of any size: (label, official) pairs by the edit-distance rule.
+
+    An equi join on deletion keys; only labels that share a key are verified. Both inputs have one
+    column `label`.
+    """
+    ours = labels.filter(F.length("label") >= 3).distinct()
+    theirs = officials.select(F.col("label").alias("official")).filter(F.length("official") >= 3).distinct()
+    pairs = ours.withColumn("key", F.explode(deletion_keys(F.col("label")))).join(
+        theirs.withColumn("key", F.explode(deletion_keys(F.col("official")))), "key"
+    )
+    close = pairs.filter(U.is_typosquat(F.col("label"), F.col("official")))
+    return close.select("label", "official").distinct()
+
+
+def typosquat_hits(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """J5 as joins with a brand table: host, kind and first official domain of every imitating host."""
+    order = F.struct("brand_ord", "domain_ord")
+    officials = brands.groupBy("label").agg(
+        F.min(order).alias("ord"), F.min_by("domain", order).alias("official")
+    )
+    labelled = with_labels(hosts).filter(~U.is_ip(U.strip_www(F.col("host"))))
+    exact = officials.select(F.col("label").alias("plain"), F.lit(True).alias("known"))
+    suspects = (
+        labelled.join(exact, "plain", "left")
+        .filter(F.col("known").isNull() | (F.col("own") != F.col("plain")))
+        .select("host", "own", "plain")
+    )
+    near = similar_labels(suspects.select(F.col("plain").alias("label")), officials)
+    pairs = near.select(F.col("label").alias("plain"), F.col("official").alias("label"), F.lit("typosquat").alias("kind"))
+    same = officials.select(F.col("label").alias("plain"), "label", F.lit("confusable").alias("kind"))
+    return (
+        suspects.join(pairs.unionByName(same), "plain")
+        .filter((F.col("kind") == "typosquat") | (F.col("own") != F.col("label")))
+        .join(officials, "label")
+        .groupBy("host")
+        .agg(F.min_by(F.struct("kind", "official"), "ord").alias("hit"))
+        .select("host", "hit.kind", "hit.official")
+    )

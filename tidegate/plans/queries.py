@@ -471,6 +471,31 @@ def j5(spark, sf_dir):
     return hosts.select("host", hit.alias("hit")).filter("hit is not null").select("host", "hit.kind", "hit.official")
 
 
+@query("j5_typosquat_by_join", O.with_ctes("SELECT host, kind, official FROM typo_hits", "typo_hits"))
+def j5_join(spark, sf_dir):
+    return M.typosquat_hits(M.distinct_hosts(html_view(spark, sf_dir)), dims.brand_domains(spark))
+
+
+@query(
+    "j5_similar_labels",
+    O.with_ctes(
+        """SELECT DISTINCT w.label, b.label AS official FROM (
+             SELECT DISTINCT lower(p_name) AS label FROM (SELECT unnest(string_split(c_name, ' ')) AS p_name FROM (
+               SELECT DISTINCT unnest(string_split(lower(title), ' ')) AS c_name FROM titles))) w, brands b
+           WHERE length(w.label) >= 3 AND length(b.label) >= 3 AND abs(length(w.label) - length(b.label)) <= 2
+             AND regexp_full_match(w.label, '[a-z]+')
+             AND (levenshtein(w.label, b.label) = 1 OR (levenshtein(w.label, b.label) = 2
+                  AND w.label[1] = b.label[1] AND w.label[-1] = b.label[-1]))""",
+        "typo_hits",
+    ),
+)
+def j5_similar(spark, sf_dir):
+    """Words of page titles beside the official labels."""
+    titles = P.page_titles(html_view(spark, sf_dir), "request_id")
+    words = titles.select(F.explode(F.split(F.lower("title"), " ")).alias("label")).filter(F.col("label").rlike("^[a-z]+$"))
+    return M.similar_labels(words, dims.brand_domains(spark).select("label"))
+
+
 @query(
     "j6_analysis_rule_join",
     O.from_views(
