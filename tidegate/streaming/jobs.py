@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Mapping
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,9 @@ from tidegate.operators import rules as R
 from tidegate.operators import sessions as S
 from tidegate.sources import dims, readers, writers
 
+# The stateful processor travels with the query, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,6 +110,9 @@ class SessionRotation(StatefulProcessor):
     `rotate_stream` where single agents are very busy.
     """
 
+    def __init__(self, superseded: str, stopped: str) -> None:
+        self._reasons = {"start": superseded, "stop": stopped}
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._open = handle.getValueState("open", "session_id long, start_us long, replaced long")
 
@@ -116,8 +124,7 @@ class SessionRotation(StatefulProcessor):
         for at, event_id, action in moves[["at_us", "event_id", "action"]].itertuples(index=False):
             before = current
             if current is not None:
-                why = S.SUPERSEDED if action == "start" else S.STOPPED
-                out.append((*current, at, why))
+                out.append((*current, at, self._reasons[action]))
                 current = None
             if action == "start":
                 current = (int(event_id), int(at), None if before is None else before[0])
@@ -151,7 +158,7 @@ def session_stream(lifecycle: DataFrame) -> DataFrame:
         .select("agent_name", "environment", "event_id", F.unix_micros("ts").alias("at_us"), "action")
     )
     return moves.groupBy("agent_name", "environment").transformWithStateInPandas(
-        statefulProcessor=SessionRotation(),
+        statefulProcessor=SessionRotation(S.SUPERSEDED, S.STOPPED),
         outputStructType=SESSION_OUTPUT,
         outputMode="Append",
         timeMode="None",
