@@ -23,7 +23,7 @@ BROADCAST_ROWS = 200_000
 
 
 def _words(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
+    """Runs of letters and digits, lower-cased. Give it a column of its own before it goes into a lambda."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
@@ -58,9 +58,8 @@ def contaminated(
     documents. Rows that repeat an id count as one document (item) with the shingles of all its rows; null
     ids are one such id. Other columns are not looked at. An empty table on either side gives no rows.
     """
-    wanted = id_and_text(items, item_col, item_text_col).select(
-        F.col("_id").alias("_item"), F.explode(_shingles(_words(F.col("_text")), k)).alias("_shingle")
-    ).where("_shingle IS NOT NULL").distinct()
+    wanted = id_and_text(items, item_col, item_text_col).select(F.col("_id").alias("_item"), _words(F.col("_text")).alias("_w"))
+    wanted = wanted.select("_item", F.explode_outer(_shingles(F.col("_w"), k)).alias("_shingle")).where("_shingle IS NOT NULL").distinct()
     wanted = checkpoint(wanted.withColumn("_h", F.xxhash64(F.transform(F.split("_shingle", " "), lambda w: F.xxhash64(w)))))
     sizes = wanted.groupBy("_item").agg(F.count("*").alias("n_item"), F.sort_array(F.collect_list("_h")).alias("_all"))
     need = F.ceil(F.col("n_item") * threshold - 1e-9).cast("int")
@@ -78,7 +77,8 @@ def contaminated(
 
     ids = pairs.select(F.col("_id").alias("_c")).distinct()
     found = texts.join(ids, F.col("_id").eqNullSafe(F.col("_c")), "left_semi")
-    found = found.select("_id", F.explode_outer(F.array_distinct(_shingles(_words(F.col("_text")), k))).alias("_shingle"))
+    found = found.select("_id", _words(F.col("_text")).alias("_w"))
+    found = found.select("_id", F.explode_outer(_shingles(F.col("_w"), k)).alias("_shingle")).where("_shingle IS NOT NULL")
     found = found.join(_sized(wanted, rows), "_shingle").select("_id", "_item", "_shingle").distinct()
     shared = found.groupBy("_id", "_item").agg(F.count("*").alias("n_shared"))
     return (
