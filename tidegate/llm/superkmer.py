@@ -17,16 +17,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import id_and_text
 
 K = 20
-M = 4
+M = 3
 #: Text bytes of a map-side batch, and new packed words (in characters) that a bucket takes before it sorts again.
 BATCH_BYTES = 6_000_000
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 6_000_000
+#: Of zstandard.
+LEVEL = 6
 NO_ID = -(1 << 63)
 SEED = 42
 
@@ -135,15 +137,24 @@ def split_repeats(segments: Segments, k: int, m: int):
     return repeats, (segments.ids[o], segments.keys[o], place[at[a]], b - a + 1, minimiser[a], at[a], at[b] + k)
 
 
+#: How the columns id, key, start, windows are written.
+FORMATS = ("<i8", "<u4", "<u4", "<u4")
+
+
 def _pack(kind: int, numbers: np.ndarray, text: bytes) -> bytes:
     head = np.array([kind, len(numbers)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + np.ascontiguousarray(numbers, "<i8").T.tobytes() + text)
+    columns = b"".join(numbers[:, i].astype(f).tobytes() for i, f in enumerate(FORMATS))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + columns + text)
 
 
 def _unpack(blob: bytes) -> tuple[int, np.ndarray, bytes]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     kind, n = np.frombuffer(data, "<i8", 2).tolist()
-    return kind, np.frombuffer(data, "<i8", 4 * n, 16).reshape(4, n).T, data[16 + 32 * n :]
+    at, columns = 16, []
+    for f in FORMATS:
+        columns.append(np.frombuffer(data, f, n, at).astype(np.int64))
+        at += n * np.dtype(f).itemsize
+    return kind, np.stack(columns, axis=1), data[at:]
 
 
 def _to_buckets(k: int, m: int, buckets: int):
@@ -236,6 +247,11 @@ def _in_buckets(k: int, m: int):
     return run
 
 
+def _key(text: Column) -> Column:
+    """Tells rows of one id with different texts apart: 32 bits of a hash."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
     """(`_id`, `_key`, `start`, `n`): runs of `n` windows from word `start` that also start earlier.
 
@@ -244,7 +260,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(2**31 - 1, max(16, 3 * size // BUCKET_BYTES)))
-    rows = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("_text").alias("_key"), "_text")
+    rows = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID)).alias("_id"), _key(F.col("_text")).alias("_key"), "_text")
     packed = rows.mapInArrow(_to_buckets(k, m, buckets), "bucket int, packed binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets(k, m), "_id bigint, _key bigint, start bigint, n bigint")
 
@@ -265,7 +281,7 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All columns of `docs` and `_starts`, `_counts`: the runs of repeated windows of each row, or null."""
     runs = repeats(docs, id_col, text_col, k, m).groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
-    match = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == runs["_rid"]) & (F.xxhash64(docs[text_col].cast("string")) == runs["_rkey"])
+    match = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == runs["_rid"]) & (_key(docs[text_col].cast("string")) == runs["_rkey"])
     return docs.join(runs, match, "left").select(*(docs[c] for c in docs.columns), "_starts", "_counts")
 
 
