@@ -22,23 +22,25 @@ from tidegate.llm.common import id_and_text, map_texts
 #: Ratings used for fitting at most, and size of the weight table.
 MAX_RATED = 12_000
 BUCKETS = 1 << 18
-MIN_TEXTS = 3
+MIN_TEXTS = 20
 EPOCHS = 150
-RATE = 0.5
-RIDGE = 2e-5
+RATE = 0.3
+RIDGE = 1e-3
+PREFIX = 5
 CACHE = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s]{2,}")
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-case words, runs of marks, and steps of the shares of capitals and repeats."""
+    """Distinct lower-case words and starts of longer ones, runs of marks, and steps of the shares of
+    capitals and repeats and of the length."""
     words = WORD.findall(text)
     if not words:
         return {"#none"}
     seen = set(map(str.lower, words))
     capitals = sum(map(str.isupper, words)) / len(words)
-    found = seen | {f"#marks {m[:3]}" for m in set(MARKS.findall(text))}
+    found = seen | {"^" + w[:PREFIX] for w in seen if len(w) > PREFIX} | {f"#marks {m[:3]}" for m in set(MARKS.findall(text))}
     found.add(f"#capitals {int(capitals * 10)}")
     found.add(f"#repeats {int(math.log2(len(words) / len(seen)))}")
     found.add(f"#words {len(words).bit_length()}")
