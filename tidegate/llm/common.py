@@ -29,6 +29,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *more)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut into short ones, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(
     df: DataFrame, schema: str, fn: Callable[[list[str | None]], dict[str, list]], carry: tuple[str, ...] = ("_id",)
 ) -> DataFrame:
@@ -40,7 +47,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
+        for batch in slices(batches):
             made = fn(batch.column(batch.schema.get_field_index("_text")).to_pylist())
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in carry]
             arrays += [pa.array(made[f.name], to_arrow_type(f.dataType)) for f in out.fields]

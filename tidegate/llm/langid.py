@@ -15,14 +15,14 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import id_and_text, map_texts, sample_texts
+from tidegate.llm.common import id_and_text, map_texts, sample_texts, slices
 
-TEXTS_PER_LANGUAGE = 128
-CHARS_PER_TEXT = 300
+TEXTS_PER_LANGUAGE = 64
+CHARS_PER_TEXT = 400
 MAX_LANGUAGES = 512
 #: Of all languages together; automata take about 400 bytes a character in a worker.
 MAX_SAMPLE_CHARS = 800_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -166,7 +166,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [model.predict(t)[0] != UNDETERMINED for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

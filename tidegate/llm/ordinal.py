@@ -27,7 +27,7 @@ EPOCHS = 150
 RATE = 0.3
 RIDGE = 1e-3
 PREFIX = 5
-CACHE = 400_000
+CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s]{2,}")
 
@@ -91,7 +91,8 @@ def train(grades: np.ndarray, starts: np.ndarray, buckets: np.ndarray, n_grades:
     owner = np.repeat(np.arange(len(grades)), np.diff(np.append(starts, len(buckets))))
     used = often[buckets]
     columns, place = np.unique(buckets[used], return_inverse=True)
-    owner, n, m = owner[used], len(grades), n_grades - 1
+    owner, n, m = owner[used], max(1, len(grades)), n_grades - 1
+    grades = grades if len(grades) else np.zeros(1, np.int64)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)
     shares = np.log(shares[:-1] / (shares[-1] - shares[:-1]))
     w, first, gaps = np.zeros(len(columns)), shares[0], np.log(np.maximum(np.diff(shares), 1e-3))

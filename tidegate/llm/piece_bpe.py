@@ -18,8 +18,8 @@ from tidegate.llm.common import id_and_text, map_texts
 from tidegate.llm.tokencount import PRE_TOKEN, SPACE, splittable
 
 #: Remembered pair tests; and pre-tokens in each of the two generations of a worker's cache.
-PAIRS = 600_000
-CACHE = 250_000
+PAIRS = 300_000
+CACHE = 120_000
 
 
 class PieceBpe:

@@ -20,13 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import id_and_text
+from tidegate.llm.common import id_and_text, slices
 
 K = 20
 M = 3
 #: Text bytes of a map-side batch, and new packed words (in characters) that a bucket takes before it sorts again.
-BATCH_BYTES = 6_000_000
-BUCKET_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
+BUCKET_BYTES = 4_000_000
 #: Of zstandard.
 LEVEL = 6
 NO_ID = -(1 << 63)
@@ -104,13 +104,13 @@ def split_repeats(segments: Segments, k: int, m: int):
     """
     n = len(segments.words)
     ends = np.cumsum(segments.lengths)
-    owner = np.repeat(np.arange(len(segments)), segments.lengths)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), segments.lengths)
     place = np.arange(n) - (ends - segments.lengths)[owner] + segments.starts[owner]
     code_of: dict[bytes, int] = defaultdict(count().__next__)
-    codes = np.fromiter(map(code_of.__getitem__, segments.words), np.int64, n)
+    codes = np.fromiter(map(code_of.__getitem__, segments.words), np.int32, n)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w, SEED) for w in code_of), np.uint64, len(code_of))[codes]
-    at = np.flatnonzero(np.arange(n) + k <= ends[owner])
+    at = np.flatnonzero(np.arange(n) + k <= ends[owner]).astype(np.int32)
     if not len(at):
         return np.zeros((0, 4), np.int64), []
     first = _first_places(codes, _combined(hashes, k), at, k)
@@ -180,7 +180,7 @@ def _to_buckets(k: int, m: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, lengths, words, size = [], [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = (text or "").encode("utf-8", "surrogatepass").split()
                 if len(tokens) < k:
@@ -223,7 +223,7 @@ def _in_buckets(k: int, m: int):
                 held, kept = [(np.stack([who, key, start, windows], axis=1), text)], len(text)
             return repeats
 
-        for batch in batches:
+        for batch in slices(batches, 50):
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now:
                     found = settle(True)
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = with_repeats(id_and_text(docs, id_col, text_col), "_id", "_text", k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, starts, counts = (batch.column(i).to_pylist() for i in (1, 2, 3))
             made = [cut(*x, k) for x in zip(texts, starts, counts)]
             yield pa.RecordBatch.from_arrays(
@@ -319,7 +319,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, starts, counts = (batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))
             made = [cut(t, s, c, k)[2].decode("utf-8", "surrogatepass") if s else t for t, s, c in zip(texts, starts, counts)]
             columns = [pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(len(names))]

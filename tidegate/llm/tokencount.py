@@ -26,7 +26,7 @@ PRE_TOKEN = re.compile(r"\n| *[^\W\d_¹²³]+| *(?:[^\w \n]|[\d_¹²³])+| +")
 HOT = 50_000
 SAMPLE = 4096
 SAMPLE_CHARS = 2000
-CACHE = 300_000
+CACHE = 200_000
 
 
 @lru_cache(maxsize=4)
