@@ -172,3 +172,15 @@ def test_typosquats_by_join_equal_the_search(spark):
     joined = M.typosquat_hits(rows, dims.brand_domains(spark))
     want = sorted(map(tuple, searched.collect()))
     assert want and sorted(map(tuple, joined.collect())) == want
+
+
+def test_brand_names_are_taken_as_they_are(spark):
+    """Names are no patterns, and an empty brand table has no hits."""
+    from pyspark.sql import functions as F
+
+    from tidegate.operators import matching as M
+
+    page = spark.createDataFrame([("shop(x is here", "a.org")], "title string, host string")
+    rows = [("shop(x", 1, "shopx.com", 1, "shopx")]
+    assert page.select(M.brand_mismatch(F.col("title"), F.col("host"), rows)).first()[0] == "shop(x"
+    assert page.select(M.brand_mismatch(F.col("title"), F.col("host"), [])).first()[0] is None

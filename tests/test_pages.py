@@ -186,3 +186,17 @@ def test_agents_and_headers(spark):
     assert row["json"] == '{"B":"2","X-Agent-Name":"me","x-agent-name":"you"}'
     bad = spark.createDataFrame([("{bad",)], "t string").select(X.decode_headers(F.col("t"))).collect()[0][0]
     assert not bad
+
+
+def test_many_forms_and_inputs_in_one_page(spark):
+    """The work follows the size of the page: seconds, not minutes."""
+    import time
+
+    forms = "".join(f'<form action="/a{i}"></form>' for i in range(3_000))
+    inputs = "<form>" + '<input name="n">' * 6_000 + "</form>"
+    pages = spark.createDataFrame([(1, "https://a.org/", forms), (2, "https://b.org/", inputs)], "page_id long, url string, html string")
+    started = time.time()
+    found = P.page_forms(pages.where("page_id = 1"))
+    assert found.where("action = '/a' || (form_no - 1)").count() == 3_000
+    assert P.page_inputs(pages.where("page_id = 2")).where("form_no = 1").count() == 6_000
+    assert time.time() - started < 60

@@ -26,16 +26,18 @@ _MARKUP = TAG + r"|<[!?][^>]*+>"
 _ATTRIBUTE = r"""[^\s/>=][^\s/>=]*(?:\s*=+\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
 
-SENSITIVE_NAME = "(?iU)" + "|".join(dims.SENSITIVE_NAME_PATTERNS)
+SENSITIVE_NAME = "(?iU)" + dims.SENSITIVE_NAME_PATTERN
 
 
-def decoded_body(body: Column, binary: bool = False) -> Column:
-    """Page text: the first `MAX_HTML_BYTES` bytes, with broken characters replaced."""
+def decoded_body(body: Column, binary: bool = False, max_bytes: int | None = None) -> Column:
+    """Page text, whole or of its first `max_bytes` bytes, with broken characters replaced."""
+    if max_bytes is None:
+        return F.make_valid_utf8(body.cast("string")) if binary else body
     data = body if binary else F.encode(body, "utf-8")
-    cut = F.make_valid_utf8(F.substring(data, 1, dims.MAX_HTML_BYTES).cast("string"))
+    cut = F.make_valid_utf8(F.substring(data, 1, max_bytes).cast("string"))
     if binary:
         return cut
-    return F.when(F.octet_length(body) <= dims.MAX_HTML_BYTES, body).otherwise(cut)
+    return F.when(F.octet_length(body) <= max_bytes, body).otherwise(cut)
 
 
 def without_inert(html: Column) -> Column:
@@ -95,6 +97,9 @@ _CLOSED_AT_ONCE = r"""["'\s]/\s*>$|^<[a-zA-Z][^\s/>]*/>$"""
 _FORM_OR_INPUT = r"(?i)^<(?:form|input)(?=[\s/>])"
 
 
+_ENTRIES_PER_BLOCK = 256
+
+
 def nest_forms(tokens: Column) -> Column:
     """Form nesting, from the tags of a page in document order.
 
@@ -114,10 +119,16 @@ def nest_forms(tokens: Column) -> Column:
         F.lit(0).alias("seen"),
         F.lit(0).alias("pos"),
         F.array().cast(f"array<{entry}>").alias("found"),
+        F.array().cast(f"array<array<{entry}>>").alias("blocks"),
     )
+    none_found = F.array().cast(f"array<{entry}>")
 
     def step(acc: Column, raw: Column) -> Column:
-        stack, open_, seen, pos, found = (acc[n] for n in ("stack", "open", "seen", "pos", "found"))
+        stack, open_, seen, pos = (acc[n] for n in ("stack", "open", "seen", "pos"))
+        # Appending copies an array, so entries are gathered in blocks and the work follows the page.
+        full = F.size(acc["found"]) >= _ENTRIES_PER_BLOCK
+        found = F.when(full, none_found).otherwise(acc["found"])
+        blocks = F.when(full, F.array_append(acc["blocks"], acc["found"])).otherwise(acc["blocks"])
 
         def as_entry(kind: str, form_no: Column) -> Column:
             return F.struct(
@@ -127,7 +138,7 @@ def nest_forms(tokens: Column) -> Column:
         def next_state(stack=stack, open_=open_, seen=seen, found=found) -> Column:
             return F.struct(
                 stack.alias("stack"), open_.alias("open"), seen.alias("seen"), (pos + 1).alias("pos"),
-                found.alias("found"),
+                found.alias("found"), blocks.alias("blocks"),
             )
 
         name = tag_name(raw)
@@ -163,7 +174,7 @@ def nest_forms(tokens: Column) -> Column:
             ))
         )
 
-    return F.aggregate(relevant, start, step, lambda acc: acc["found"])
+    return F.aggregate(relevant, start, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["found"]))
 
 
 def is_sensitive(kind: Column, name: Column, ident: Column) -> Column:

@@ -33,7 +33,7 @@ is_action_request = is_enforced_method
 def is_static_resource(url: Column) -> Column:
     """F3."""
     path = F.lower(U.path(url))
-    return path.isin(dims.STATIC_PATHS) | path.rlike(rf"\.(?:{_any_of(dims.STATIC_SUFFIXES)})$")
+    return path.isin(dims.STATIC_PATHS) | path.rlike(rf"(?:{_any_of(dims.STATIC_SUFFIXES)})$")
 
 
 def is_sec_fetch_subresource(headers: Column) -> Column:

@@ -9,6 +9,7 @@ and splits skewed partitions otherwise.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,11 +120,9 @@ def filter_list_hits(hosts: DataFrame, filter_list: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
     found = _contained(hosts, filed, GRAM)
-    short = listed.filter(F.length("domain") < GRAM)
-    if not short.isEmpty():
-        for size in range(1, GRAM):
-            exact = short.filter(F.length("domain") == size).select("domain", F.col("domain").alias("gram"))
-            found = found.unionByName(_contained(hosts, exact, size))
+    for size in range(1, GRAM):
+        exact = listed.filter(F.length("domain") == size).select("domain", F.col("domain").alias("gram"))
+        found = found.unionByName(_contained(hosts, exact, size))
     return found.distinct()
 
 
@@ -244,7 +243,7 @@ def brand_mismatch(title: Column, host: Column, rows=None) -> Column:
     The brand table is fixed configuration, so it is one literal and rows stay where they are.
     """
     grouped: dict[str, list[str]] = {}
-    for brand, _, domain, _, _ in rows or dims.brand_rows():
+    for brand, _, domain, _, _ in dims.brand_rows() if rows is None else rows:
         grouped.setdefault(brand, []).append(domain)
     table = [{"brand": b, "domains": d} for b, d in grouped.items()]
     brands = _literal(table, "array<struct<brand:string,domains:array<string>>>")
@@ -254,13 +253,13 @@ def brand_mismatch(title: Column, host: Column, rows=None) -> Column:
         lambda b: F.contains(low, b["brand"])
         & ~F.exists(b["domains"], lambda d: U.domain_matches(bare, d)),
     )
-    any_brand = "|".join(grouped)
+    any_brand = "|".join(map(re.escape, grouped)) or "(?!)"
     return F.when(low.rlike(any_brand), F.try_element_at(named, F.lit(1))["brand"])
 
 
 def official_labels(rows=None) -> list[str]:
     """A4: distinct labels of all official domains, in brand order."""
-    return list(dict.fromkeys(label for *_, label in rows or dims.brand_rows()))
+    return list(dict.fromkeys(label for *_, label in (dims.brand_rows() if rows is None else rows)))
 
 
 def with_labels(hosts: DataFrame) -> DataFrame:
@@ -300,7 +299,7 @@ def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: b
     of look-alike characters changes that label.
     """
     table, seen = [], set()
-    for _, _, domain, _, label in rows or dims.brand_rows():
+    for _, _, domain, _, label in dims.brand_rows() if rows is None else rows:
         if label not in seen:
             seen.add(label)
             table.append({"domain": domain, "label": label})
@@ -334,10 +333,12 @@ def similar_labels(labels: DataFrame, officials: DataFrame) -> DataFrame:
     """J5 for brand tables of any size: (label, official) pairs by the edit-distance rule.
 
     An equi join on deletion keys; only labels that share a key are verified. Both inputs have one
-    column `label`.
+    column `label`. A label more than two characters longer than the longest official one cannot match
+    and makes no keys.
     """
-    ours = labels.filter(F.length("label") >= 3).distinct()
     theirs = officials.select(F.col("label").alias("official")).filter(F.length("official") >= 3).distinct()
+    longest = theirs.agg(F.max(F.length("official"))).scalar()
+    ours = labels.filter((F.length("label") >= 3) & (F.length("label") <= longest + 2)).distinct()
     pairs = ours.withColumn("key", F.explode(deletion_keys(F.col("label")))).join(
         theirs.withColumn("key", F.explode(deletion_keys(F.col("official")))), "key"
     )

@@ -1,7 +1,8 @@
 """Page extraction: from page bodies to relational outputs.
 
-A page's features are computed inside its own row (a page is at most 512,000 bytes), so extraction
-is one narrow stage; the relational tables are explodes of it. No body is shuffled.
+A page's features are computed inside its own row, so extraction is one narrow stage; the relational
+tables are explodes of it. No body is shuffled. The explodes are outer ones with a null test above: for
+a plain one the optimizer puts a size test below it, and with that the whole parse a second time.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from tidegate.functions import text as X
 from tidegate.functions import urls as U
 
 
-def html_pages(traffic: DataFrame, body: str = "body", headers: str = "req_headers") -> DataFrame:
-    """Adds `is_html` and `raw_body` (null unless the page is HTML with a non-empty body)."""
+def html_pages(
+    traffic: DataFrame, body: str = "body", headers: str = "req_headers", max_bytes: int | None = None
+) -> DataFrame:
+    """Adds `is_html` and `raw_body` (null unless the page is HTML with a non-empty body).
+
+    Bodies are taken whole; `max_bytes` cuts them on request.
+    """
     binary = dict(traffic.dtypes)[body] == "binary"
     is_html = F.contains(F.lower(X.header(F.col(headers), "content-type")), F.lit("text/html"))
     has_body = F.octet_length(body) > 0
     return traffic.withColumn("is_html", is_html).withColumn(
-        "raw_body", F.when(F.col("is_html") & has_body, H.decoded_body(F.col(body), binary))
+        "raw_body", F.when(F.col("is_html") & has_body, H.decoded_body(F.col(body), binary, max_bytes))
     )
 
 
@@ -35,16 +41,17 @@ _FORM_TAGS = r"(?i)^<(?:form|input)(?=[\s/>])"
 _ENTRIES = "array<struct<kind:string,form_no:int,pos:int,raw:string>>"
 
 
-def _form_struct(entry: Column, entries: Column, url: Column) -> Column:
+def _form_struct(entry: Column, ends: Column, url: Column) -> Column:
     action = F.coalesce(H.attribute(entry["attrs"], "action"), F.lit(""))
-    close = F.filter(entries, lambda e: (e["kind"] == "close") & (e["form_no"] == entry["form_no"]))
+    # the size test names the map a second time, so that it stays a column and is built once
+    end = F.when(F.size(ends) > 0, F.try_element_at(ends, entry["form_no"]))
     return F.struct(
         entry["form_no"].alias("form_no"),
         action.alias("action"),
         F.lower(F.coalesce(H.attribute(entry["attrs"], "method"), F.lit("get"))).alias("method"),
         U.joined_host(url, action).alias("action_host"),
         entry["pos"].alias("from_pos"),
-        F.coalesce(F.try_element_at(close, F.lit(1))["pos"], F.lit(2**31 - 1)).alias("to_pos"),
+        F.coalesce(end, F.lit(2**31 - 1)).alias("to_pos"),
     )
 
 
@@ -77,18 +84,21 @@ def with_forms(pages: DataFrame, url: str = "url") -> DataFrame:
             F.when(e["kind"] != "close", H.attributes(e["raw"])).alias("attrs"),
         ),
     )
+    closed = F.filter(entries, lambda e: e["kind"] == "close")
+    ends = F.map_from_entries(F.transform(closed, lambda e: F.struct(e["form_no"].alias("n"), e["pos"].alias("p"))))
     return (
         pages.withColumn("form_entries", parsed)
+        .withColumn("form_ends", ends)
         .withColumns(
             {
                 "forms": F.transform(
                     F.filter(entries, lambda e: e["kind"] == "open"),
-                    lambda e: _form_struct(e, entries, F.col(url)),
+                    lambda e: _form_struct(e, F.col("form_ends"), F.col(url)),
                 ),
                 "inputs": F.transform(F.filter(entries, lambda e: e["kind"] == "input"), _input_struct),
             }
         )
-        .drop("form_entries")
+        .drop("form_entries", "form_ends")
     )
 
 
@@ -99,7 +109,7 @@ def encloses(form: Column, pos: Column) -> Column:
 def page_tags(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per tag: key, pos, tag, closing, raw."""
     tokens = with_tokens(pages.select(key, html), html).select(key, "tokens")
-    return tokens.select(key, F.posexplode("tokens").alias("pos", "raw")).select(
+    return tokens.select(key, F.posexplode_outer("tokens").alias("pos", "raw")).where("pos IS NOT NULL").select(
         key,
         (F.col("pos") + 1).alias("pos"),
         H.tag_name(F.col("raw")).alias("tag"),
@@ -128,14 +138,16 @@ def page_forms(pages: DataFrame, key: str = "page_id", html: str = "html", url:
     """P5: one row per form: key, form_no, action, method, action_host."""
     return (
         _formed(pages, key, html, url)
-        .select(key, F.inline("forms"))
+        .select(key, F.inline_outer("forms"))
+        .where("form_no IS NOT NULL")
         .select(key, "form_no", "action", "method", "action_host")
     )
 
 
 def page_inputs(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """One row per input and enclosing form (null `form_no` outside any form), in order."""
-    formed = _formed(pages, key, html, url).select(key, "forms", F.posexplode("inputs").alias("i", "input"))
+    formed = _formed(pages, key, html, url).select(key, "forms", F.posexplode_outer("inputs").alias("i", "input"))
+    formed = formed.where("i IS NOT NULL")
     around = F.transform(
         F.filter("forms", lambda f: encloses(f, F.col("input.pos"))), lambda f: f["form_no"]
     )
@@ -151,7 +163,8 @@ def _targets(tokens: Column, tag: str, attr: str, url: Column) -> Column:
 
 def _exploded_targets(pages, tag, attr, name, key, html, url) -> DataFrame:
     tokens = with_tokens(pages.select(key, url, html), html)
-    found = tokens.select(key, F.posexplode(_targets(F.col("tokens"), tag, attr, F.col(url))).alias("i", name))
+    found = tokens.select(key, F.posexplode_outer(_targets(F.col("tokens"), tag, attr, F.col(url))).alias("i", name))
+    found = found.where("i IS NOT NULL")
     return found.select(key, (F.col("i") + 1).alias(f"{name}_no"), name)
 
 
@@ -186,7 +199,7 @@ def _meta_entries(tokens: Column) -> Column:
 def page_meta(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per meta name: key, name, content."""
     tokens = with_tokens(pages.select(key, html), html)
-    return tokens.select(key, F.explode(_meta_entries(F.col("tokens"))).alias("e")).select(
+    return tokens.select(key, F.explode_outer(_meta_entries(F.col("tokens"))).alias("e")).where("e IS NOT NULL").select(
         key, F.col("e.key").alias("name"), F.col("e.value").alias("content")
     )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -352,14 +353,15 @@ def prepare(
         M.distinct_hosts(traffic) if hosts is None else hosts, feed, blocklist, enabled, brands, strict
     )
     rows = rows.join(signals, "host", "left")
-    configured = blocklist is not None and on("custom_blacklist") and not blocklist.isEmpty()
-    if configured:
+    configured = F.lit(False)
+    if blocklist is not None and on("custom_blacklist"):
         rows = M.with_blocklist_url_hit(rows, blocklist)
+        configured = blocklist.agg(F.count("*") > 0).scalar()
     else:
         rows = rows.withColumn("blocklist_url_hit", F.lit(False))
     return rows.withColumn(
         "blocklisted", F.coalesce("blocklist_host_hit", F.lit(False)) | F.col("blocklist_url_hit")
-    ).withColumn("blocklist_configured", F.lit(configured))
+    ).withColumn("blocklist_configured", configured)
 
 
 def weighted_score(terms: list[tuple[Column, float]]) -> Column:
@@ -509,7 +511,8 @@ def rule_counts(scored: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def enablement_map(rules: DataFrame | None, book: RuleBook | None = None) -> dict[str, bool]:
-    """Enablement of the known rules; missing rules, or an unreadable table, mean enabled.
+    """Enablement of the known rules; missing rules, or a table that is missing or has
+    other columns, mean enabled. Any other failure is raised.
 
     At most one row per known rule reaches the driver.
     """
@@ -519,6 +522,6 @@ def enablement_map(rules: DataFrame | None, book: RuleBook | None = None) -> dic
     try:
         flags = rules.filter(F.col("rule_code").isin(known)).groupBy("rule_code")
         rows = flags.agg(F.bool_or("is_enabled").alias("is_enabled")).collect()
-    except Exception:
+    except AnalysisException:
         return {}
     return {r["rule_code"]: bool(r["is_enabled"]) for r in rows}

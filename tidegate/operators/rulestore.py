@@ -19,15 +19,24 @@ def registry_rules(spark, book: RuleBook | None = None) -> DataFrame:
     return spark.createDataFrame(rows, schemas.RULES)
 
 
-def rules_from_results(results: DataFrame) -> DataFrame:
-    """Rule rows for unregistered rules: the description is an explanation, cut to 255 characters."""
-    return results.groupBy(F.col("rule_id").alias("rule_code")).agg(
-        F.lit(0.0).alias("weight"),
-        F.min("rule_type").alias("rule_type"),
-        F.lit("cheap").alias("compute_class"),
+def rules_from_results(results: DataFrame, book: RuleBook | None = None) -> DataFrame:
+    """Rule rows for the rules that gave results.
+
+    Registered rules have their weight, compute class and description; for others the weight is zero
+    and the description is an explanation, both cut to 255 characters.
+    """
+    seen = results.groupBy(F.col("rule_id").alias("rule_code")).agg(
+        F.min("rule_type").alias("rule_type"), F.bool_or("hard_block").alias("is_hard_block"), F.min("explanation").alias("told")
+    )
+    known = registry_rules(results.sparkSession, book).select("rule_code", "weight", "compute_class", "description")
+    return seen.join(known, "rule_code", "left").select(
+        "rule_code",
+        F.coalesce("weight", F.lit(0.0)).alias("weight"),
+        "rule_type",
+        F.coalesce("compute_class", F.lit("cheap")).alias("compute_class"),
         F.lit(True).alias("is_enabled"),
-        F.bool_or("hard_block").alias("is_hard_block"),
-        F.left(F.min("explanation"), F.lit(255)).alias("description"),
+        "is_hard_block",
+        F.left(F.coalesce("description", "told"), F.lit(255)).alias("description"),
     )
 
 

@@ -245,10 +245,10 @@ def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: i
 
 
 # ------------------------------------------------------------------ W1–W3
-def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY) -> DataFrame:
+def session_context(events: DataFrame, depth: int | None = None, slot_seconds: int = DAY) -> DataFrame:
     """What happened in the session before each event.
 
-    Adds `previous_urls` (the latest `depth` ones, oldest first), `sensitive_interaction_count` and
+    Adds `previous_urls` (all, or the latest `depth` ones on request, oldest first), `sensitive_interaction_count` and
     `unique_domains_visited`. Input: session_id, event_id, timestamp, url, sensitive.
     """
     moment = F.struct("timestamp", "event_id")
@@ -273,7 +273,7 @@ def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumns(
         {
-            "urls_here": F.collect_list("url").over(order.rowsBetween(-depth, -1)),
+            "urls_here": F.collect_list("url").over(order.rowsBetween(Window.unboundedPreceding if depth is None else -depth, -1)),
             "hot_here": F.coalesce(F.sum("hot").over(before), F.lit(0)),
             "hosts_here": F.coalesce(F.sum("new_host").over(before), F.lit(0)),
         }
@@ -283,20 +283,21 @@ def session_context(events: DataFrame, depth: int = 50, slot_seconds: int = DAY)
     carried = _slot_totals(events, visits, depth, slot_seconds).select(
         "session_id",
         "slot",
-        F.flatten(F.collect_list("tail").over(slots.rowsBetween(-depth, -1))).alias("urls_before"),
+        F.flatten(F.collect_list("tail").over(slots.rowsBetween(Window.unboundedPreceding if depth is None else -depth, -1))).alias("urls_before"),
         F.coalesce(F.sum("hot_total").over(earlier), F.lit(0)).alias("hot_before"),
         F.coalesce(F.sum("host_total").over(earlier), F.lit(0)).alias("hosts_before"),
     )
     every = F.concat("urls_before", "urls_here")
+    latest = every if depth is None else F.slice(every, F.greatest(F.size(every) - depth + 1, F.lit(1)), F.lit(depth))
     return inside.join(carried, ["session_id", "slot"]).select(
         *events.columns,
-        F.slice(every, F.greatest(F.size(every) - depth + 1, F.lit(1)), F.lit(depth)).alias("previous_urls"),
+        latest.alias("previous_urls"),
         (F.col("hot_before") + F.col("hot_here")).alias("sensitive_interaction_count"),
         (F.col("hosts_before") + F.col("hosts_here")).alias("unique_domains_visited"),
     )
 
 
-def _slot_totals(events: DataFrame, visits: DataFrame, depth: int, slot_seconds: int) -> DataFrame:
+def _slot_totals(events: DataFrame, visits: DataFrame, depth: int | None, slot_seconds: int) -> DataFrame:
     """Per session and slot: the latest `depth` URLs, sensitive events and first visits."""
     slot = slot_of(F.col("timestamp"), slot_seconds).alias("slot")
     totals = events.groupBy("session_id", slot).agg(
@@ -306,7 +307,7 @@ def _slot_totals(events: DataFrame, visits: DataFrame, depth: int, slot_seconds:
     tails = (
         events.select("session_id", slot, "timestamp", "event_id", "url")
         .withColumn("place", F.row_number().over(newest))
-        .filter(F.col("place") <= depth)
+        .filter(F.lit(True) if depth is None else F.col("place") <= depth)
         .groupBy("session_id", "slot")
         .agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", "url"))).alias("latest"))
         .select("session_id", "slot", F.transform("latest", lambda e: e["url"]).alias("tail"))

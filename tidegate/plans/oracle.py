@@ -131,7 +131,7 @@ def joined(base: str, ref: str) -> str:
     )
 
 
-SENSITIVE = "|".join(dims.SENSITIVE_NAME_PATTERNS)
+SENSITIVE = dims.SENSITIVE_NAME_PATTERN
 
 _VIEW_CTES = {name: views.sql(name) for name in views.VIEWS}
 
@@ -163,7 +163,7 @@ _CTES = {
                     AND (b.query IS NULL OR (contains(w.url, '?') AND substr(lower(w.url), strpos(w.url, '?') + 1) = b.query)))) AS blocklisted,
           regexp_matches(lower(user_agent), 'chrome/|firefox/|safari/|edg/') AND NOT contains(lower(user_agent), 'electron/') AS browser,
           upper(method) IN ('GET', 'POST', 'PUT', 'PATCH', 'DELETE') AS enforced,
-          path IN ('/favicon.ico', '/robots.txt') OR regexp_matches(path, '\\.({"|".join(dims.STATIC_SUFFIXES)})$') AS static,
+          path IN ('/favicon.ico', '/robots.txt') OR regexp_matches(path, '({"|".join("[.]" + s[1:] for s in dims.STATIC_SUFFIXES)})$') AS static,
           list_contains({values(dims.SEC_FETCH_SUBRESOURCES)}, lower(fetch_dest)) AS sec_fetch,
           regexp_matches(lower(resp_type), '^(image|font|video|audio)/') AS media,
           contains(lower(connection), 'upgrade') OR lower(upgrade_to) = 'websocket' AS upgrade,

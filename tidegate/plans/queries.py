@@ -483,7 +483,6 @@ def j5_join(spark, sf_dir):
              SELECT DISTINCT lower(p_name) AS label FROM (SELECT unnest(string_split(c_name, ' ')) AS p_name FROM (
                SELECT DISTINCT unnest(string_split(lower(title), ' ')) AS c_name FROM titles))) w, brands b
            WHERE length(w.label) >= 3 AND length(b.label) >= 3 AND abs(length(w.label) - length(b.label)) <= 2
-             AND regexp_full_match(w.label, '[a-z]+')
              AND (levenshtein(w.label, b.label) = 1 OR (levenshtein(w.label, b.label) = 2
                   AND w.label[1] = b.label[1] AND w.label[-1] = b.label[-1]))""",
         "typo_hits",
@@ -492,7 +491,7 @@ def j5_join(spark, sf_dir):
 def j5_similar(spark, sf_dir):
     """Words of page titles beside the official labels."""
     titles = P.page_titles(html_view(spark, sf_dir), "request_id")
-    words = titles.select(F.explode(F.split(F.lower("title"), " ")).alias("label")).filter(F.col("label").rlike("^[a-z]+$"))
+    words = titles.select(F.explode(F.split(F.lower("title"), " ")).alias("label"))
     return M.similar_labels(words, dims.brand_domains(spark).select("label"))
 
 
@@ -895,7 +894,7 @@ CONTEXT = {
                row_number() OVER (PARTITION BY session_id, {O.host('url')} ORDER BY ts, event_id) = 1 AS fresh FROM guard_events""",
     "context": """
         SELECT event_id, session_id,
-               coalesce(array_to_string(list(url) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ' '), '') AS previous_urls,
+               coalesce(array_to_string(list(url) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' '), '') AS previous_urls,
                coalesce(count(*) FILTER (WHERE sensitive) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sensitive_interaction_count,
                coalesce(count(*) FILTER (WHERE fresh) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unique_domains_visited
         FROM visits WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)""",
@@ -908,7 +907,7 @@ def _context(name: str, column: str) -> None:
         rows = guard_events(spark, sf_dir).select(
             "event_id", "session_id", "timestamp", "url", (F.col("guard_action") != "Allow").alias("sensitive")
         )
-        found = S.session_context(rows, depth=5)
+        found = S.session_context(rows)
         shown = F.array_join(column, " ") if column == "previous_urls" else long(column)
         return found.select("event_id", "session_id", shown.alias(column))
 
@@ -1059,8 +1058,10 @@ def t6(spark, sf_dir):
     "u1_register_rules",
     O.from_views(
         """SELECT * FROM (SELECT * FROM rules WHERE is_hard_block) UNION ALL
-           SELECT rule_code, 0.0::DOUBLE, 'contextual', 'cheap', TRUE, FALSE, min(details) FROM rules_analysis
-           WHERE rule_code NOT IN (SELECT rule_code FROM rules WHERE is_hard_block) GROUP BY rule_code""",
+           SELECT rule_code, weight, 'contextual', compute_class, TRUE, FALSE, description FROM rules
+           WHERE NOT is_hard_block AND rule_code IN (SELECT rule_code FROM rules_analysis) UNION ALL
+           SELECT rule_code, 0.0::DOUBLE, 'contextual', 'cheap', TRUE, FALSE, left(min(details), 255) FROM rules_analysis
+           WHERE rule_code NOT IN (SELECT rule_code FROM rules) GROUP BY rule_code""",
         "rules_analysis", extra=RULES_X,
     ),
 )
@@ -1297,9 +1298,9 @@ def q4(spark, sf_dir):
 
 # ------------------------------------------------------------------ X streaming
 def _stream_source(spark: SparkSession, name: str, rows: DataFrame, fmt: str) -> str:
-    """Rows as three files, so that a stream over them takes several batches."""
+    """Rows in files as they lie: a stream over them takes them in several batches."""
     path = scratch_path(spark, name)
-    rows.repartition(3).write.format(fmt).save(path)
+    rows.write.format(fmt).save(path)
     return path
 
 
@@ -1352,8 +1353,9 @@ def _lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves in three files by time: both variants take them in order."""
     path = scratch_path(spark, "stream-moves")
     moves = V.load(spark, sf_dir, "lifecycle").filter("action <> 'request'")
-    for part, (low, high) in enumerate((("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2030-01-01"))):
-        moves.filter(F.col("ts") >= low).filter(F.col("ts") < high).coalesce(1).write.mode("append").parquet(f"{path}/p{part}")
+    third, rest = F.col("ts") >= "2024-01-10", F.col("ts") >= "2024-01-20"
+    for part, chosen in enumerate((~third, third & ~rest, rest)):
+        moves.filter(chosen).coalesce(1).write.mode("append").parquet(f"{path}/p{part}")
     return spark.readStream.schema(schemas.LIFECYCLE).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 
