@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import id_and_text, map_texts
 
 #: Ratings used for fitting at most, and size of the weight table.
-MAX_RATED = 12_000
+MAX_RATED = 8_000
 BUCKETS = 1 << 18
 MIN_TEXTS = 20
 EPOCHS = 150
@@ -88,9 +88,11 @@ def train(grades: np.ndarray, starts: np.ndarray, buckets: np.ndarray, n_grades:
     `starts` has each text's first place in `buckets`. Buckets of fewer than `MIN_TEXTS` texts get no weight.
     """
     often = np.bincount(buckets, minlength=BUCKETS) >= MIN_TEXTS
-    owner = np.repeat(np.arange(len(grades)), np.diff(np.append(starts, len(buckets))))
-    used = often[buckets]
-    columns, place = np.unique(buckets[used], return_inverse=True)
+    owner = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(np.append(starts, len(buckets))))
+    used, columns = often[buckets], np.flatnonzero(often)
+    index = np.zeros(BUCKETS, np.int32)
+    index[columns] = np.arange(len(columns))
+    place = index[buckets[used]]
     owner, n, m = owner[used], max(1, len(grades)), n_grades - 1
     grades = grades if len(grades) else np.zeros(1, np.int64)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)
@@ -132,11 +134,11 @@ def fit(
     rated = F.broadcast(rated.orderBy(F.xxhash64("_rid"), "_rid", "_grade").limit(max_rated))
     texts = id_and_text(docs, id_col, text_col).where("_text IS NOT NULL")
     texts = texts.join(rated, texts["_id"] == rated["_rid"]).select("_grade", "_text")
-    made = map_texts(texts, "_f array<int>", lambda batch: {"_f": [[bucket(f) for f in features(t)] for t in batch]}, ("_grade",))
-    rows = made.toPandas()
+    packed = lambda t: np.fromiter(map(bucket, features(t)), "<i4").tobytes()
+    rows = map_texts(texts, "_f binary", lambda batch: {"_f": [packed(t) for t in batch]}, ("_grade",)).toPandas()
     grades = rows["_grade"].to_numpy(np.int64)
-    lengths = np.array([len(x) for x in rows["_f"]], np.int64)
-    buckets = np.concatenate([np.asarray(x, np.int64) for x in rows["_f"]]) if len(rows) else np.zeros(0, np.int64)
+    lengths = rows["_f"].map(len).to_numpy(np.int64) // 4
+    buckets = np.frombuffer(b"".join(rows["_f"]), "<i4")
     return train(grades, np.cumsum(lengths) - lengths, buckets, n_grades)
 
 
