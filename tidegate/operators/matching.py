@@ -183,25 +183,26 @@ def blocklist_host_hits(hosts: DataFrame, blocklist: DataFrame) -> DataFrame:
 
 
 def with_blocklist_url_hit(rows: DataFrame, blocklist: DataFrame, url: str = "url") -> DataFrame:
-    """J3, URL rules: adds `blocklist_url_hit`. Rules are grouped per base, so no row multiplies."""
-    rules = (
-        classify_blocklist(blocklist)
-        .filter("kind = 'url'")
-        .groupBy("url_base")
-        .agg(
-            F.bool_or(F.col("query").isNull()).alias("any_query"),
-            F.collect_set("query").alias("queries"),
-        )
+    """J3, URL rules: adds `blocklist_url_hit`.
+
+    Two equi joins: rules without a query on the base, the others on base and query. Both sides of
+    rules are distinct, so no row multiplies however many rules share a base.
+    """
+    rules = classify_blocklist(blocklist).filter("kind = 'url'")
+    any_query = rules.filter("query is null").select(F.col("url_base").alias("_base")).distinct().withColumn("_any", F.lit(True))
+    exact = (
+        rules.filter("query is not null")
+        .select(F.col("url_base").alias("_base"), F.col("query").alias("_query"))
+        .distinct()
+        .withColumn("_exact", F.lit(True))
     )
     low = F.lower(F.col(url))
-    matched = F.col("any_query") | (
-        F.contains(low, F.lit("?")) & F.array_contains("queries", url_query(low))
-    )
     return (
-        rows.withColumn("url_base", url_base(low))
-        .join(rules, "url_base", "left")
-        .withColumn("blocklist_url_hit", F.coalesce(matched, F.lit(False)))
-        .drop("url_base", "any_query", "queries")
+        rows.withColumns({"_base": url_base(low), "_query": F.when(F.contains(low, F.lit("?")), url_query(low))})
+        .join(any_query, "_base", "left")
+        .join(exact, ["_base", "_query"], "left")
+        .withColumn("blocklist_url_hit", F.coalesce("_any", "_exact", F.lit(False)))
+        .drop("_base", "_query", "_any", "_exact")
     )
 
 

@@ -127,6 +127,19 @@ class Spec:
         )
 
 
+def checked(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
+    """All rows in one pass: `error` in place of the payload, and `_row`, the typed columns, null beside an error."""
+
+    def both(whole: Column, p: Payload) -> Column:
+        error = F.when(~whole, F.lit(spec.not_object)).otherwise(spec.error(p))
+        row = F.struct(*[c.alias(n) for n, c in spec.columns(p).items()])
+        return F.struct(error.alias("error"), row.alias("row"))
+
+    made = df.withColumn("_checked", spec.over(payload, both))
+    row = F.when(F.col("_checked.error").isNull(), F.col("_checked.row"))
+    return made.select(*[c for c in df.columns if c != payload], F.col("_checked.error").alias("error"), row.alias("_row"))
+
+
 def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected): valid rows get the typed columns, rejected ones their `error`."""
     checked = df.withColumn("error", spec.error_of(payload))

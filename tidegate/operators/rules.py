@@ -340,8 +340,22 @@ def prepare(
 
     `hosts` spares a second pass over the addresses where the distinct hosts are known already.
     """
-    on = _enabled(enabled)
     rows = page_signals(traffic, enabled, body, headers, keep, brands)
+    hosts = M.distinct_hosts(traffic) if hosts is None else hosts
+    return with_host_rules(rows, hosts, feed, blocklist, enabled, brands, strict)
+
+
+def with_host_rules(
+    rows: DataFrame,
+    hosts: DataFrame,
+    feed: DataFrame | None = None,
+    blocklist: DataFrame | None = None,
+    enabled: Mapping[str, bool] | None = None,
+    brands=None,
+    strict: bool = True,
+) -> DataFrame:
+    """The second half of `prepare`: thin rows of `page_signals` with what lists and labels say."""
+    on = _enabled(enabled)
     defaults = {
         "has_dom": "boolean", "title": "string", "sensitive": "boolean", "brand_hit": "string",
         "redirect_hit": "struct<vector:string,host:string>", "form_hit": "string",
@@ -349,10 +363,7 @@ def prepare(
     for name, kind in defaults.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    signals = host_signals(
-        M.distinct_hosts(traffic) if hosts is None else hosts, feed, blocklist, enabled, brands, strict
-    )
-    rows = rows.join(signals, "host", "left")
+    rows = rows.join(host_signals(hosts, feed, blocklist, enabled, brands, strict), "host", "left")
     configured = F.lit(False)
     if blocklist is not None and on("custom_blacklist"):
         rows = M.with_blocklist_url_hit(rows, blocklist)

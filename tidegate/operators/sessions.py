@@ -116,8 +116,8 @@ def _time_slot(ts: Column, seconds: int) -> Column:
     return slot_of(ts, seconds) + _EPOCH_SHIFT
 
 
-def _cover(first: Column, end: Column) -> Column:
-    """The fewest power-of-two blocks of slots that make up [first, end): at most two per level."""
+def _cover(first: Column, end: Column, levels: int) -> Column:
+    """The fewest power-of-two blocks that make up [first, end): at most two per level."""
 
     def at(level: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
@@ -129,72 +129,91 @@ def _cover(first: Column, end: Column) -> Column:
             lambda n: F.struct(level.alias("level"), n.cast("long").alias("block")),
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
+
+
+def _newest_over(points: DataFrame, spans: DataFrame, key: list[str], levels: int, name: str) -> DataFrame:
+    """For each distinct (key, `at`) of `points` under a span: the largest `session_id` of the spans
+    [first, end) over it, as `name`.
+
+    Points never meet spans: both meet power-of-two blocks, where spans are reduced to a maximum.
+    """
+    blocks = (
+        spans.select(*key, "session_id", F.explode(_cover(F.col("first"), F.col("end"), levels)).alias("b"))
+        .groupBy(*key, "b.level", "b.block")
+        .agg(F.max("session_id").alias("session_id"))
+    )
+    # Per key, a bit mask of the block sizes that occur: points look up no others.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    used = blocks.groupBy(*key).agg(F.bit_or(bit).alias("used"))
+    occurring = F.filter(
+        F.sequence(F.lit(0), F.lit(levels - 1)),
+        lambda level: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level)) != 0,
+    )
+    looked_up = F.transform(
+        occurring,
+        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("at"), level).alias("block")),
+    )
+    return (
+        points.select(*key, "at").distinct()
+        .join(used, key)
+        .select(*key, "at", F.inline(looked_up))
+        .join(blocks, [*key, "level", "block"])
+        .groupBy(*key, "at")
+        .agg(F.max("session_id").alias(name))
+    )
 
 
 def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int = FIVE_MINUTES) -> DataFrame:
     """J9 without explicit ids: adds `open_session_id`, the newest session open at `ts`, or null.
 
-    An interval join that never pairs requests with sessions. Sessions that span a whole slot are
-    reduced to one maximum per (agent, environment, slot), found through power-of-two time blocks;
-    sessions that start or end inside a slot form its short list. Each request then meets exactly
-    one slot row.
+    An interval join that never pairs requests with sessions and gathers no list. Sessions that span a
+    whole slot are looked up through power-of-two blocks of slots, once per (agent, environment, slot).
+    What is left of a session in the slots where it starts and ends is looked up in the same way, through
+    blocks of microseconds inside the slot, by the requests of such slots only.
     """
     key = ["agent_name", "environment"]
-    asked = requests.withColumns(_agent_key()).withColumn("slot", _time_slot(F.col("ts"), slot_seconds))
-    slots = asked.select(*key, "slot").distinct()
+    micros = slot_seconds * 1_000_000
+
+    def inside(ts: Column) -> Column:
+        return F.pmod(F.unix_micros(ts), F.lit(micros))
+
+    asked = requests.withColumns(_agent_key()).withColumns(
+        {"_slot": _time_slot(F.col("ts"), slot_seconds), "_offset": inside(F.col("ts"))}
+    )
+    slots = asked.select(*key, F.col("_slot").alias("at")).distinct()
     spans = sessions.select(
         *key,
         "session_id",
-        "start_time",
-        "end_time",
         _time_slot(F.col("start_time"), slot_seconds).alias("s"),
         _time_slot(F.col("end_time"), slot_seconds).alias("e"),
+        inside(F.col("start_time")).alias("s_offset"),
+        inside(F.col("end_time")).alias("e_offset"),
     )
     # An open session need not reach beyond the last request of its agent.
-    horizon = slots.groupBy(*key).agg((F.max("slot") + 1).alias("horizon"))
-    blocks = (
-        spans.join(horizon, key)
-        .select(*key, "session_id", F.explode(_cover(F.col("s") + 1, F.least("e", "horizon"))).alias("b"))
-        .groupBy(*key, "b.level", "b.block")
-        .agg(F.max("session_id").alias("session_id"))
+    horizon = slots.groupBy(*key).agg((F.max("at") + 1).alias("horizon"))
+    whole = spans.join(horizon, key).select(
+        *key, "session_id", (F.col("s") + 1).alias("first"), F.least("e", "horizon").alias("end")
     )
-    # Per agent, a bit mask of the block sizes that occur: requests look up no others.
-    used = blocks.groupBy(*key).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).alias("used")
-    )
-    levels = F.filter(
-        F.sequence(F.lit(0), F.lit(_LEVELS - 1)),
-        lambda level: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level)) != 0,
-    )
-    looked_up = F.transform(
-        levels,
-        lambda level: F.struct(
-            level.alias("level"), F.call_function("shiftright", F.col("slot"), level).alias("block")
-        ),
-    )
-    spanning = (
-        slots.join(used, key)
-        .select(*key, "slot", F.inline(looked_up))
-        .join(blocks, [*key, "level", "block"])
-        .groupBy(*key, "slot")
-        .agg(F.max("session_id").alias("spanning"))
-    )
-    partial = (
-        spans.withColumn("slot", F.explode(F.array_distinct(F.array_compact(F.array("s", "e")))))
-        .groupBy(*key, "slot")
-        .agg(F.collect_list(F.struct("start_time", "end_time", "session_id")).alias("partial"))
+    spanning = _newest_over(slots, whole, key, _LEVELS, "_spanning").withColumnRenamed("at", "_slot")
+
+    last = F.when(F.col("e") == F.col("s"), F.col("e_offset")).otherwise(F.lit(micros).cast("long"))
+    begun = F.when(
+        F.coalesce(F.col("e") >= F.col("s"), F.col("s").isNotNull()),
+        F.struct(F.col("s").alias("_slot"), F.col("s_offset").alias("first"), last.alias("end")),
     )
-    table = spanning.join(partial, [*key, "slot"], "full")
-    inside = F.filter(
-        "partial",
-        lambda p: (p["start_time"] <= F.col("ts")) & (p["end_time"].isNull() | (F.col("ts") < p["end_time"])),
+    ended = F.when(
+        F.col("e") > F.col("s"),
+        F.struct(F.col("e").alias("_slot"), F.lit(0).cast("long").alias("first"), F.col("e_offset").alias("end")),
     )
-    newest = F.array_max(F.transform(inside, lambda p: p["session_id"]))
+    parts = spans.select(*key, "session_id", F.inline(F.array_compact(F.array(begun, ended))))
+    points = asked.select(*key, "_slot", F.col("_offset").alias("at"))
+    partial = _newest_over(points, parts, [*key, "_slot"], micros.bit_length(), "_partial").withColumnRenamed("at", "_offset")
     return (
-        asked.join(table, [*key, "slot"], "left")
-        .withColumn("open_session_id", F.greatest("spanning", newest))
-        .drop("slot", "spanning", "partial")
+        asked.join(spanning, [*key, "_slot"], "left")
+        .join(partial, [*key, "_slot", "_offset"], "left")
+        .withColumn("open_session_id", F.greatest("_spanning", "_partial"))
+        .drop("_slot", "_offset", "_spanning", "_partial")
     )
 
 

@@ -1188,11 +1188,7 @@ def u5_users(spark, sf_dir):
 def _errors(name: str, view: str, spec: Q.Spec, case: str) -> None:
     @query(name, O.from_views(f"SELECT payload_id, {case} AS error FROM {view}", view))
     def run(spark, sf_dir):
-        rows = V.load(spark, sf_dir, view)
-        valid, rejected = Q.split_valid(rows, spec)
-        return rejected.select("payload_id", "error").unionByName(
-            valid.select("payload_id", F.lit(None).cast("string").alias("error"))
-        )
+        return Q.checked(V.load(spark, sf_dir, view), spec).select("payload_id", "error")
 
 
 def _json(path: str, kind: str = "payload") -> str:
