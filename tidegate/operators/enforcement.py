@@ -44,18 +44,24 @@ def enforcement(
     without a row counts as unreachable. In passive mode an answered block is recorded and not
     applied; failures still follow the failure mode.
     """
-    if failure_mode not in ("fail_closed", "fail_open"):
-        raise ValueError("failure_mode is fail_closed or fail_open")
     own_mode = F.col("passive_mode") if "passive_mode" in decisions.columns else F.lit(None).cast("boolean")
     answered = decisions.select(
         "request_id",
-        F.lower("decision").alias("answer"),
+        "decision",
         "rule_results",
         "error",
         F.coalesce(own_mode, F.lit(passive)).alias("passive"),
         F.lit(True).alias("came_back"),
     )
-    joined = traffic.select("request_id").join(answered, "request_id", "left")
+    return enforced(traffic.select("request_id").join(answered, "request_id", "left"), failure_mode)
+
+
+def enforced(answers: DataFrame, failure_mode: str = "fail_closed", *keep: str) -> DataFrame:
+    """R14 over rows that hold request and answer together: request_id, decision, rule_results, `error`,
+    booleans `passive` and `came_back`. Columns of `keep` go along."""
+    if failure_mode not in ("fail_closed", "fail_open"):
+        raise ValueError("failure_mode is fail_closed or fail_open")
+    joined = answers.withColumn("answer", F.lower("decision"))
     valid = F.coalesce(
         F.col("error").isNull() & F.col("answer").isin("allow", "warn", "block"), F.lit(False)
     )
@@ -84,4 +90,5 @@ def enforcement(
         "source",
         F.when(ok, F.when(blocks, F.lit(403))).otherwise(failed_status).alias("status_code"),
         F.when(ok, F.col("rule_results")).alias("rule_results"),
+        *keep,
     )

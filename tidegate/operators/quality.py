@@ -98,7 +98,11 @@ class Spec:
     not_object: str = "Invalid JSON body"
 
     def over(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
-        """`build` over the parsed payload.
+        """`build` over the parsed payload."""
+        return self.bound(payload, build)[0]
+
+    def bound(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
+        """`build` over the parsed payload, in an array of one element.
 
         One-element arrays bind the variant and its fields, so a filter on the result that the
         optimizer moves around still parses each payload once.
@@ -114,7 +118,7 @@ class Spec:
             return F.struct(whole.alias("_whole"), *[field(v, n) for n in self.fields])
 
         bound = F.transform(F.array(F.try_parse_json(payload)), read)
-        return F.transform(bound, lambda r: build(r["_whole"], lambda name: Field(r[name])))[0]
+        return F.transform(bound, lambda r: build(r["_whole"], lambda name: Field(r[name])))
 
     def error_of(self, payload: str) -> Column:
         return self.over(
@@ -128,16 +132,19 @@ class Spec:
 
 
 def checked(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
-    """All rows in one pass: `error` in place of the payload, and `_row`, the typed columns, null beside an error."""
+    """All rows in one pass: `error` in place of the payload, and `_row`, the typed columns, null beside an error.
+
+    The outer generator keeps later filters above the parse, and the optimizer infers none below it.
+    """
 
     def both(whole: Column, p: Payload) -> Column:
         error = F.when(~whole, F.lit(spec.not_object)).otherwise(spec.error(p))
         row = F.struct(*[c.alias(n) for n, c in spec.columns(p).items()])
-        return F.struct(error.alias("error"), row.alias("row"))
+        return F.struct(error.alias("error"), row.alias("_row"))
 
-    made = df.withColumn("_checked", spec.over(payload, both))
-    row = F.when(F.col("_checked.error").isNull(), F.col("_checked.row"))
-    return made.select(*[c for c in df.columns if c != payload], F.col("_checked.error").alias("error"), row.alias("_row"))
+    kept = [c for c in df.columns if c != payload]
+    made = df.select(*kept, F.inline_outer(spec.bound(payload, both)))
+    return made.withColumn("_row", F.when(F.col("error").isNull(), F.col("_row")))
 
 
 def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

@@ -324,6 +324,14 @@ def _enabled(enabled: Mapping[str, bool] | None) -> Callable[[str], bool]:
     return lambda rule_id: table.get(rule_id, True)
 
 
+def with_book(enabled: Mapping[str, bool] | None, book: RuleBook | None) -> Mapping[str, bool] | None:
+    """Built-in rules that a book leaves out are disabled."""
+    if book is None:
+        return enabled
+    listed = {r.rule_id for r in book.rules}
+    return {**(enabled or {}), **{r: False for r in BUILT_IN if r not in listed}}
+
+
 def prepare(
     traffic: DataFrame,
     feed: DataFrame | None = None,
@@ -473,9 +481,7 @@ def evaluate(
     **options,
 ) -> DataFrame:
     """Traffic to scored rows. `options` are those of `prepare`."""
-    if book is not None:
-        listed = {r.rule_id for r in book.rules}
-        enabled = {**(enabled or {}), **{r: False for r in BUILT_IN if r not in listed}}
+    enabled = with_book(enabled, book)
     return score_rows(prepare(traffic, feed, blocklist, enabled, **options), enabled, book)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegate import schemas
 from tidegate.functions import text as X
 from tidegate.functions import urls as U
+from tidegate.operators import decisions as D
 from tidegate.operators import enforcement as E
 from tidegate.operators import filters as T
 from tidegate.operators import matching as M
@@ -187,7 +188,7 @@ def s6(spark, sf_dir):
     O.scoring(
         f"""SELECT '{{"agent":"' || agent_name || '","decision":"' || decision || '","environment":"' || environment
               || '","event_id":' || request_id || ',"hard_block_triggered":' || hard_block_triggered || ',"method":"' || upper(method)
-              || '","risk_score":' || risk_score || ',"rule_count":' || rule_count || ',"stage_b_required":' || coalesce(stage_b_required, false)
+              || '","risk_score":' || risk_score || ',"rule_count":' || rule_count || ',"session_id":null,"stage_b_required":' || coalesce(stage_b_required, false)
               || ',"timestamp":"' || {O.iso('ts')} || '","triggered_rule_count":' || triggered_rule_count || ',"url":"' || url || '"}}' AS value
             FROM scored"""
     ),
@@ -1292,6 +1293,72 @@ def q4(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ the decision job
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traffic as its senders would post it: some name a session, some an unknown environment."""
+    page = F.col("request_id")
+    env = F.when(page % 9 == 4, F.lit("dev")).otherwise(F.col("environment"))
+    return V.traffic(spark, sf_dir).select(
+        "request_id",
+        F.to_json(F.struct(
+            "url", "method", F.col("req_headers").alias("headers"), "body", env.alias("environment"), "agent_name",
+            X.iso_z(F.timestamp_add("HOUR", page * 3, F.lit("2024-01-01").cast("timestamp"))).alias("timestamp"),
+            F.when(page % 3 == 0, page % 40 + 20).alias("session_id"),
+        )).alias("payload"),
+    )
+
+
+_DECIDED = {
+    "posted": f"""
+        SELECT r.*, p.bare, TIMESTAMP '2024-01-01 00:00:00' + r.request_id * INTERVAL '3' HOUR AS at, {O.path('r.url')} AS url_path,
+               CASE WHEN r.request_id % 3 = 0 THEN r.request_id % 40 + 20 END AS explicit
+        FROM reasons r JOIN pages_x p USING (request_id)""",
+    "passed": f"""
+        SELECT * FROM posted p
+        WHERE request_id % 9 <> 4 AND NOT starts_with(user_agent, 'curl') AND method IN ('GET', 'POST')
+          AND (request_id IN (SELECT request_id FROM blocked WHERE blocklisted) OR NOT (
+            EXISTS (SELECT 1 FROM filter_list f WHERE f.domain <> '' AND contains(p.host, lower(f.domain)))
+            OR len(list_intersect(regexp_split_to_array(host, '[._-]+'), {O.values(dims.NOISE_HOST_TOKENS)})) > 0
+            OR regexp_matches(host, 'clients\\d+|gvt\\d+')
+            OR len(list_filter({O.values(dims.NOISE_PATH_KEYWORDS)}, lambda k: contains(lower(url_path), k))) > 0))""",
+    "open_then": """
+        SELECT p.request_id, max(s.session_id) AS newest FROM passed p JOIN sessions s ON s.agent_name = p.agent_name
+          AND s.environment = p.environment AND s.start_time <= p.at AND (s.end_time IS NULL OR p.at < s.end_time) GROUP BY p.request_id""",
+    "attributed": f"""
+        SELECT p.request_id, p.decision, p.reason, coalesce(p.explicit, o.newest) AS session_id,
+               CASE WHEN p.explicit IS NULL THEN CASE WHEN o.newest IS NULL THEN {O.q(S.NO_SESSION)} END
+                    WHEN s.session_id IS NULL THEN 'Provided session_id does not reference an existing session'
+                    WHEN s.end_time IS NOT NULL AND p.at >= s.end_time THEN 'Provided session_id is already closed'
+                    WHEN p.environment <> s.environment THEN 'Provided environment does not match the referenced session'
+                    WHEN p.agent_name <> s.agent_name THEN 'Provided agent_name does not match the referenced session' END AS error
+        FROM passed p LEFT JOIN sessions s ON s.session_id = p.explicit LEFT JOIN open_then o ON o.request_id = p.request_id
+        UNION ALL
+        SELECT request_id, NULL, NULL, NULL, {O.q("'environment' must be one of: prod, test")}
+        FROM posted WHERE request_id % 9 = 4""",
+    "outcomes": f"""
+        SELECT request_id, CASE WHEN error IS NULL THEN session_id END AS session_id, coalesce(error, '') AS error,
+               CASE WHEN error IS NULL THEN decision ELSE 'block' END AS decision, CASE WHEN error IS NULL THEN reason ELSE {O.q(E.INVALID)} END AS reason,
+               CASE WHEN error IS NULL THEN 'backend' ELSE 'backend_error' END AS source,
+               CAST(CASE WHEN error IS NOT NULL THEN 503 WHEN decision = 'block' THEN 403 END AS BIGINT) AS status_code
+        FROM attributed""",
+}
+DECISION_CTES = O.scored_ctes() | REASONS | {"sessions": V.sql("sessions")} | _DECIDED
+
+
+def _shown_outcome(df: DataFrame) -> DataFrame:
+    return df.select(
+        "request_id", "session_id", F.coalesce("error", F.lit("")).alias("error"), "decision", "reason", "source",
+        long("status_code").alias("status_code"),
+    )
+
+
+@query("d1_decide_traffic", O.with_ctes("SELECT * FROM outcomes", "signals", DECISION_CTES))
+def d1(spark, sf_dir):
+    return _shown_outcome(D.decide_traffic(
+        request_payloads(spark, sf_dir), sessions(spark, sf_dir), filter_list(spark, sf_dir), feed(spark, sf_dir), blocklist(spark, sf_dir)
+    ))
+
+
 # ------------------------------------------------------------------ X streaming
 def _stream_source(spark: SparkSession, name: str, rows: DataFrame, fmt: str) -> str:
     """Rows in files as they lie: a stream over them takes them in several batches."""

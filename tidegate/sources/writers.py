@@ -94,8 +94,9 @@ def decision_records(scored: DataFrame) -> DataFrame:
 
 
 def sorted_json(df: DataFrame) -> Column:
-    """One JSON object per row, keys in order, nulls left out."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    """One JSON object per row, keys in order. Decision records show all keys, others leave nulls out."""
+    whole = set(df.columns) == set(DECISION_FIELDS)
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": str(not whole).lower()})
 
 
 def audit_lines(*records: DataFrame) -> DataFrame:

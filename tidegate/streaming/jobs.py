@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidegate import schemas
 from tidegate.functions import text as X
+from tidegate.operators import decisions as D
 from tidegate.operators import reports as A
 from tidegate.operators import rules as R
 from tidegate.operators import sessions as S
@@ -92,6 +93,29 @@ def write_stream(traffic: DataFrame, path: str, checkpoint: str, **options) -> S
     return score_stream(traffic, audit_sink(path), checkpoint, **options)
 
 
+def decide_stream(
+    payloads: DataFrame, path: str, checkpoint: str, sessions: Callable[[], DataFrame], filter_list: DataFrame,
+    trigger: dict | None = None, **options,
+) -> StreamingQuery:
+    """The decision job over a stream of payloads: audit tables and, in `outcomes`, what was enforced.
+
+    `sessions` is called for every batch, so that it sees the sessions of that time. Folders of a batch
+    are overwritten when it is replayed. `options` are those of `decide_traffic`.
+    """
+    audit = audit_sink(path)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        outcome = D.decide_traffic(batch, sessions(), filter_list, sink=lambda rows: audit(rows, batch_id), **options)
+        outcome.write.mode("overwrite").parquet(f"{path}/outcomes/batch_id={batch_id}")
+
+    return (
+        payloads.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def read_audit(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{table}").drop("batch_id")
 
