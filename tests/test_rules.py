@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate.functions import urls as U
+from tidegate.operators import matching as M
 from tidegate.operators import rules as R
 from tidegate.operators import rulestore as K
 
@@ -226,3 +228,23 @@ def test_seen_rules_are_registered_as_the_registry_has_them(spark):
     known, own = got["sensitive_fields"], got["of_my_own"]
     assert (known["weight"], known["compute_class"], known["description"]) == (0.20, "cheap", "Sensitive Fields Present")
     assert (own["weight"], own["description"], own["is_hard_block"]) == (0.0, "x" * 255, True)
+
+
+def test_whole_suffix_list(spark):
+    """Hosts below suffixes that only a whole list knows, with wildcards and exceptions."""
+    listed = ["com", "co.ke", "ke", "pages.dev", "dev", "*.ck", "!www.ck", "co.uk", "uk"]
+    suffixes = spark.createDataFrame([(s,) for s in listed], "suffix string")
+    hosts = ["paypa1.co.ke", "paypa1.pages.dev", "paypa1.any.ck", "www.paypa1.com", "paypal.com", "quiet-meadow.co.uk", "co.ke"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    # A bare suffix is left out here: this short list gives brand domains below other suffixes such labels.
+    got = {r.host: r for r in R.host_signals(rows.filter("host <> 'co.ke'"), suffixes=suffixes).collect()}
+    assert {h for h, r in got.items() if r.typosquat_hit} == set(hosts[:4])
+    assert {h for h, r in got.items() if r.official} == {"paypal.com"}
+    assert got["paypa1.co.ke"].typosquat_hit.official == "paypal.com"
+    labels = {r.name: r.label for r in M.labels_by_list(rows.withColumnRenamed("host", "name"), suffixes).collect()}
+    want = {r.h: r.l for r in rows.select(F.col("host").alias("h"), U.sld_label(F.col("host"), listed).alias("l")).collect()}
+    assert labels == want
+    traffic = spark.createDataFrame([(1, "https://paypa1.co.ke/", "GET", {"Content-Type": "text/html"}, "<p>x</p>")],
+                                    "request_id long, url string, method string, req_headers map<string,string>, body string")
+    hit = {r.rule_id: r.triggered for r in R.rule_results(R.evaluate(traffic, suffixes=suffixes)).collect()}
+    assert hit["typosquatting"]

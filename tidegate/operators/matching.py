@@ -263,16 +263,66 @@ def official_labels(rows=None) -> list[str]:
     return list(dict.fromkeys(label for *_, label in (dims.brand_rows() if rows is None else rows)))
 
 
-def with_labels(hosts: DataFrame) -> DataFrame:
-    """Adds the label of a host, `own`, and the one after look-alike characters are replaced, `plain`."""
+def labels_by_list(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(name, label) of distinct `name`s by a whole public suffix list, one entry a row in `suffix`.
+
+    Names are exploded into their suffixes, which meet the list by key: entries as they are, `*.`
+    entries by the suffix without its first label, `!` entries as exceptions.
+    """
+    entry = F.lower(F.trim("suffix"))
+    rules = suffixes.select(F.regexp_replace(entry, r"^(\*\.|!)", "").alias("_key"), F.left(entry, F.lit(1)).alias("_mark")).filter("_key <> ''")
+    exact = rules.groupBy("_key").agg(
+        F.bool_or(~F.col("_mark").isin("*", "!")).alias("_plain"), F.bool_or(F.col("_mark") == "!").alias("_kept")
+    )
+    wild = rules.filter("_mark = '*'").select(F.col("_key").alias("_parent"), F.lit(True).alias("_wild")).distinct()
+    parts = F.split("name", r"\.")
+    listed = F.coalesce(F.col("_plain") | F.col("_wild"), "_plain", "_wild", F.lit(False)) & ~F.coalesce("_kept", F.lit(False))
+    return (
+        names.select("name").distinct()
+        .select("name", F.posexplode(U.host_suffixes(F.col("name"))).alias("_pos", "_key"))
+        .withColumn("_parent", F.regexp_replace("_key", r"^[^.]*\.", ""))
+        .join(exact, "_key", "left")
+        .join(wild, "_parent", "left")
+        .groupBy("name")
+        .agg(F.min(F.when(listed, F.col("_pos"))).alias("_first"))
+        .select("name", parts[F.greatest(F.coalesce("_first", F.size(parts) - 1) - 1, F.lit(0))].alias("label"))
+    )
+
+
+def with_labels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds the label of a host, `own`, and the one after look-alike characters are replaced, `plain`.
+
+    `suffixes` is a whole public suffix list as a table; without it the built-in subset counts.
+    """
     bare = U.strip_www(F.col("host"))
-    return hosts.withColumns(
-        {"own": U.sld_label(bare), "plain": U.sld_label(U.normalize_confusables(bare))}
+    plain = U.normalize_confusables(bare)
+    if suffixes is None:
+        return hosts.withColumns({"own": U.sld_label(bare), "plain": U.sld_label(plain)})
+    named = hosts.withColumns({"_bare": bare, "_plain_name": plain})
+    names = named.select(F.explode(F.array("_bare", "_plain_name")).alias("name"))
+    labels = labels_by_list(names, suffixes)
+    return (
+        named.join(labels.select(F.col("name").alias("_bare"), F.col("label").alias("own")), "_bare", "left")
+        .join(labels.select(F.col("name").alias("_plain_name"), F.col("label").alias("plain")), "_plain_name", "left")
+        .drop("_bare", "_plain_name")
     )
 
 
-def is_official(own: Column, plain: Column, rows=None) -> Column:
-    return (own == plain) & U.among(plain, official_labels(rows))
+def officials_by_list(brands: DataFrame, suffixes: DataFrame) -> Column:
+    """array<struct<domain,label>> of a fixed brand table, labelled by the same list, as a scalar subquery.
+
+    Of the domains that share a label the first one counts, as for the built-in labels.
+    """
+    labels = labels_by_list(brands.select(F.col("domain").alias("name")), suffixes).withColumnRenamed("name", "domain")
+    order = F.struct("brand_ord", "domain_ord")
+    first = brands.drop("label").join(labels, "domain").groupBy("label").agg(F.min(order).alias("ord"), F.min_by("domain", order).alias("domain"))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "domain", "label")))
+    return first.agg(F.transform(rows, lambda r: F.struct(r["domain"].alias("domain"), r["label"].alias("label")))).scalar()
+
+
+def is_official(own: Column, plain: Column, rows=None, officials: Column | None = None) -> Column:
+    known = U.among(plain, official_labels(rows)) if officials is None else F.array_contains(officials["label"], plain)
+    return (own == plain) & known
 
 
 def _first_imitated(officials: Column, p: Column) -> Column:
@@ -292,22 +342,25 @@ def _first_imitated(officials: Column, p: Column) -> Column:
     return F.try_element_at(named, F.lit(1))
 
 
-def typosquat_hit(host: Column, own: Column, plain: Column, rows=None, strict: bool = True) -> Column:
+def typosquat_hit(
+    host: Column, own: Column, plain: Column, rows=None, strict: bool = True, officials: Column | None = None
+) -> Column:
     """struct<kind, official> of the first official domain a host imitates, or null.
 
     Only the first domain of a label can be the first hit, so later ones are left out. With
     `strict=False` a host whose own label is official is never a hit, even where the substitution
-    of look-alike characters changes that label.
+    of look-alike characters changes that label. `officials` replaces the array made of `rows`.
     """
-    table, seen = [], set()
+    table, seen, given = [], set(), officials
     for _, _, domain, _, label in dims.brand_rows() if rows is None else rows:
         if label not in seen:
             seen.add(label)
             table.append({"domain": domain, "label": label})
-    officials = _literal(table, "array<struct<domain:string,label:string>>")
-    exempt = U.is_ip(U.strip_www(host)) | is_official(own, plain, rows)
+    if given is None:
+        officials = _literal(table, "array<struct<domain:string,label:string>>")
+    exempt = U.is_ip(U.strip_www(host)) | is_official(own, plain, rows, given)
     if not strict:
-        exempt = exempt | U.among(own, sorted(seen))
+        exempt = exempt | (U.among(own, sorted(seen)) if given is None else F.array_contains(given["label"], own))
 
     # A one-element array binds the labels, so that the search does not derive them per official row.
     pair = F.struct(own.alias("own"), plain.alias("plain"))

@@ -117,6 +117,7 @@ def host_signals(
     enabled: Mapping[str, bool] | None = None,
     brands=None,
     strict: bool = True,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Per host with something to say: `feed_hit`, `typosquat_hit`, `official`, `blocklist_host_hit`.
 
@@ -144,15 +145,18 @@ def host_signals(
     if not use_blocks:
         extra["blocklist_host_hit"] = F.lit(None).cast("boolean")
     if on("typosquatting"):
-        found = M.with_labels(found)
-        own, plain = F.col("own"), F.col("plain")
-        extra["typosquat_hit"] = M.typosquat_hit(F.col("host"), own, plain, brands, strict)
-        extra["official"] = M.is_official(own, plain, brands)
+        found = M.with_labels(found, suffixes)
+        own, plain, officials = F.col("own"), F.col("plain"), None
+        if suffixes is not None:
+            found = found.withColumn("_officials", M.officials_by_list(dims.brand_domains(hosts.sparkSession, brands), suffixes))
+            officials = F.col("_officials")
+        extra["typosquat_hit"] = M.typosquat_hit(F.col("host"), own, plain, brands, strict, officials)
+        extra["official"] = M.is_official(own, plain, brands, officials)
     else:
         extra |= {"typosquat_hit": F.lit(None).cast(none_typo), "official": F.lit(False)}
     return (
         found.withColumns(extra)
-        .drop("own", "plain")
+        .drop("own", "plain", "_officials")
         .filter(
             F.col("typosquat_hit").isNotNull()
             | F.col("official")
@@ -343,14 +347,16 @@ def prepare(
     brands=None,
     strict: bool = True,
     hosts: DataFrame | None = None,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Thin rows with every column the rules read.
 
     `hosts` spares a second pass over the addresses where the distinct hosts are known already.
+    `suffixes` is a whole public suffix list (`suffix`), which labels hosts and brand domains.
     """
     rows = page_signals(traffic, enabled, body, headers, keep, brands)
     hosts = M.distinct_hosts(traffic) if hosts is None else hosts
-    return with_host_rules(rows, hosts, feed, blocklist, enabled, brands, strict)
+    return with_host_rules(rows, hosts, feed, blocklist, enabled, brands, strict, suffixes)
 
 
 def with_host_rules(
@@ -361,6 +367,7 @@ def with_host_rules(
     enabled: Mapping[str, bool] | None = None,
     brands=None,
     strict: bool = True,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """The second half of `prepare`: thin rows of `page_signals` with what lists and labels say."""
     on = _enabled(enabled)
@@ -371,7 +378,7 @@ def with_host_rules(
     for name, kind in defaults.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.join(host_signals(hosts, feed, blocklist, enabled, brands, strict), "host", "left")
+    rows = rows.join(host_signals(hosts, feed, blocklist, enabled, brands, strict, suffixes), "host", "left")
     configured = F.lit(False)
     if blocklist is not None and on("custom_blacklist"):
         rows = M.with_blocklist_url_hit(rows, blocklist)
