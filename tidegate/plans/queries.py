@@ -799,18 +799,28 @@ def r16(spark, sf_dir):
     )
 
 
+# The responses that are analysed, in the form of the traffic that the scoring reads.
+RESPONSES = {
+    "traffic": """
+        SELECT request_id, url, resp_body AS html, method, status_code, TIMESTAMP '2024-01-01 00:00:00' AS ts, 'prod' AS environment,
+               'agent' AS agent_name, resp_type AS content_type, user_agent
+        FROM weblog_verdicts WHERE NOT ignored""",
+}
+
+
 @query(
     "r17_response_evaluations",
     O.with_ctes(
-        """SELECT w.request_id, contains(lower(w.resp_type), 'text/html') AS html_seen
-           FROM weblog_verdicts w WHERE NOT ignored""",
-        "weblog_verdicts",
+        "SELECT s.request_id, s.decision, s.risk_score, l.rule_id, l.score, l.explanation FROM scored s JOIN long l USING (request_id)",
+        "signals", RESPONSES | O.scored_ctes(),
     ),
 )
 def r17(spark, sf_dir):
     rows = R.evaluate_responses(V.weblog(spark, sf_dir), filter_list(spark, sf_dir), feed(spark, sf_dir), blocklist(spark, sf_dir))
-    html_seen = F.size("rule_results") > 0
-    return rows.select("request_id", html_seen.alias("html_seen"))
+    results = F.inline("rule_results")
+    return rows.select("request_id", "decision", "risk_score", results).select(
+        "request_id", "decision", "risk_score", "rule_id", "score", "explanation"
+    )
 
 
 @query(
