@@ -136,7 +136,7 @@ def _newest_over(points: DataFrame, spans: DataFrame, key: list[str], levels: in
     """For each distinct (key, `at`) of `points` under a span: the largest `session_id` of the spans
     [first, end) over it, as `name`.
 
-    Points never meet spans: both meet power-of-two blocks, where spans are reduced to a maximum.
+    Points never meet spans: both meet power-of-two blocks, where spans are reduced to a maximum. Points may repeat; give them distinct where many do.
     """
     blocks = (
         spans.select(*key, "session_id", F.explode(_cover(F.col("first"), F.col("end"), levels)).alias("b"))
@@ -155,7 +155,7 @@ def _newest_over(points: DataFrame, spans: DataFrame, key: list[str], levels: in
         lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("at"), level).alias("block")),
     )
     return (
-        points.select(*key, "at").distinct()
+        points.select(*key, "at")
         .join(used, key)
         .select(*key, "at", F.inline(looked_up))
         .join(blocks, [*key, "level", "block"])
