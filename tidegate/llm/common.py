@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,3 +66,32 @@ def sample_texts(df: DataFrame, group: str | None, buckets: int, chars: int) ->
     keys = [F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_bucket")] + ([F.col(group).alias("_group")] if group else [])
     picked = F.min(F.struct(F.xxhash64("_id", F.lit(1)).alias("h"), F.substring("_text", 1, chars).alias("t")))
     return df.groupBy(*keys).agg(picked.alias("_p")).select(*(["_group"] if group else []), F.col("_p.h").alias("h"), F.col("_p.t").alias("t"))
+
+
+#: Counters that travel in one row of `slot_rows`.
+SLOT_BLOCK = 1 << 12
+SLOT_SCHEMA = "block bigint, sums binary"
+
+
+def slot_rows(total: np.ndarray) -> pa.RecordBatch:
+    """A task's counters as rows of `SLOT_SCHEMA`; their number is a multiple of `SLOT_BLOCK`."""
+    parts = total.reshape(-1, SLOT_BLOCK)
+    chosen = np.flatnonzero(parts.any(axis=1))
+    sums = [parts[i].astype("<i8").tobytes() for i in chosen.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array(sums, pa.binary())], names=["block", "sums"])
+
+
+def sum_slots(rows: DataFrame, slots: int) -> np.ndarray:
+    """`slots` counters, each the sum over all tasks (2^31 - 1 at most)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLOT_BLOCK, np.int64)
+        for sums in table.column("sums"):
+            total += np.frombuffer(sums.as_buffer(), "<i8")
+        most = np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()
+        return pa.table({"block": table.column("block")[:1], "sums": pa.array([most], pa.binary())})
+
+    counts = np.zeros(slots, np.int32)
+    for r in rows.groupBy("block").applyInArrow(add, SLOT_SCHEMA).collect():
+        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["sums"], "<i4")
+    return counts
