@@ -24,6 +24,10 @@ MAX_LANGUAGES = 512
 MAX_SAMPLE_CHARS = 800_000
 CACHE_WORDS = 150_000
 UNDETERMINED = "und"
+#: A text is in no learned language where it needs more bits a character than this many times the median
+#: of labelled texts (or their 95 % quantile, if higher), and `SLACK` phrases more, which short texts need.
+LIMIT = 2.0
+SLACK = 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,6 +78,11 @@ def phrases(nxt: list[dict[str, int]], text: str) -> int:
     return count
 
 
+def _characters(words: list[str]) -> int:
+    """Of all words, each with the spaces around it, as they are cut into phrases."""
+    return sum(map(len, words)) + 2 * len(words)
+
+
 class Model:
     """Sample text by language; automata are built once in each Python worker."""
 
@@ -91,13 +100,8 @@ class Model:
             Model._built[self.key] = ([automaton(t) for t in self.texts], {})
         return Model._built[self.key]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the share of the best language when each language weighs 2 to
-        the power of minus its bits. No letters, no text or no languages: (`und`, 0). Ties go to the
-        language that sorts first."""
-        words = WORD.findall((text or "").lower())
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
+    def _costs(self, words: list[str]) -> list[float]:
+        """Bits of all words under each language."""
         automata, cache = self._parts()
         if len(cache) > CACHE_WORDS:
             cache.clear()
@@ -116,9 +120,35 @@ class Model:
             costs.append((total & 0xFFFFFFFFFF) * bits)
             total >>= 40
         costs.reverse()
+        return costs
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, score): the score is the share of the best language when each language weighs 2 to
+        the power of minus its bits. No letters, no text or no languages: (`und`, 0). Ties go to the
+        language that sorts first."""
+        words = WORD.findall((text or "").lower())
+        if not words or not self.languages:
+            return UNDETERMINED, 0.0
+        costs = self._costs(words)
         best = min(range(len(costs)), key=costs.__getitem__)
         return self.languages[best], 1 / sum(2.0 ** max(-1000.0, costs[best] - c) for c in costs)
 
+    def rate(self, text: str | None) -> float | None:
+        """Bits a character of the text under its best language; null without letters or languages."""
+        words = WORD.findall((text or "").lower())
+        return min(self._costs(words)) / _characters(words) if words and self.languages else None
+
+    def identified(self, text: str | None, limits: dict[str, float]) -> bool:
+        """Whether the text has letters and its best language needs no more bits than the limit of that
+        language allows. Without a limit, or without languages, letters are enough."""
+        words = WORD.findall((text or "").lower())
+        if not words or not self.languages:
+            return bool(words)
+        costs = self._costs(words)
+        best = min(range(len(costs)), key=costs.__getitem__)
+        limit = limits.get(self.languages[best])
+        return limit is None or costs[best] <= limit * _characters(words) + SLACK * self.bits[best]
+
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -154,20 +184,41 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_texts(id_and_text(docs, id_col, text_col), "lang_pred string, score double", run)
 
 
+def limits(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    texts_per_language: int = TEXTS_PER_LANGUAGE, chars_per_text: int = CHARS_PER_TEXT,
+) -> dict[str, float]:
+    """For each language the most bits a character that a text in it may need.
+
+    Learned on labelled rows that are not `held_out` and measured on a bounded sample of those that are.
+    A language without such rows has no limit.
+    """
+    labelled = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), docs[lang_col].cast("string").alias("_lang"))
+    labelled = labelled.where("_lang IS NOT NULL AND _text IS NOT NULL")
+    model = fit(labelled.where(~held_out(F.col("_id"))), "_id", "_text", "_lang", texts_per_language, chars_per_text)
+    picked = sample_texts(labelled.where(held_out(F.col("_id"))), "_lang", texts_per_language, chars_per_text)
+    rated = map_texts(picked.select("_group", F.col("t").alias("_text")), "rate double", lambda texts: {"rate": [model.rate(t) for t in texts]}, ("_group",))
+    found = rated.where("rate IS NOT NULL").groupBy("_group").agg(F.percentile("rate", F.lit(0.5)).alias("mid"), F.percentile("rate", F.lit(0.95)).alias("high"))
+    return {r["_group"]: max(LIMIT * r["mid"], r["high"]) for r in found.collect()}
+
+
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` in which a language is found; texts that are null or have no letters go.
+    """The rows of `docs` in which a learned language is found.
 
-    The model is fitted on all labelled rows of `docs` itself (the bounded sample of `fit`). The decision
-    is made inside the row, so repeated rows, null ids and clashing names do not matter.
+    Texts that are null or have no letters go, and texts whose best language needs more bits a character
+    than `limits` allows. The model is fitted on all labelled rows of `docs` itself (the bounded sample of
+    `fit`); where no language can be learned, all texts with letters stay. The decision is made inside
+    the row, so repeated rows, null ids and clashing names do not matter.
     """
     import pyarrow as pa
 
-    model = fit(docs, id_col, text_col, lang_col)
+    model, allowed = fit(docs, id_col, text_col, lang_col), limits(docs, id_col, text_col, lang_col)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
-            keep = [model.predict(t)[0] != UNDETERMINED for t in batch.column(at).to_pylist()]
+            keep = [model.identified(t, allowed) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        Model._built.clear()  # workers go on to other stages
 
     return docs.mapInArrow(run, docs.schema)
