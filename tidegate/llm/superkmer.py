@@ -4,7 +4,9 @@ A window is `k` consecutive words. Consecutive windows of a document that share
 hash of `m` words in the window) travel as one packed string to the minimiser's bucket: equal windows
 have equal minimisers, so they always meet. There windows are sorted, and every place but the first of
 each is a repeat. A task sends a window once however often it sees it, which bounds what a hot passage
-sends; a bucket is worked off piece by piece and holds only distinct windows.
+sends; a bucket is worked off piece by piece and holds only distinct windows. A minimiser with more than
+`HEAVY` windows is split by the smallest hash of `MIDDLE` words, and where that has as many again, by the
+hash of the whole window; both are the same in equal windows.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import id_and_text, slices
+from tidegate.llm.common import SLOT_SCHEMA, id_and_text, slices, slot_rows, sum_slots
 
 K = 20
 M = 3
 #: Text bytes of a map-side batch, and new packed words (in characters) that a bucket takes before it sorts again.
 BATCH_BYTES = 4_000_000
 BUCKET_BYTES = 4_000_000
+#: Windows are counted by minimiser in `SLOTS` counters; a counter with more than `HEAVY` windows is split.
+MIDDLE = 10
+SLOTS = 1 << 18
+HEAVY = 500_000
 #: Of zstandard.
 LEVEL = 6
 NO_ID = -(1 << 63)
@@ -95,7 +101,25 @@ def _first_places(codes: np.ndarray, windows: np.ndarray, at: np.ndarray, k: int
     return first
 
 
-def split_repeats(segments: Segments, k: int, m: int):
+def _minimisers(hashes: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Smallest hash of `m` words in each window of `k`."""
+    grams = _combined(hashes, m)
+    return _lowest(grams ^ (grams >> np.uint64(31)), k - m + 1)
+
+
+def _routes(hashes: np.ndarray, windows: np.ndarray, at: np.ndarray, k: int, m: int, heavy) -> np.ndarray:
+    """What decides the bucket of each window in `at`: its minimiser unless `heavy` says to split it."""
+    route = _minimisers(hashes, k, m)[at]
+    if heavy is not None:
+        hot = np.flatnonzero(heavy[0][(route % np.uint64(SLOTS)).astype(np.int64)])
+        if len(hot):
+            middle = _minimisers(hashes, k, min(MIDDLE, k))[at[hot]]
+            whole = windows[at[hot]]
+            route[hot] = np.where(heavy[1][(middle % np.uint64(SLOTS)).astype(np.int64)], whole ^ (whole >> np.uint64(31)), middle)
+    return route
+
+
+def split_repeats(segments: Segments, k: int, m: int, heavy=None):
     """(repeats, pieces): runs of windows seen earlier, and runs of the rest that share a minimiser.
 
     `repeats` are rows (id, key, start, windows). `pieces` are (id, key, start, windows, minimiser, first,
@@ -113,11 +137,11 @@ def split_repeats(segments: Segments, k: int, m: int):
     at = np.flatnonzero(np.arange(n) + k <= ends[owner]).astype(np.int32)
     if not len(at):
         return np.zeros((0, 4), np.int64), []
-    first = _first_places(codes, _combined(hashes, k), at, k)
+    windows = _combined(hashes, k)
+    first = _first_places(codes, windows, at, k)
     who = segments.ids[owner]
     repeat = (who[first] != who[at]) | (place[first] != place[at])
-    grams = _combined(hashes, m)
-    minimiser = _lowest(grams ^ (grams >> np.uint64(31)), k - m + 1)[at]
+    minimiser = _routes(hashes, windows, at, k, m, heavy)
 
     def runs(chosen: np.ndarray, *differ: np.ndarray):
         """First and last position in `at` of each run of neighbours among `chosen`."""
@@ -157,12 +181,43 @@ def _unpack(blob: bytes) -> tuple[int, np.ndarray, bytes]:
     return kind, np.stack(columns, axis=1), data[at:]
 
 
-def _to_buckets(k: int, m: int, buckets: int):
+def _window_counts(k: int, m: int):
+    """Texts -> rows of `SLOT_SCHEMA`: windows by minimiser, then by the smallest hash of `MIDDLE` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, digest = np.zeros((2, SLOTS), np.int64), xxhash.xxh64_intdigest
+        for batch in slices(batches):
+            known: dict[bytes, int] = {}
+            for text in batch.column(0).to_pylist():
+                tokens = (text or "").encode("utf-8", "surrogatepass").split()
+                if len(tokens) < k:
+                    continue
+                for w in tokens:
+                    if w not in known:
+                        known[w] = digest(w, SEED)
+                hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                for level, words in enumerate((m, min(MIDDLE, k))):
+                    found = _minimisers(hashes, k, words)[: len(tokens) - k + 1]
+                    edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                    runs = np.diff(np.concatenate([edges, [len(found)]]))
+                    np.add.at(total[level], (found[edges] % np.uint64(SLOTS)).astype(np.int64), runs)
+        yield slot_rows(total.ravel())
+
+    return run
+
+
+def _heavy(rows: DataFrame, k: int, m: int) -> np.ndarray | None:
+    """Counters with more than `HEAVY` windows, for both levels; null if there are none at the first."""
+    counts = sum_slots(rows.select("_text").mapInArrow(_window_counts(k, m), SLOT_SCHEMA), 2 * SLOTS).reshape(2, SLOTS)
+    return counts > HEAVY if (counts[0] > HEAVY).any() else None
+
+
+def _to_buckets(k: int, m: int, buckets: int, heavy=None):
     """Documents -> rows (bucket, packed super-k-mers) and, in any bucket, packed repeats found already."""
 
     def flush(ids, keys, lengths, words):
         segments = Segments(ids, keys, np.zeros(len(ids), np.int64), np.array(lengths, np.int64), words)
-        repeats, pieces = split_repeats(segments, k, m)
+        repeats, pieces = split_repeats(segments, k, m, heavy)
         out = []
         if len(repeats):
             out.append((int(abs(int(repeats[0].sum()))) % buckets, _pack(0, repeats, b"")))
@@ -261,7 +316,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(2**31 - 1, max(16, 3 * size // BUCKET_BYTES)))
     rows = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID)).alias("_id"), _key(F.col("_text")).alias("_key"), "_text")
-    packed = rows.mapInArrow(_to_buckets(k, m, buckets), "bucket int, packed binary")
+    packed = rows.mapInArrow(_to_buckets(k, m, buckets, _heavy(rows, k, m)), "bucket int, packed binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets(k, m), "_id bigint, _key bigint, start bigint, n bigint")
 
 
