@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegate.llm import decontam, langid, licences, orderminhash, ordinal, piece_bpe, reshard, simhash, superkmer, tokencount
+from tidegate.llm import (
+    byte_bpe, collocate, decontam, langid, licences, orderminhash, ordinal, piece_bpe, reshard, simhash, superkmer, tokencount,
+)
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,11 +94,20 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL))
+    return made.withColumnRenamed("_id", "doc_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_language, op3_decontamination, op4_quality, op5_reshard, op6_licences, op7_substrings, op8_token_counts,
-        op9_sentencepiece, op10_order_minhash,
+        op9_sentencepiece, op10_order_minhash, op12_byte_bpe, op13_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -124,4 +136,26 @@ ORACLES = {
                  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+        run AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM run GROUP BY lang),
+        place AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM run, generate_series(1, 5) AS s(k)),
+        gram AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS w, count(*) AS a
+                 FROM place GROUP BY 1, 2 HAVING count(*) >= 100),
+        cand AS (SELECT * FROM gram WHERE len(w) > 1),
+        part AS (SELECT lang, a, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM cand, generate_series(2, 4) AS s(k) WHERE k < len(w)),
+        most AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS most FROM part GROUP BY 1, 2),
+        kept AS (SELECT cand.* FROM cand LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR most * 100 < a * 100),
+        cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+                FROM kept, generate_series(1, 4) AS s(k) WHERE k < len(w)),
+        scored AS (SELECT cut.lang, cut.phrase, cut.a, k, f.a AS l, g.a AS r, n,
+                   CAST((1000::HUGEINT * cut.a * n) // (f.a::HUGEINT * g.a) AS BIGINT) AS score
+                   FROM cut JOIN gram f ON f.lang = cut.lang AND f.phrase = x JOIN gram g ON g.lang = cut.lang AND g.phrase = y
+                   JOIN total ON total.lang = cut.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best QUALIFY rank <= 2000""",
 }
