@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegate.llm import (
-    byte_bpe, collocate, decontam, langid, licences, orderminhash, ordinal, piece_bpe, reshard, simhash, superkmer, tokencount,
+    byte_bpe, collocate, convrepair, decontam, langid, licences, orderminhash, ordinal, piece_bpe, reshard, simhash, superkmer,
+    tokencount,
 )
 
 MODEL = "piece_bpe_32k.model"
@@ -94,6 +95,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.report(convrepair.repair(convrepair.damage(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL))
     return made.withColumnRenamed("_id", "doc_id")
@@ -107,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_language, op3_decontamination, op4_quality, op5_reshard, op6_licences, op7_substrings, op8_token_counts,
-        op9_sentencepiece, op10_order_minhash, op12_byte_bpe, op13_collocations,
+        op9_sentencepiece, op10_order_minhash, op11_conversations, op12_byte_bpe, op13_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 
