@@ -1,7 +1,7 @@
 """Phrase collocations by stripes: each prefix keys an associative counter of the words that follow it.
 
-A task counts stripes over a batch of texts and sends one row for each (language, prefix); the rows of a
-prefix are merged elementwise. The stripe of the empty prefix counts the words, its total is the number of
+A task counts stripes over a batch of texts and sends them packed, all of a bucket of prefixes in one row;
+the stripes of a prefix are merged elementwise. The stripe of the empty prefix counts the words, its total is the number of
 all words; a merged stripe holds the extensions of its prefix with their counts. Three readings of the
 texts suffice: words, then pairs of frequent words, then all longer phrases whose pairs are frequent. What is
 frequent reaches the tasks as a bitmap of fixed size, which may let too much through but never too little;
@@ -11,6 +11,7 @@ next word.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -18,17 +19,22 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import checkpoint, id_and_text, slices
 
-#: Text bytes of a map-side batch, bits of the bitmap, parts of a hot stripe; a prefix is hot with 1 / HOT of all words.
+#: Text bytes of a map-side batch and of a bucket of stripes, bits of the bitmap, parts of a hot stripe; a prefix is
+#: hot with 1 / HOT of all words.
 BATCH_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 BITS = 1 << 25
 PARTS = 64
 HOT = 1000
 SEED = 42
+#: Of zstandard.
+LEVEL = 3
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Everything that ends a piece becomes a line break, a tab a space.
@@ -36,7 +42,7 @@ ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Stands between pieces; no UTF-8 text holds this byte.
 BORDER = b"\xff"
 
-STRIPE = "lang string, prefix string, part int, words string, counts binary"
+PACKED = "bucket int, packed binary"
 MERGED = "lang string, prefix string, total bigint, extensions array<struct<word:string,n:bigint,slot:bigint>>"
 
 
@@ -85,9 +91,9 @@ class Batch:
             folded = np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), SEED)) * np.uint64(MULTIPLIER) + self.hashes
         return np.isin(_slot(folded), np.array(slots, np.uint64))
 
-    def stripes(self, prefix: np.ndarray, at: np.ndarray, words: int, cut) -> Iterator[tuple]:
-        """Rows of STRIPE for phrases of `words` words at the places `at` (ascending), whose first words but
-        one have the numbers `prefix`; `cut` says which places belong to hot prefixes."""
+    def stripes(self, prefix: np.ndarray, at: np.ndarray, words: int, cut, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """(bucket, prefix and its next words, their counts) for phrases of `words` words at the places `at`
+        (ascending), whose words but the last have the numbers `prefix`; `cut` tells places of hot prefixes."""
         if not len(at):
             return
         after = self.codes[at + words - 1]
@@ -97,11 +103,16 @@ class Batch:
         group = keys // width
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(keys)]
         following, n = (keys % width).tolist(), n.astype("<i4")
+        places = at[first[edges[:-1]]]
+        folded = (group[edges[:-1]] % PARTS).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(words - 1):
+                folded = folded * np.uint64(MULTIPLIER) + self.hashes[self.codes[places + j]]
+            bucket = (((folded ^ (folded >> np.uint64(33))) * np.uint64(MULTIPLIER)) >> np.uint64(20)) % np.uint64(buckets)
         name = self.words.__getitem__
-        for a, b in zip(edges, edges[1:]):
-            place = at[first[a]]
+        for where, place, a, b in zip(bucket.tolist(), places.tolist(), edges, edges[1:]):
             head = b" ".join(map(name, self.codes[place : place + words - 1].tolist()))
-            yield self.lang, head, int(group[a] % PARTS), b" ".join(map(name, following[a:b])), n[a:b].tobytes()
+            yield where, head + b"\t" + b" ".join(map(name, following[a:b])), n[a:b]
 
 
 def _numbered(above: np.ndarray, codes: np.ndarray, width: int) -> np.ndarray:
@@ -109,11 +120,11 @@ def _numbered(above: np.ndarray, codes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(above * width + codes, return_inverse=True)[1]
 
 
-def _level_rows(batch: Batch, level: int, longest: int, bitmap: np.ndarray | None, hot: list[int]) -> Iterator[tuple]:
+def _level_rows(batch: Batch, level: int, longest: int, bitmap: np.ndarray | None, hot: list[int], buckets: int) -> Iterator[tuple]:
     """Stripes of one reading: 1 words, 2 pairs, 3 phrases of 3 to `longest` words."""
     if level == 1:
         at = np.flatnonzero(batch.real)
-        yield from batch.stripes(np.zeros(len(at), np.int64), at, 1, np.ones(len(at), bool))
+        yield from batch.stripes(np.zeros(len(at), np.int64), at, 1, np.ones(len(at), bool), buckets)
         return
     known = batch.frequent(bitmap, level - 1)
     hot_head = batch.among(hot)
@@ -130,7 +141,7 @@ def _level_rows(batch: Batch, level: int, longest: int, bitmap: np.ndarray | Non
         good[: len(good) - shift] &= known[shift:]
         good[len(good) - shift :] = False
         at = np.flatnonzero(good)
-        yield from batch.stripes(number[at], at, words, hot_head[batch.codes[at]])
+        yield from batch.stripes(number[at], at, words, hot_head[batch.codes[at]], buckets)
         if level == 2:
             return
         fresh = np.full(len(number), -1, np.int64)
@@ -138,26 +149,41 @@ def _level_rows(batch: Batch, level: int, longest: int, bitmap: np.ndarray | Non
         number = fresh
 
 
-def _stripes(level: int, longest: int, bitmap, hot: list[int], batch_bytes: int):
-    """Rows (lang, text) -> rows of STRIPE; a batch of texts is counted before anything is sent."""
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        types = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        made = [pa.array(c, t) for c, t in zip(columns, types)]
-        made[1], made[3] = made[1].cast(pa.string()), made[3].cast(pa.string())
-        return pa.RecordBatch.from_arrays(made, names=["lang", "prefix", "part", "words", "counts"])
-
-    def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for lang, texts in held.items():
-            for row in _level_rows(Batch(lang, texts), level, longest, bitmap.value if bitmap else None, hot):
-                rows.append(row)
-                if len(rows) >= 20_000:
-                    yield packed(rows)
-                    rows = []
-        if rows:
-            yield packed(rows)
+def _pack(held: dict[str, tuple[list[bytes], list[np.ndarray]]]) -> bytes:
+    """Stripes of a bucket by language: counts, then a line for each stripe."""
+    sizes = [(lang, len(lines), sum(map(len, counts))) for lang, (lines, counts) in held.items()]
+    head = json.dumps(sizes).encode()
+    numbers = np.concatenate([c for _, counts in held.values() for c in counts]).tobytes()
+    text = b"\n".join(line for lines, _ in held.values() for line in lines)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(len(head).to_bytes(8, "little") + head + numbers + text)
+
+
+def _unpack(blob) -> Iterator[tuple[str, list[bytes], list[int]]]:
+    """(language, lines, counts) of each language of a packed bucket."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    at = 8 + int.from_bytes(data[:8], "little")
+    sizes = json.loads(data[8:at])
+    numbers = np.frombuffer(data, "<i4", sum(n for *_, n in sizes), at).tolist()
+    lines, a, b = data[at + 4 * len(numbers) :].split(b"\n"), 0, 0
+    for lang, n_lines, n_counts in sizes:
+        yield lang, lines[a : a + n_lines], numbers[b : b + n_counts]
+        a, b = a + n_lines, b + n_counts
+
+
+def _stripes(level: int, longest: int, bitmap, hot: list[int], buckets: int, batch_bytes: int):
+    """Rows (lang, text) -> rows of PACKED; a batch of texts is counted before anything is sent."""
+
+    def flush(texts_of: dict[str, list[bytes]]) -> pa.RecordBatch:
+        held: dict[int, dict[str, tuple[list, list]]] = {}
+        for lang, texts in texts_of.items():
+            for bucket, line, counts in _level_rows(Batch(lang, texts), level, longest, bitmap.value if bitmap else None, hot, buckets):
+                lines, numbers = held.setdefault(bucket, {}).setdefault(lang, ([], []))
+                lines.append(line)
+                numbers.append(counts)
+        order = sorted(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(order, pa.int32()), pa.array([_pack(held.pop(b)) for b in order], pa.binary())], names=["bucket", "packed"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -169,53 +195,57 @@ def _stripes(level: int, longest: int, bitmap, hot: list[int], batch_bytes: int)
                     held.setdefault(lang, []).append(data)
                     size += len(data)
                     if size >= batch_bytes:
-                        yield from flush(held)
+                        yield flush(held)
                         held, size = {}, 0
-        yield from flush(held)
+        yield flush(held)
 
     return run
 
 
 def _merge(least: int):
-    """Rows of STRIPE sorted by (lang, prefix, part) -> rows of MERGED: stripes added up word by word.
+    """Rows of PACKED sorted by bucket -> rows of MERGED: the stripes of a prefix added up word by word.
 
-    Memory is bounded by the different words of one stripe (of one part of a hot one).
+    Memory is bounded by the different phrases of one bucket; buckets grow in number, not in size.
     """
-
-    def merged(key: tuple[str, str, int], counter: dict[str, int]) -> dict:
-        prefix = key[1].encode("utf-8", "surrogatepass").split(b" ") if key[1] else []
-        kept = [
-            {"word": w, "n": n, "slot": _phrase_slot(key[0], [*prefix, w.encode("utf-8", "surrogatepass")])}
-            for w, n in counter.items() if n >= least
-        ]
-        return {"lang": key[0], "prefix": key[1], "total": sum(counter.values()), "extensions": kept}
-
     shape = pa.schema([
         ("lang", pa.string()), ("prefix", pa.string()), ("total", pa.int64()),
         ("extensions", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("slot", pa.int64())]))),
     ])
 
+    def rows(counters: dict[tuple[str, bytes], dict[bytes, int]]) -> list[dict]:
+        out = []
+        for (lang, prefix), counter in counters.items():
+            if prefix and max(counter.values()) < least:
+                continue
+            before = prefix.split(b" ") if prefix else []
+            kept = [{"word": w.decode("utf-8", "surrogatepass"), "n": n, "slot": _phrase_slot(lang, [*before, w])} for w, n in counter.items() if n >= least]
+            out.append({"lang": lang, "prefix": prefix.decode("utf-8", "surrogatepass"), "total": sum(counter.values()), "extensions": kept})
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counter, out = None, {}, []
-
-        def settle() -> None:
-            if now is not None and (now[1] == "" or max(counter.values()) >= least):
-                out.append(merged(now, counter))
-
-        for batch in slices(batches, 2000):
-            for *key, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                key = tuple(key)
-                if key != now:
-                    settle()
-                    now, counter = key, {}
-                for w, n in zip(words.split(" "), np.frombuffer(counts, "<i4").tolist()):
-                    counter[w] = counter.get(w, 0) + n
-            if out:
-                yield pa.RecordBatch.from_pylist(out, shape)
-                out = []
-        settle()
-        if out:
-            yield pa.RecordBatch.from_pylist(out, shape)
+        now: int | None = None
+        counters: dict[tuple[str, bytes], dict[bytes, int]] = {}
+        for batch in slices(batches, 50):
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now:
+                    if made := rows(counters):
+                        yield pa.RecordBatch.from_pylist(made, shape)
+                    now, counters = bucket, {}
+                for lang, lines, counts in _unpack(packed.as_buffer()):
+                    at = 0
+                    for line in lines:
+                        prefix, _, following = line.partition(b"\t")
+                        words = following.split(b" ")
+                        numbers = counts[at : at + len(words)]
+                        at += len(words)
+                        counter = counters.get((lang, prefix))
+                        if counter is None:
+                            counters[lang, prefix] = dict(zip(words, numbers))
+                        else:
+                            for w, n in zip(words, numbers):
+                                counter[w] = counter.get(w, 0) + n
+        if made := rows(counters):
+            yield pa.RecordBatch.from_pylist(made, shape)
 
     return run
 
@@ -244,10 +274,12 @@ def stripes(
     for the empty prefix, the number of all words (a sum over its rows).
     """
     rows = id_and_text(docs, text_col, text_col, F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("_lang")).select("_lang", "_text")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = int(min(2**31 - 1, max(16, size // BUCKET_BYTES)))
     context, done, bitmap, hot = docs.sparkSession.sparkContext, None, None, set()
     for level in range(1, min(longest, 3) + 1):
-        sent = rows.mapInArrow(_stripes(level, longest, bitmap, hot, batch_bytes), STRIPE)
-        dealt = sent.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+        sent = rows.mapInArrow(_stripes(level, longest, bitmap, hot, buckets, batch_bytes), PACKED)
+        dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
         made = checkpoint(dealt.mapInArrow(_merge(least), MERGED))
         done = made if done is None else done.union(made)
         if level < min(longest, 3):
