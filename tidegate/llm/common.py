@@ -81,17 +81,32 @@ def slot_rows(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array(sums, pa.binary())], names=["block", "sums"])
 
 
-def sum_slots(rows: DataFrame, slots: int) -> np.ndarray:
-    """`slots` counters, each the sum over all tasks (2^31 - 1 at most)."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `SLOT_SCHEMA` sorted by block -> one row for each block; one block is held at a time."""
+
+    def told(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLOT_BLOCK, np.int64)
-        for sums in table.column("sums"):
-            total += np.frombuffer(sums.as_buffer(), "<i8")
-        most = np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()
-        return pa.table({"block": table.column("block")[:1], "sums": pa.array([most], pa.binary())})
+    now, total = None, np.zeros(SLOT_BLOCK, np.int64)
+    for batch in slices(batches, 50):
+        for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if block != now:
+                if now is not None:
+                    yield told(now, total)
+                now, total = block, np.zeros(SLOT_BLOCK, np.int64)
+            total = total + np.frombuffer(sums.as_buffer(), "<i8")
+    if now is not None:
+        yield told(now, total)
 
+
+def sum_slots(rows: DataFrame, slots: int) -> np.ndarray:
+    """`slots` counters, each the sum over all tasks (2^31 - 1 at most); the rows of a block are added up in
+    two steps, first by groups of tasks."""
+    rows = rows.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(32)))
+    for keys in (["block", "_group"], ["block"]):
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys).select("block", "sums").mapInArrow(_added, SLOT_SCHEMA)
     counts = np.zeros(slots, np.int32)
-    for r in rows.groupBy("block").applyInArrow(add, SLOT_SCHEMA).collect():
-        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["sums"], "<i4")
+    for r in rows.collect():
+        most = np.minimum(np.frombuffer(r["sums"], "<i8"), (1 << 31) - 1)
+        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = most
     return counts
