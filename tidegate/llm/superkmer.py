@@ -181,35 +181,52 @@ def _unpack(blob: bytes) -> tuple[int, np.ndarray, bytes]:
     return kind, np.stack(columns, axis=1), data[at:]
 
 
-def _window_counts(k: int, m: int):
-    """Texts -> rows of `SLOT_SCHEMA`: windows by minimiser, then by the smallest hash of `MIDDLE` words."""
+def _window_counts(k: int, m: int, heavy: np.ndarray | None = None):
+    """Texts -> rows of `SLOT_SCHEMA`: windows by the smallest hash of `m` words, a batch of texts at a time; or,
+    of the windows that are `heavy` by it, by the smallest hash of `MIDDLE` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, digest = np.zeros((2, SLOTS), np.int64), xxhash.xxh64_intdigest
+        total, digest = np.zeros(SLOTS, np.int64), xxhash.xxh64_intdigest
+
+        def count_in(words: list[bytes], lengths: list[int]) -> None:
+            code_of: dict[bytes, int] = defaultdict(count().__next__)
+            codes = np.fromiter(map(code_of.__getitem__, words), np.int32, len(words))
+            hashes = np.fromiter((digest(w, SEED) for w in code_of), np.uint64, len(code_of))[codes]
+            ends = np.cumsum(lengths)
+            valid = np.ones(len(words), bool)
+            for j in range(1, k):
+                valid[ends - j] = False
+            found = (_minimisers(hashes, k, m) % np.uint64(SLOTS)).astype(np.int64)
+            if heavy is not None:
+                valid &= heavy[found]
+                found = (_minimisers(hashes, k, min(MIDDLE, k)) % np.uint64(SLOTS)).astype(np.int64)
+            total[:] += np.bincount(found[valid], minlength=SLOTS)
+
+        words, lengths, size = [], [], 0
         for batch in slices(batches):
-            known: dict[bytes, int] = {}
             for text in batch.column(0).to_pylist():
                 tokens = (text or "").encode("utf-8", "surrogatepass").split()
-                if len(tokens) < k:
-                    continue
-                for w in tokens:
-                    if w not in known:
-                        known[w] = digest(w, SEED)
-                hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                for level, words in enumerate((m, min(MIDDLE, k))):
-                    found = _minimisers(hashes, k, words)[: len(tokens) - k + 1]
-                    edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                    runs = np.diff(np.concatenate([edges, [len(found)]]))
-                    np.add.at(total[level], (found[edges] % np.uint64(SLOTS)).astype(np.int64), runs)
-        yield slot_rows(total.ravel())
+                if len(tokens) >= k:
+                    words += tokens
+                    lengths.append(len(tokens))
+                    size += len(text)
+                if size >= BATCH_BYTES:
+                    count_in(words, lengths)
+                    words, lengths, size = [], [], 0
+        if words:
+            count_in(words, lengths)
+        yield slot_rows(total)
 
     return run
 
 
 def _heavy(rows: DataFrame, k: int, m: int) -> np.ndarray | None:
     """Counters with more than `HEAVY` windows, for both levels; null if there are none at the first."""
-    counts = sum_slots(rows.select("_text").mapInArrow(_window_counts(k, m), SLOT_SCHEMA), 2 * SLOTS).reshape(2, SLOTS)
-    return counts > HEAVY if (counts[0] > HEAVY).any() else None
+    texts = rows.select("_text")
+    first = sum_slots(texts.mapInArrow(_window_counts(k, m), SLOT_SCHEMA), SLOTS) > HEAVY
+    if not first.any():
+        return None
+    return np.stack([first, sum_slots(texts.mapInArrow(_window_counts(k, m, first), SLOT_SCHEMA), SLOTS) > HEAVY])
 
 
 def _to_buckets(k: int, m: int, buckets: int, heavy=None):
@@ -302,6 +319,11 @@ def _in_buckets(k: int, m: int):
     return run
 
 
+def _whole_id(row_id: Column, text: Column) -> Column:
+    """Ids as whole numbers; null ids come first, each text with one of 2^62 numbers of its own."""
+    return F.coalesce(row_id.cast("long"), F.lit(NO_ID) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
 def _key(text: Column) -> Column:
     """Tells rows of one id with different texts apart: 32 bits of a hash."""
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))
@@ -310,12 +332,13 @@ def _key(text: Column) -> Column:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
     """(`_id`, `_key`, `start`, `n`): runs of `n` windows from word `start` that also start earlier.
 
-    `_key` is a hash of the text. Ids are whole numbers; a null id counts as the smallest one.
+    `_key` is a hash of the text. Ids are whole numbers; null ids come before all others, and among them a
+    hash of the text decides.
     """
     rows = id_and_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(2**31 - 1, max(16, 3 * size // BUCKET_BYTES)))
-    rows = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID)).alias("_id"), _key(F.col("_text")).alias("_key"), "_text")
+    rows = rows.select(_whole_id(F.col("_id"), F.col("_text")).alias("_id"), _key(F.col("_text")).alias("_key"), "_text")
     packed = rows.mapInArrow(_to_buckets(k, m, buckets, _heavy(rows, k, m)), "bucket int, packed binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets(k, m), "_id bigint, _key bigint, start bigint, n bigint")
 
@@ -336,8 +359,9 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All columns of `docs` and `_starts`, `_counts`: the runs of repeated windows of each row, or null."""
     runs = repeats(docs, id_col, text_col, k, m).groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
-    match = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == runs["_rid"]) & (_key(docs[text_col].cast("string")) == runs["_rkey"])
-    return docs.join(runs, match, "left").select(*(docs[c] for c in docs.columns), "_starts", "_counts")
+    text = docs[text_col].cast("string")
+    match = (_whole_id(docs[id_col], text) == runs["_rid"]) & (_key(text) == runs["_rkey"])
+    return docs.join(runs, match, "left").select(*(docs[c] for c in docs.columns), runs["_starts"], runs["_counts"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -346,8 +370,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs of anything but ASCII white space, unchanged. Each word is removed that is covered by a
     window of `k` words which also starts earlier: in a smaller id, or earlier in the same document. All
     windows are judged on the input. Null and empty texts, and texts of fewer than `k` words, lose nothing.
-    Repeated rows of one id and text are neither earlier nor later than each other and get equal results; a
-    null id comes before all others. Other columns are not looked at. An empty table gives no rows.
+    Repeated rows of one id and text are neither earlier nor later than each other and get equal results;
+    null ids come before all others, rows of one text as one document. Other columns are not looked at. An empty table gives no rows.
     """
     rows = with_repeats(id_and_text(docs, id_col, text_col), "_id", "_text", k, m)
 
