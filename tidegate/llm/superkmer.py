@@ -356,12 +356,16 @@ def cut(text: str | None, starts: list[int] | None, counts: list[int] | None, k:
 
 
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
-    """All columns of `docs` and `_starts`, `_counts`: the runs of repeated windows of each row, or null."""
+    """All columns of `docs` and two more: starts and numbers of the runs of repeated windows of each row, or
+    null. They are called `_starts` and `_counts`, behind as many marks as tell them from columns of `docs`."""
+    mark = "_"
+    while {f"{mark}starts", f"{mark}counts"} & set(docs.columns):
+        mark += "_"
     runs = repeats(docs, id_col, text_col, k, m).groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
+    runs = runs.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.col("_runs.start").alias(f"{mark}starts"), F.col("_runs.n").alias(f"{mark}counts"))
     text = docs[text_col].cast("string")
     match = (_whole_id(docs[id_col], text) == runs["_rid"]) & (_key(text) == runs["_rkey"])
-    return docs.join(runs, match, "left").select(*(docs[c] for c in docs.columns), runs["_starts"], runs["_counts"])
+    return docs.join(runs, match, "left").select(*(docs[c] for c in docs.columns), runs[f"{mark}starts"], runs[f"{mark}counts"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
