@@ -69,13 +69,15 @@ def test_filter_list_equals_brute_force(spark):
     assert column(got, "host") == sorted(h for h in hosts if any(d and d in h for d in listed))
 
 
-def test_verdict_lifetime(spark):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_verdict_lifetime(spark, parts):
     rng, start = random.Random(5), datetime(2024, 1, 1)
     seen = [(rng.choice("abc"), start + timedelta(seconds=i * 37), rng.random() < 0.5, "URLhaus") for i in range(0, 900, 3)]
     asked = [(i, rng.choice("abcd"), start + timedelta(seconds=rng.randint(0, 40_000))) for i in range(400)]
     got = M.verdicts_as_of(
         spark.createDataFrame(asked, "request_id long, domain string, timestamp timestamp"),
         spark.createDataFrame(seen, "domain string, observed_at timestamp, listed boolean, source string"),
+        parts=parts,
     )
     want = {}
     for key, domain, at in asked:

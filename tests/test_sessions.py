@@ -48,10 +48,10 @@ def rotate(moves):
 LIFECYCLE = "event_id long, ts timestamp, action string, environment string, agent_name string"
 
 
-@pytest.mark.parametrize("slot", [3600, 86_400])
-def test_rotation(spark, slot):
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_rotation(spark, parts):
     moves = moves_of(1)
-    got = S.rotate_sessions(spark.createDataFrame(moves, LIFECYCLE), slot).orderBy("session_id").collect()
+    got = S.rotate_sessions(spark.createDataFrame(moves, LIFECYCLE), parts).orderBy("session_id").collect()
     shown = [
         (r["session_id"], r["start_time"], r["agent_name"], r["environment"], r["replaced_session_id"], r["end_time"], r["end_reason"])
         for r in got
@@ -65,8 +65,8 @@ def test_stop_without_session_is_a_no_op(spark):
     assert [(r["session_id"], r["end_time"]) for r in rows] == [(2, None)]
 
 
-@pytest.mark.parametrize("slot", [60, 7200])
-def test_open_session_equals_brute_force(spark, slot):
+@pytest.mark.parametrize("parts", [1, 4, 25])
+def test_open_session_equals_brute_force(spark, parts):
     rng = random.Random(2)
     sessions = []
     for i in range(120):
@@ -79,7 +79,7 @@ def test_open_session_equals_brute_force(spark, slot):
     got = S.open_session_at(
         spark.createDataFrame(asked, "event_id long, ts timestamp, environment string, agent_name string"),
         spark.createDataFrame(sessions, "session_id long, user_id long, start_time timestamp, end_time timestamp, environment string, agent_name string"),
-        slot,
+        parts,
     )
     want = {}
     for i, ts, env, agent in asked:
@@ -88,25 +88,42 @@ def test_open_session_equals_brute_force(spark, slot):
     assert {r["event_id"]: r["open_session_id"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("slot, depth", [(86_400, 3), (3600, 4)])
-def test_context_equals_brute_force(spark, slot, depth):
+@pytest.mark.parametrize("parts, depth, span", [(1, 3, 6), (12, 4, 6), (12, 2, 0)])
+def test_context_equals_brute_force(spark, parts, depth, span):
+    """One session holds most rows; with a span of zero all of its rows have one time."""
     rng = random.Random(4)
     events = [
-        (i, rng.choice([1, 1, 1, 2, 3]), moment(rng), f"https://h{rng.randint(0, 9)}.com/{i}", rng.random() < 0.3) for i in range(400)
+        (i, rng.choice([1, 1, 1, 1, 2, 3]), moment(rng, span), f"https://h{rng.randint(0, 9)}.com/{i}", rng.choice([True, False, None])) for i in range(400)
     ]
     rows = spark.createDataFrame(events, "event_id long, session_id long, timestamp timestamp, url string, sensitive boolean")
-    got = {r["event_id"]: r for r in S.session_context(rows, depth, slot).collect()}
-    assert len(got) == len(events)
+    context = S.session_context(rows, parts)
+    got = {r["event_id"]: r for r in context.collect()}
+    lists = {r["event_id"]: r["previous_urls"] for r in S.latest_urls(context, depth).collect()}
+    asked = spark.createDataFrame([(i,) for i in range(0, 400, 9)], "event_id long")
+    histories = {}
+    for r in sorted(S.previous_urls(context, asked).collect(), key=lambda r: r["position"]):
+        histories.setdefault(r["event_id"], []).append(r["url"])
+    assert len(got) == len(events) == len(lists)
     for session in (1, 2, 3):
         past = []
         for e in sorted((e for e in events if e[1] == session), key=lambda e: (e[2], e[0])):
             row = got[e[0]]
-            assert row["previous_urls"] == [p[3] for p in past][-depth:]
-            assert row["sensitive_interaction_count"] == sum(p[4] for p in past)
+            assert row["position"] == len(past) and lists[e[0]] == [p[3] for p in past][-depth:]
+            assert histories.get(e[0], []) == ([p[3] for p in past] if e[0] % 9 == 0 else [])
+            assert row["sensitive_interaction_count"] == sum(bool(p[4]) for p in past)
             assert row["unique_domains_visited"] == len({urlparse(p[3]).hostname for p in past})
             past.append(e)
 
 
+def test_parts_of_a_hot_session_are_even(spark):
+    """A session with nine tenths of the rows, all at one time, is spread over the parts."""
+    from tidegate.operators import scan
+
+    rows = spark.range(20_000).selectExpr("id AS event_id", "IF(id % 10 = 0, id, 1) AS session_id", "timestamp'2024-01-01' AS timestamp")
+    sizes = [r["count"] for r in scan.in_parts(rows, ["session_id"], ["timestamp", "event_id"], 10).groupBy(scan.PART).count().collect()]
+    assert len(sizes) >= 9 and max(sizes) < 2 * 20_000 / 10
+
+
 SESSIONS = "session_id long, user_id long, start_time timestamp, end_time timestamp, environment string, agent_name string"
 
 

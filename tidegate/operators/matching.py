@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import urls as U
+from tidegate.operators import scan
 from tidegate.sources import dims
 
 GRAM = 4
@@ -58,34 +59,24 @@ def feed_hits(hosts: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def verdicts_as_of(
-    requests: DataFrame, verdicts: DataFrame, ttl: int = dims.VERDICT_TTL_SECONDS
+    requests: DataFrame, verdicts: DataFrame, ttl: int = dims.VERDICT_TTL_SECONDS, parts: int | None = None
 ) -> DataFrame:
     """The latest verdict of a request's domain that is younger than `ttl`; else unknown (null).
 
-    Both sides are cut into time slots of one TTL. A verdict can only serve its own slot and the
-    next one, so it is placed in both, and the newest earlier verdict is carried along inside
-    (domain, slot). A hot domain is spread over its slots.
+    Verdicts and requests lie in one order of domain and time, cut into parts of equal size; the newest
+    earlier verdict is carried along, and over the borders of a hot domain's parts.
     """
     micros = ttl * 1_000_000
-    slot = F.floor(F.unix_micros("at") / F.lit(micros))
-    seen = verdicts.select("domain", F.col("observed_at").alias("at"), "listed", "source").withColumn(
-        "slot", F.explode(F.array(slot, slot + 1))
+    seen = verdicts.select(
+        F.lit(None).cast("long").alias("request_id"), "domain", F.col("observed_at").alias("at"), F.lit(0).alias("asks"),
+        F.struct(F.col("observed_at").alias("at"), "listed", "source").alias("verdict"),
     )
-    asked = requests.select("request_id", "domain", F.col("timestamp").alias("at")).withColumn("slot", slot)
-    both = asked.withColumn("verdict", F.lit(None).cast("struct<at:timestamp,listed:boolean,source:string>")).unionByName(
-        seen.select(
-            F.lit(None).cast("long").alias("request_id"), "domain", "at", "slot",
-            F.struct("at", "listed", "source").alias("verdict"),
-        )
-    )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("domain", "slot").orderBy("at", F.col("request_id").isNotNull())
-    latest = F.last("verdict", ignorenulls=True).over(order)
+    asked = requests.select("request_id", "domain", F.col("timestamp").alias("at"), F.lit(1).alias("asks"))
+    both = asked.unionByName(seen, allowMissingColumns=True)
     fresh = F.unix_micros("at") - F.unix_micros("latest.at") < micros
     return (
-        both.withColumn("latest", latest)
-        .filter("request_id is not null")
+        scan.latest(both, ["domain"], ["at", "asks"], "verdict", "latest", parts)
+        .filter("asks = 1")
         .select(
             "request_id",
             "domain",

@@ -1,32 +1,30 @@
 """Session life cycle, attribution of requests and running session context.
 
 Agents and sessions can be very uneven: one (agent, environment) or one session may hold a third of
-all rows. No window here runs over such a key as a whole. Timelines are cut into time slots, windows
-run inside (key, slot), and what crosses a slot border is carried by a small table with one row per
-key and slot.
+all rows, in a day or in a microsecond. No window here runs over such a key as a whole: `scan` cuts it
+into parts of equal size and carries what crosses their borders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as X
 from tidegate.functions import urls as U
+from tidegate.operators import scan
+from tidegate.session import checkpoint
 from tidegate.sources import dims
 
-DAY = 86_400
-FIVE_MINUTES = 300
-
 SUPERSEDED = "superseded_by_new_proxy_session"
 STOPPED = "proxy_stopped"
 NO_SESSION = "No active proxy session is available"
 
 
-def slot_of(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
-
-
 def _agent_key(agent: str = "agent_name", env: str = "environment") -> dict[str, Column]:
     return {
         "agent_name": X.clean_agent(F.col(agent)),
@@ -35,7 +33,7 @@ def _agent_key(agent: str = "agent_name", env: str = "environment") -> dict[str,
 
 
 # ------------------------------------------------------------------ W4, W5
-def rotate_sessions(lifecycle: DataFrame, slot_seconds: int = DAY) -> DataFrame:
+def rotate_sessions(lifecycle: DataFrame, parts: int | None = None) -> DataFrame:
     """Sessions from start and stop events; the session id is the id of the start event.
 
     A start closes the open session of its (agent, environment); a stop closes it too and is a no-op
@@ -45,26 +43,11 @@ def rotate_sessions(lifecycle: DataFrame, slot_seconds: int = DAY) -> DataFrame:
     moves = (
         lifecycle.filter(F.col("action").isin("start", "stop"))
         .withColumns(_agent_key())
-        .withColumn("slot", slot_of(F.col("ts"), slot_seconds))
-        .select(*key, "slot", F.struct("ts", "event_id", "action").alias("move"))
-    )
-    by_slot = moves.groupBy(*key, "slot").agg(F.min("move").alias("first"), F.max("move").alias("last"))
-    slots = Window.partitionBy(*key).orderBy("slot")
-    borders = by_slot.select(
-        *key,
-        "slot",
-        F.lead("first").over(slots).alias("after_slot"),
-        F.lag("last").over(slots).alias("before_slot"),
+        .select(*key, "ts", "event_id", F.struct("ts", "event_id", "action").alias("move"))
     )
-    inside = Window.partitionBy(*key, "slot").orderBy("move")
-    placed = moves.select(
-        "*", F.lead("move").over(inside).alias("next"), F.lag("move").over(inside).alias("prev")
-    ).join(borders, [*key, "slot"])
-    following = F.coalesce("next", "after_slot")
-    previous = F.coalesce("prev", "before_slot")
     return (
-        placed.filter("move.action = 'start'")
-        .withColumns({"following": following, "previous": previous})
+        scan.beside(moves, key, ["ts", "event_id"], "move", parts)
+        .filter("move.action = 'start'")
         .select(
             F.col("move.event_id").alias("session_id"),
             F.lit(None).cast("long").alias("user_id"),
@@ -108,12 +91,8 @@ def latest_open_sessions(sessions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J9
-_LEVELS = 34
-_EPOCH_SHIFT = 2**31
-
-
-def _time_slot(ts: Column, seconds: int) -> Column:
-    return slot_of(ts, seconds) + _EPOCH_SHIFT
+#: Parts are numbered below 2^20.
+_LEVELS = 20
 
 
 def _cover(first: Column, end: Column, levels: int) -> Column:
@@ -164,60 +143,70 @@ def _newest_over(points: DataFrame, spans: DataFrame, key: list[str], levels: in
     )
 
 
-def open_session_at(requests: DataFrame, sessions: DataFrame, slot_seconds: int = FIVE_MINUTES) -> DataFrame:
-    """J9 without explicit ids: adds `open_session_id`, the newest session open at `ts`, or null.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (agent, environment, part, at, kind, id, end) in that order -> the answers of the points (kind 2).
 
-    An interval join that never pairs requests with sessions and gathers no list. Sessions that span a
-    whole slot are looked up through power-of-two blocks of slots, once per (agent, environment, slot).
-    What is left of a session in the slots where it starts and ends is looked up in the same way, through
-    blocks of microseconds inside the slot, by the requests of such slots only.
+    Sessions lie in a heap by id; one that has ended is thrown away when it comes up. The heap is emptied
+    at the end of a part.
     """
-    key = ["agent_name", "environment"]
-    micros = slot_seconds * 1_000_000
+    now, open_ = None, []
+    for batch in batches:
+        rows, answers = [], []
+        columns = [c.to_pylist() for c in batch.columns]
+        for i, (agent, env, part, at, kind, session, end) in enumerate(zip(*columns)):
+            if (agent, env, part) != now:
+                now, open_ = (agent, env, part), []
+            if kind < 2:
+                heappush(open_, (-session, end))
+                continue
+            while open_ and open_[0][1] is not None and open_[0][1] <= at:
+                heappop(open_)
+            if open_:
+                rows.append(i)
+                answers.append(-open_[0][0])
+        chosen = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [chosen.column(0), chosen.column(1), chosen.column(3), pa.array(answers, pa.int64())], names=["agent_name", "environment", "at", "open_session_id"]
+        )
 
-    def inside(ts: Column) -> Column:
-        return F.pmod(F.unix_micros(ts), F.lit(micros))
-
-    asked = requests.withColumns(_agent_key()).withColumns(
-        {"_slot": _time_slot(F.col("ts"), slot_seconds), "_offset": inside(F.col("ts"))}
-    )
-    slots = asked.select(*key, F.col("_slot").alias("at")).distinct()
-    spans = sessions.select(
-        *key,
-        "session_id",
-        _time_slot(F.col("start_time"), slot_seconds).alias("s"),
-        _time_slot(F.col("end_time"), slot_seconds).alias("e"),
-        inside(F.col("start_time")).alias("s_offset"),
-        inside(F.col("end_time")).alias("e_offset"),
-    )
-    # An open session need not reach beyond the last request of its agent.
-    horizon = slots.groupBy(*key).agg((F.max("at") + 1).alias("horizon"))
-    whole = spans.join(horizon, key).select(
-        *key, "session_id", (F.col("s") + 1).alias("first"), F.least("e", "horizon").alias("end")
-    )
-    spanning = _newest_over(slots, whole, key, _LEVELS, "_spanning").withColumnRenamed("at", "_slot")
-
-    last = F.when(F.col("e") == F.col("s"), F.col("e_offset")).otherwise(F.lit(micros).cast("long"))
-    begun = F.when(
-        F.coalesce(F.col("e") >= F.col("s"), F.col("s").isNotNull()),
-        F.struct(F.col("s").alias("_slot"), F.col("s_offset").alias("first"), last.alias("end")),
-    )
-    ended = F.when(
-        F.col("e") > F.col("s"),
-        F.struct(F.col("e").alias("_slot"), F.lit(0).cast("long").alias("first"), F.col("e_offset").alias("end")),
-    )
-    parts = spans.select(*key, "session_id", F.inline(F.array_compact(F.array(begun, ended))))
-    points = asked.select(*key, "_slot", F.col("_offset").alias("at"))
-    partial = _newest_over(points, parts, [*key, "_slot"], micros.bit_length(), "_partial").withColumnRenamed("at", "_offset")
-    return (
-        asked.join(spanning, [*key, "_slot"], "left")
-        .join(partial, [*key, "_slot", "_offset"], "left")
-        .withColumn("open_session_id", F.greatest("_spanning", "_partial"))
-        .drop("_slot", "_offset", "_spanning", "_partial")
-    )
 
+def open_session_at(requests: DataFrame, sessions: DataFrame, parts: int | None = None) -> DataFrame:
+    """J9 without explicit ids: adds `open_session_id`, the newest session open at `ts`, or null.
 
-def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: int = FIVE_MINUTES) -> DataFrame:
+    A sweep over the starts and the times asked for, in parts of equal size. Each session goes to the part
+    of its start and, if it goes on, to the part of its end; in the parts between it is open all the time,
+    so of those sessions only the newest one counts there.
+    """
+    key = ["agent_name", "environment"]
+    asked = requests.withColumns(_agent_key())
+    points = asked.select(*key, F.unix_micros("ts").alias("at")).distinct()
+    none = F.lit(None).cast("long")
+    micros = {"at": F.unix_micros("start_time"), "end": F.unix_micros("end_time")}
+    started = sessions.withColumns(micros).filter("`at` is not null and session_id is not null and (`end` is null or `end` > `at`)")
+    rows = started.select(*key, "at", F.lit(1).alias("kind"), F.col("session_id").cast("long").alias("id"), "end")
+    rows = rows.unionByName(points.select(*key, "at", F.lit(2).alias("kind"), none.alias("id"), none.alias("end")))
+    parted = scan.in_parts(rows, key, ["at", "kind", "id"], parts)
+
+    borders = checkpoint(scan.summaries(parted, key, {"begin": F.min("at")}))
+    of_key = borders.groupBy(*key).agg(F.collect_list(F.struct("begin", scan.PART)).alias("parts"), (F.max(scan.PART) + 1).alias("beyond"))
+    last = F.array_max(F.transform(F.filter("parts", lambda p: p["begin"] < F.col("end")), lambda p: p[scan.PART]))
+    carried = parted.filter("kind = 1").join(F.broadcast(of_key), key).withColumn("last", F.when(F.col("end").isNotNull(), last))
+    whole = carried.select(*key, F.col("id").alias("session_id"), (F.col(scan.PART) + 1).cast("long").alias("first"),
+                           F.coalesce("last", "beyond").cast("long").alias("end"))
+    between = _newest_over(borders.select(*key, F.col(scan.PART).cast("long").alias("at")), whole, key, _LEVELS, "id")
+    at_start = [F.lit(None).cast("long").alias("at"), F.lit(0).alias("kind")]
+    swept = (
+        parted.select(*key, scan.PART, "at", "kind", "id", "end")
+        .unionByName(between.select(*key, F.col("at").cast("int").alias(scan.PART), *at_start, "id", none.alias("end")))
+        .unionByName(carried.filter(F.col("last") > F.col(scan.PART)).select(*key, F.col("last").alias(scan.PART), *at_start, "id", "end"))
+        .repartition(*key, scan.PART)
+        .sortWithinPartitions(*key, scan.PART, "at", "kind")
+    )
+    found = swept.mapInArrow(_sweep, "agent_name string, environment string, at bigint, open_session_id bigint")
+    return asked.withColumn("at", F.unix_micros("ts")).join(found, [*key, "at"], "left").drop("at").select(*asked.columns, "open_session_id")
+
+
+def attribute_sessions(requests: DataFrame, sessions: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds the resolved `session_id`, `environment` and `agent_name`, and `error`.
 
     An explicit session must exist, be open at the time of the request and agree with the
@@ -256,7 +245,7 @@ def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: i
         .drop("s_env", "s_agent", "start_time", "end_time")
     )
     found = (
-        open_session_at(implicit, sessions, slot_seconds)
+        open_session_at(implicit, sessions, parts)
         .withColumnRenamed("open_session_id", "session_id")
         .withColumn("error", F.when(F.col("session_id").isNull(), F.lit(NO_SESSION)))
     )
@@ -264,76 +253,50 @@ def attribute_sessions(requests: DataFrame, sessions: DataFrame, slot_seconds: i
 
 
 # ------------------------------------------------------------------ W1–W3
-def session_context(events: DataFrame, depth: int | None = None, slot_seconds: int = DAY) -> DataFrame:
+def session_context(events: DataFrame, parts: int | None = None) -> DataFrame:
     """What happened in the session before each event.
 
-    Adds `previous_urls` (all, or the latest `depth` ones on request, oldest first), `sensitive_interaction_count` and
-    `unique_domains_visited`. Input: session_id, event_id, timestamp, url, sensitive.
+    Adds `position`, the number of earlier events: the previous URLs of an event are those at smaller
+    positions of its session (`previous_urls`, `latest_urls`). Adds `sensitive_interaction_count` and
+    `unique_domains_visited`. Input: session_id, event_id, timestamp, url, sensitive. Order: timestamp, event_id.
     """
     moment = F.struct("timestamp", "event_id")
     visits = (
         events.select("session_id", "event_id", "timestamp", U.host(F.col("url")).alias("host"))
         .groupBy("session_id", "host")
         .agg(F.min(moment).alias("m"))
-        .select("session_id", "m.*")
-    )
-    first_visits = visits.select("event_id", F.lit(1).alias("new_host"))
-    rows = (
-        events.join(first_visits, "event_id", "left")
-        .withColumns(
-            {
-                "new_host": F.coalesce("new_host", F.lit(0)),
-                "hot": F.coalesce(F.col("sensitive").cast("int"), F.lit(0)),
-                "slot": slot_of(F.col("timestamp"), slot_seconds),
-            }
-        )
-    )
-    order = Window.partitionBy("session_id", "slot").orderBy("timestamp", "event_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumns(
-        {
-            "urls_here": F.collect_list("url").over(order.rowsBetween(Window.unboundedPreceding if depth is None else -depth, -1)),
-            "hot_here": F.coalesce(F.sum("hot").over(before), F.lit(0)),
-            "hosts_here": F.coalesce(F.sum("new_host").over(before), F.lit(0)),
-        }
-    )
-    slots = Window.partitionBy("session_id").orderBy("slot")
-    earlier = slots.rowsBetween(Window.unboundedPreceding, -1)
-    carried = _slot_totals(events, visits, depth, slot_seconds).select(
-        "session_id",
-        "slot",
-        F.flatten(F.collect_list("tail").over(slots.rowsBetween(Window.unboundedPreceding if depth is None else -depth, -1))).alias("urls_before"),
-        F.coalesce(F.sum("hot_total").over(earlier), F.lit(0)).alias("hot_before"),
-        F.coalesce(F.sum("host_total").over(earlier), F.lit(0)).alias("hosts_before"),
-    )
-    every = F.concat("urls_before", "urls_here")
-    latest = every if depth is None else F.slice(every, F.greatest(F.size(every) - depth + 1, F.lit(1)), F.lit(depth))
-    return inside.join(carried, ["session_id", "slot"]).select(
-        *events.columns,
-        latest.alias("previous_urls"),
-        (F.col("hot_before") + F.col("hot_here")).alias("sensitive_interaction_count"),
-        (F.col("hosts_before") + F.col("hosts_here")).alias("unique_domains_visited"),
+        .select(F.col("m.event_id").alias("event_id"), F.lit(1).cast("long").alias("_fresh"))
     )
+    sums = {
+        "position": F.lit(1).cast("long"),
+        "sensitive_interaction_count": F.coalesce(F.col("sensitive").cast("long"), F.lit(0).cast("long")),
+        "unique_domains_visited": F.coalesce(F.col("_fresh"), F.lit(0).cast("long")),
+    }
+    rows = events.join(visits, "event_id", "left")
+    return scan.running(rows, ["session_id"], ["timestamp", "event_id"], sums, parts).select(*events.columns, *sums)
 
 
-def _slot_totals(events: DataFrame, visits: DataFrame, depth: int | None, slot_seconds: int) -> DataFrame:
-    """Per session and slot: the latest `depth` URLs, sensitive events and first visits."""
-    slot = slot_of(F.col("timestamp"), slot_seconds).alias("slot")
-    totals = events.groupBy("session_id", slot).agg(
-        F.sum(F.coalesce(F.col("sensitive").cast("int"), F.lit(0))).alias("hot_total")
+def previous_urls(context: DataFrame, asked: DataFrame) -> DataFrame:
+    """W1 for the events in `asked` (event_id): (event_id, session_id, position, url), a row for each earlier event.
+
+    `context` is the result of `session_context`. A whole history is as long as its session, so it comes as
+    rows, and only for what is asked for.
+    """
+    wanted = context.join(asked.select("event_id").distinct(), "event_id", "left_semi").select(
+        "event_id", F.col("session_id").alias("_session"), F.col("position").alias("_until")
     )
-    newest = Window.partitionBy("session_id", "slot").orderBy(F.desc("timestamp"), F.desc("event_id"))
-    tails = (
-        events.select("session_id", slot, "timestamp", "event_id", "url")
-        .withColumn("place", F.row_number().over(newest))
-        .filter(F.lit(True) if depth is None else F.col("place") <= depth)
-        .groupBy("session_id", "slot")
-        .agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", "url"))).alias("latest"))
-        .select("session_id", "slot", F.transform("latest", lambda e: e["url"]).alias("tail"))
+    same = (F.col("session_id") == F.col("_session")) & (F.col("position") < F.col("_until"))
+    return context.drop("event_id").join(wanted, same).select("event_id", "session_id", "position", "url")
+
+
+def latest_urls(context: DataFrame, depth: int) -> DataFrame:
+    """W1 with a bound: event_id and `previous_urls`, its latest `depth` earlier URLs, oldest first."""
+    later = F.explode(F.sequence(F.col("position") + 1, F.col("position") + depth))
+    told = context.select("session_id", later.alias("position"), F.struct("position", "url").alias("past"))
+    lists = told.groupBy("session_id", "position").agg(F.sort_array(F.collect_list("past")).alias("past"))
+    return context.join(lists, ["session_id", "position"], "left").select(
+        "event_id", F.coalesce(F.transform("past", lambda p: p["url"]), F.array().cast("array<string>")).alias("previous_urls")
     )
-    fresh = visits.groupBy("session_id", slot).agg(F.count("*").alias("host_total"))
-    key = ["session_id", "slot"]
-    return totals.join(tails, key).join(fresh, key, "left").fillna({"host_total": 0})
 
 
 # ------------------------------------------------------------------ U3–U5

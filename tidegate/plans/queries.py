@@ -22,7 +22,7 @@ from tidegate.operators import rulestore as K
 from tidegate.operators import sessions as S
 from tidegate.plans import oracle as O
 from tidegate.plans import views as V
-from tidegate.session import scratch_path
+from tidegate.session import checkpoint, scratch_path
 from tidegate.sources import dims, readers, writers
 from tidegate.streaming import jobs as J
 
@@ -904,30 +904,54 @@ CONTEXT = {
         SELECT event_id, session_id, ts, url, guard_action <> 'Allow' AS sensitive,
                row_number() OVER (PARTITION BY session_id, {O.host('url')} ORDER BY ts, event_id) = 1 AS fresh FROM guard_events""",
     "context": """
-        SELECT event_id, session_id,
-               coalesce(array_to_string(list(url) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' '), '') AS previous_urls,
+        SELECT event_id, session_id, ts, url, row_number() OVER w - 1 AS position,
+               coalesce(array_to_string(list(url) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ' '), '') AS latest_urls,
                coalesce(count(*) FILTER (WHERE sensitive) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sensitive_interaction_count,
                coalesce(count(*) FILTER (WHERE fresh) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unique_domains_visited
         FROM visits WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)""",
 }
 
 
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = guard_events(spark, sf_dir).select(
+        "event_id", "session_id", "timestamp", "url", (F.col("guard_action") != "Allow").alias("sensitive")
+    )
+    return S.session_context(rows)
+
+
 def _context(name: str, column: str) -> None:
     @query(name, O.from_views(f"SELECT event_id, session_id, {column} FROM context", "guard_events", extra=CONTEXT))
     def run(spark, sf_dir):
-        rows = guard_events(spark, sf_dir).select(
-            "event_id", "session_id", "timestamp", "url", (F.col("guard_action") != "Allow").alias("sensitive")
-        )
-        found = S.session_context(rows)
-        shown = F.array_join(column, " ") if column == "previous_urls" else long(column)
-        return found.select("event_id", "session_id", shown.alias(column))
+        return context(spark, sf_dir).select("event_id", "session_id", long(column).alias(column))
 
 
-_context("w1_previous_urls", "previous_urls")
+_context("w1_event_positions", "position")
 _context("w2_sensitive_interactions", "sensitive_interaction_count")
 _context("w3_unique_domains", "unique_domains_visited")
 
 
+@query(
+    "w1_previous_urls",
+    O.from_views(
+        """SELECT n.event_id, c.session_id, c.position, c.url FROM context c
+           JOIN (SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id, max(position) AS position FROM context GROUP BY session_id) n
+             ON n.session_id = c.session_id AND c.position < n.position""",
+        "guard_events", extra=CONTEXT,
+    ),
+)
+def w1(spark, sf_dir):
+    """The history of the event under evaluation, which is the newest one of its session."""
+    every = checkpoint(context(spark, sf_dir))
+    newest = every.groupBy("session_id").agg(F.max_by("event_id", "position").alias("event_id"))
+    return S.previous_urls(every, newest)
+
+
+@query("w1_latest_urls", O.from_views("SELECT event_id, latest_urls FROM context", "guard_events", extra=CONTEXT))
+def w1_latest(spark, sf_dir):
+    found = S.latest_urls(checkpoint(context(spark, sf_dir)), 5)
+    return found.select("event_id", F.array_join("previous_urls", " ").alias("latest_urls"))
+
+
 @query(
     "w4_session_rotation",
     O.from_views(
