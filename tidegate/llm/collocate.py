@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import checkpoint, id_and_text, slices
+from tidegate.llm.common import bitmap_of, checkpoint, id_and_text, in_bitmap, slices
 
 #: Text bytes of a map-side batch and of a bucket of stripes, bits of the bitmap, parts of a hot stripe; a prefix is
 #: hot with 1 / HOT of all words.
@@ -81,8 +81,7 @@ class Batch:
             for j in range(words):
                 folded = folded * np.uint64(MULTIPLIER) + self.hashes[self.codes[j : j + size]]
                 good &= self.real[j : j + size]
-        slots = _slot(folded)
-        good &= (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        good &= in_bitmap(bitmap, _slot(folded))
         return np.concatenate([good, np.zeros(n - size, bool)])
 
     def among(self, slots: list[int]) -> np.ndarray:
@@ -250,16 +249,6 @@ def _merge(least: int):
     return run
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """The bits of a column `slot`; BITS / 8 bytes, however many phrases there are."""
-    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    made = np.zeros(BITS // 8, np.uint8)
-    for r in parts.where("b is not null").toLocalIterator():
-        # bucket b holds the numbers 32768 (b - 1) + 1 to 32768 b; slots are sent plus one
-        made[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return made
-
-
 def _grams(stripes: DataFrame) -> DataFrame:
     """(lang, prefix, word, n, slot): the frequent extensions of each prefix, as rows."""
     return stripes.select("lang", "prefix", F.explode("extensions").alias("e")).select("lang", "prefix", "e.word", "e.n", "e.slot")
@@ -284,7 +273,7 @@ def stripes(
         done = made if done is None else done.union(made)
         if level < min(longest, 3):
             found = _grams(made)
-            bitmap = context.broadcast(_bitmap(found.select((F.col("slot") + 1).alias("slot"))))
+            bitmap = context.broadcast(bitmap_of(found.select("slot"), BITS))
         if level == 1:
             words = made.agg(F.sum("total")).first()[0] or 0
             hot = [r["slot"] for r in found.where(F.col("n") * HOT > words).select("slot").collect()]

@@ -110,3 +110,19 @@ def sum_slots(rows: DataFrame, slots: int) -> np.ndarray:
         most = np.minimum(np.frombuffer(r["sums"], "<i8"), (1 << 31) - 1)
         counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = most
     return counts
+
+
+def bitmap_of(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each number from 0 that a column `slot` holds; `bits` / 8 bytes, however many rows there are."""
+    # bucket b of the functions holds the numbers 32768 (b - 1) + 1 to 32768 b
+    number = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(number).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    made = np.zeros(bits // 8, np.uint8)
+    for r in parts.where("b is not null").toLocalIterator():
+        made[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return made
+
+
+def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots.astype(np.int64)
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
