@@ -104,7 +104,11 @@ def header(headers: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
 
 
-def agent_from_headers(headers: Column, names: tuple[str, ...] = ("x-agent-name",)) -> Column:
+#: Request headers that name the agent, by precedence.
+AGENT_HEADERS = ("x-agent-name",)
+
+
+def agent_from_headers(headers: Column, names: tuple[str, ...] = AGENT_HEADERS) -> Column:
     """First non-empty agent header, by order of `names`; null when the value is blank."""
     first = F.coalesce(*[F.nullif(header(headers, n.lower()), F.lit("")) for n in names])
     return F.when(strip(first) != "", first)

@@ -47,12 +47,10 @@ def register_missing_rules(rules: DataFrame, candidates: DataFrame) -> DataFrame
 
 
 def set_rules_enabled(rules: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, unknown codes). Changes carry rule_code and a boolean is_enabled."""
+    """(new snapshot, unknown codes). Changes carry rule_code and a boolean is_enabled; a null one fails the job."""
     if dict(changes.dtypes)["is_enabled"] != "boolean":
         raise ValueError("Invalid is_enabled")
-    if changes.filter("is_enabled is null").head(1):
-        raise ValueError("Invalid is_enabled")
-    flags = changes.select("rule_code", F.col("is_enabled").alias("new_flag"))
+    flags = changes.select("rule_code", F.coalesce("is_enabled", F.raise_error(F.lit("Invalid is_enabled"))).alias("new_flag"))
     snapshot = (
         rules.join(flags, "rule_code", "left")
         .withColumn("is_enabled", F.coalesce("new_flag", "is_enabled"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate import schemas
 from tidegate.functions import text as X
 from tidegate.functions import urls as U
 from tidegate.operators import decisions as D
@@ -24,6 +23,7 @@ from tidegate.plans import oracle as O
 from tidegate.plans import views as V
 from tidegate.session import checkpoint, scratch_path
 from tidegate.sources import dims, readers, writers
+from tidegate.sources.publish import Change, TableSet
 from tidegate.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,9 +111,7 @@ RULES_X = {"rules": RULE_VALUES}
     ),
 )
 def s1(spark, sf_dir):
-    path = scratch_path(spark, "traffic")
-    V.traffic(spark, sf_dir).write.json(path)
-    return readers.read_traffic(spark, path).select(
+    return readers.finish_traffic(V.traffic(spark, sf_dir)).select(
         "request_id", "method", "url", long("status_code").alias("status_code"), "environment", "agent_name",
         iso_us("timestamp").alias("ts"), X.header(F.col("req_headers"), "user-agent").alias("user_agent"),
         long(F.length("body")).alias("body_chars"),
@@ -1394,29 +1392,21 @@ def d1(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ X streaming
-def _stream_source(spark: SparkSession, name: str, rows: DataFrame, fmt: str) -> str:
-    """Rows in files as they lie: a stream over them takes them in several batches."""
-    path = scratch_path(spark, name)
-    rows.write.format(fmt).save(path)
-    return path
-
-
 def _traffic_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stream_source(spark, "stream-traffic", V.traffic(spark, sf_dir), "json")
-    return J.read_traffic_stream(spark, path, max_files=2)
+    return readers.finish_traffic(V.traffic(spark, sf_dir, stream=True, max_files=2))
 
 
 @query("x1_streaming_scoring", O.scoring(f"SELECT {SCORED_COLUMNS} FROM scored"))
 def x1(spark, sf_dir):
-    out = scratch_path(spark, "stream-scored")
+    out = TableSet(spark, scratch_path(spark, "stream-scored"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _scored_columns(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        out.change(lambda now: Change(added={"scored": _scored_columns(batch)}), "scored", batch_id)
 
     J.score_stream(
         _traffic_stream(spark, sf_dir), sink, scratch_path(spark, "checkpoint"), feed(spark, sf_dir), blocklist(spark, sf_dir)
     ).awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return out.table("scored")
 
 
 @query(
@@ -1446,22 +1436,16 @@ CLOSED_SQL = O.from_views(
 )
 
 
-def _lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves in three files by time: both variants take them in order."""
-    path = scratch_path(spark, "stream-moves")
-    moves = V.load(spark, sf_dir, "lifecycle").filter("action <> 'request'")
-    third, rest = F.col("ts") >= "2024-01-10", F.col("ts") >= "2024-01-20"
-    for part, chosen in enumerate((~third, third & ~rest, rest)):
-        moves.filter(chosen).coalesce(1).write.mode("append").parquet(f"{path}/p{part}")
-    return spark.readStream.schema(schemas.LIFECYCLE).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-
-
 def _shown_sessions(df: DataFrame) -> DataFrame:
     return df.withColumns({"start_time": iso_us("start_time"), "end_time": iso_us("end_time")}).select(
         "session_id", "start_time", "end_time", "environment", "agent_name", "end_reason", "replaced_session_id"
     )
 
 
+#: The files of the given table are in no order of time; all of it spans a month.
+LATENESS_SECONDS = 40 * 86_400
+
+
 @query("x3_stateful_rotation", CLOSED_SQL)
 def x3(spark, sf_dir):
     setting = "spark.sql.streaming.stateStore.providerClass"
@@ -1469,7 +1453,12 @@ def x3(spark, sf_dir):
     spark.conf.set(setting, J.ROCKSDB)
     try:
         out = scratch_path(spark, "stream-sessions")
-        closed = J.session_stream(_lifecycle_stream(spark, sf_dir))
+        # all files in one batch: moves far beyond all others, of an agent of its own, make the watermark pass
+        # the last ones when it ends, and would make later batches late
+        moves = V.load(spark, sf_dir, "lifecycle", stream=True)
+        clock = F.when(F.col("action") == "start", F.col("ts") + F.expr("INTERVAL 1000 DAY"))
+        ticks = moves.select("event_id", clock.alias("ts"), F.lit("start").alias("action"), "environment", F.lit("clock").alias("agent_name"))
+        closed = J.session_stream(moves.unionByName(ticks), f"{LATENESS_SECONDS} seconds").filter("agent_name <> 'clock'")
         (
             closed.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", scratch_path(spark, "checkpoint"))
@@ -1483,25 +1472,18 @@ def x3(spark, sf_dir):
 @query("x3_rotation_in_batches", CLOSED_SQL)
 def x3_batches(spark, sf_dir):
     out = scratch_path(spark, "stream-rotation")
-    J.rotate_stream(_lifecycle_stream(spark, sf_dir), out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return _shown_sessions(spark.read.parquet(f"{out}/closed"))
+    moves = V.load(spark, sf_dir, "lifecycle", stream=True, max_files=4)
+    J.rotate_stream(moves, out, scratch_path(spark, "checkpoint"), LATENESS_SECONDS).awaitTermination()
+    return _shown_sessions(J.settle_rotation(spark, out).table("closed"))
 
 
 @query("x4_streaming_stats", O.from_views(STATS_SQL, "sessions", "guard_events"))
 def x4(spark, sf_dir):
-    rows = guard_events(spark, sf_dir).select("event_id", "session_id", "guard_action", "risk_score")
-    source = _stream_source(spark, "stream-events", rows, "parquet")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = V.load(spark, sf_dir, "guard_events", stream=True, max_files=1)
     out = scratch_path(spark, "stream-stats")
-    (
-        J.stats_stream(stream).writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/latest"))
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    stats = spark.read.parquet(f"{out}/latest")
+    J.publish_stats(rows.select("event_id", "session_id", "guard_action", "risk_score"), out, scratch_path(spark, "checkpoint")).awaitTermination()
     return (
-        sessions(spark, sf_dir).select("session_id").join(stats, "session_id", "left")
+        sessions(spark, sf_dir).select("session_id").join(J.read_stats(spark, out), "session_id", "left")
         .fillna(0, ["total_events", "allow", "warn", "block"]).fillna(0.0, ["average_risk_score"])
         .withColumn("average_risk_score", F.round("average_risk_score", 12))
     )

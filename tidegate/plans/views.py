@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.sources import readers
+
 TABLES = "pages events region documents labels".split()
 
 VIEWS = {
@@ -225,10 +227,12 @@ def sql(name: str) -> str:
     return VIEWS[name].format(**{t: t for t in TABLES})
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the parquet tables below `sf_dir`; local times are read as UTC."""
+def load(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """A view over the parquet tables below `sf_dir`, or over streams of their files; local times are read as UTC."""
     text = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    names = [t for t in TABLES if "{" + t + "}" in text]
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in names}
+    used = {t: readers.stream_table(spark, p, max_files) if stream else spark.read.parquet(p) for t, p in paths.items()}
     frame = spark.sql(text, **used)
     for column, kind in frame.dtypes:
         if kind == "timestamp_ntz":
@@ -236,9 +240,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return frame
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traffic(spark: SparkSession, sf_dir: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
     """The traffic view in the traffic schema; pages are both request and response bodies."""
-    raw = load(spark, sf_dir, "traffic")
+    raw = load(spark, sf_dir, "traffic", stream, max_files)
     return raw.select(
         "request_id",
         F.col("ts").alias("timestamp"),

@@ -16,11 +16,13 @@ def text_or_size(data: Column) -> Column:
     ).otherwise(F.format_string("<%d bytes binary>", F.octet_length(data)))
 
 
-def read_traffic(spark: SparkSession, path: str, fmt: str = "json", binary_bodies: bool = False) -> DataFrame:
+def read_traffic(
+    spark: SparkSession, path: str, fmt: str = "json", binary_bodies: bool = False, agent_headers: tuple[str, ...] = X.AGENT_HEADERS
+) -> DataFrame:
     """The request and response log.
 
     Lines that do not parse are kept in `_corrupt_record`. A missing timestamp becomes the time of
-    ingestion, the agent is taken from the headers where it is not given.
+    ingestion, the agent is taken from the first of `agent_headers` where it is not given.
     """
     schema = schemas.TRAFFIC
     if binary_bodies:
@@ -33,15 +35,15 @@ def read_traffic(spark: SparkSession, path: str, fmt: str = "json", binary_bodie
         raw = reader.option("mode", "PERMISSIVE").json(path)
     else:
         raw = reader.schema(schema).format(fmt).load(path)
-    return finish_traffic(raw)
+    return finish_traffic(raw, agent_headers)
 
 
-def finish_traffic(raw: DataFrame) -> DataFrame:
+def finish_traffic(raw: DataFrame, agent_headers: tuple[str, ...] = X.AGENT_HEADERS) -> DataFrame:
     """Defaults of the traffic source, for batch and stream alike."""
     kinds = dict(raw.dtypes)
     columns = {
         "timestamp": F.coalesce("timestamp", F.current_timestamp()),
-        "agent_name": F.coalesce("agent_name", X.agent_from_headers(F.col("req_headers"))),
+        "agent_name": F.coalesce("agent_name", X.agent_from_headers(F.col("req_headers"), agent_headers)),
         "environment": F.coalesce("environment", F.lit("prod")),
     }
     for name in ("body", "resp_body"):
@@ -50,6 +52,18 @@ def finish_traffic(raw: DataFrame) -> DataFrame:
     return raw.withColumns(columns)
 
 
+def stream_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stored Parquet table, a folder or one file, as a stream of its files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    alone = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if alone:
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

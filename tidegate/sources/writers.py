@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as X
 from tidegate.operators.rules import rule_results
+from tidegate.session import checkpoint
 
 DECISION_FIELDS = [
     "timestamp", "agent", "environment", "session_id", "event_id", "url", "method", "risk_score",
@@ -43,35 +40,23 @@ def audit_analyses(scored: DataFrame) -> DataFrame:
     )
 
 
-@contextmanager
-def scored_once(scored: DataFrame) -> Iterator[DataFrame]:
-    """Keeps the thin scored rows on disk while several sinks read them; lost parts are recomputed."""
-    kept = scored.persist(StorageLevel.DISK_ONLY)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
 def write_audit_tables(scored: DataFrame, path: str, mode: str = "append") -> None:
     """Writes `events` (by day) and `rules_analysis` below `path`.
 
     The thin event rows are rebalanced by day before the write, so that a day gets few files and a
     busy day is split over several tasks.
     """
-    with scored_once(scored) as kept:
-        (
-            audit_events(kept)
-            .withColumn("event_date", F.to_date("timestamp"))
-            .hint("rebalance", "event_date")
-            .write.mode(mode)
-            .option("maxRecordsPerFile", 5_000_000)
-            .partitionBy("event_date")
-            .parquet(f"{path}/events")
-        )
-        audit_analyses(kept).write.mode(mode).option("maxRecordsPerFile", 20_000_000).parquet(
-            f"{path}/rules_analysis"
-        )
+    kept = checkpoint(scored)  # thin rows, read by both sinks
+    (
+        audit_events(kept)
+        .withColumn("event_date", F.to_date("timestamp"))
+        .hint("rebalance", "event_date")
+        .write.mode(mode)
+        .option("maxRecordsPerFile", 5_000_000)
+        .partitionBy("event_date")
+        .parquet(f"{path}/events")
+    )
+    audit_analyses(kept).write.mode(mode).option("maxRecordsPerFile", 20_000_000).parquet(f"{path}/rules_analysis")
 
 
 def decision_records(scored: DataFrame) -> DataFrame:
