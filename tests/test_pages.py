@@ -200,3 +200,25 @@ def test_many_forms_and_inputs_in_one_page(spark):
     assert found.where("action = '/a' || (form_no - 1)").count() == 3_000
     assert P.page_inputs(pages.where("page_id = 2")).where("form_no = 1").count() == 6_000
     assert time.time() - started < 60
+
+
+def test_pages_of_very_many_tags(spark):
+    """Work follows the page: 30,000 meta names, some repeated, and 4,000 forms with their inputs."""
+    import time
+
+    metas = "".join(f"<meta name='N{i % 29_000}' content={i}>" for i in range(30_000))
+    forms = "".join(f"<form action=/{i}><input name=a{i}><input name=b{i}></form>" for i in range(4_000))
+    rows = spark.createDataFrame([(1, "https://a.com/", metas), (2, "https://a.com/", forms)], "page_id long, url string, html string")
+    begun = time.time()
+    found = {r["name"]: r["content"] for r in P.page_meta(rows).filter("page_id = 1").collect()}
+    assert found == {f"n{i}": str(i if i >= 1_000 else i + 29_000) for i in range(29_000)}
+    traffic = rows.select(F.col("page_id").alias("request_id"), "url", F.col("html").alias("body"), F.expr("map('Content-Type', 'text/html')").alias("req_headers"))
+    dom = {r["request_id"]: r["dom"] for r in P.page_features(traffic).collect()}
+    assert dom[1]["meta_tags"] == found
+    assert [[i["name"] for i in f["inputs"]] for f in dom[2]["forms"]] == [[f"a{i}", f"b{i}"] for i in range(4_000)]
+    assert time.time() - begun < 60
+
+
+def test_headers_that_collide(spark):
+    rows = spark.sql("SELECT map('A', '1', 'b', '2', 'a', '3') AS h UNION ALL SELECT map() UNION ALL SELECT NULL")
+    assert [r[0] for r in rows.select(X.lower_keys(F.col("h"))).collect()] == [{"b": "2", "a": "3"}, {}, None]

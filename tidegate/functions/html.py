@@ -103,12 +103,12 @@ _ENTRIES_PER_BLOCK = 256
 def nest_forms(tokens: Column) -> Column:
     """Form nesting, from the tags of a page in document order.
 
-    Returns array<struct<kind, form_no, pos, raw>> with one `open` and at most one `close` entry per
-    form and one `input` entry per input (its innermost form, or null). An input lies in every form
-    whose entries enclose it. A closing tag ends everything down to the nearest open element of its
+    Returns array<struct<kind, form_no, pos, inputs, raw>> with one `open` and at most one `close` entry per
+    form and one `input` entry per input (its innermost form, or null); `inputs` counts the inputs before.
+    An input lies in every form whose entries enclose it. A closing tag ends everything down to the nearest open element of its
     name, forms included, and is ignored where there is none; `<form/>` is empty.
     """
-    entry = "struct<kind:string,form_no:int,pos:int,raw:string>"
+    entry = "struct<kind:string,form_no:int,pos:int,inputs:int,raw:string>"
     relevant = F.filter(
         tokens, lambda t: t.rlike(_FORM_OR_INPUT) | ~(t.rlike(_NOT_NESTING) | t.rlike(_CLOSED_AT_ONCE))
     )
@@ -118,13 +118,14 @@ def nest_forms(tokens: Column) -> Column:
         F.array().cast("array<int>").alias("open"),
         F.lit(0).alias("seen"),
         F.lit(0).alias("pos"),
+        F.lit(0).alias("inputs"),
         F.array().cast(f"array<{entry}>").alias("found"),
         F.array().cast(f"array<array<{entry}>>").alias("blocks"),
     )
     none_found = F.array().cast(f"array<{entry}>")
 
     def step(acc: Column, raw: Column) -> Column:
-        stack, open_, seen, pos = (acc[n] for n in ("stack", "open", "seen", "pos"))
+        stack, open_, seen, pos, inputs = (acc[n] for n in ("stack", "open", "seen", "pos", "inputs"))
         # Appending copies an array, so entries are gathered in blocks and the work follows the page.
         full = F.size(acc["found"]) >= _ENTRIES_PER_BLOCK
         found = F.when(full, none_found).otherwise(acc["found"])
@@ -132,13 +133,13 @@ def nest_forms(tokens: Column) -> Column:
 
         def as_entry(kind: str, form_no: Column) -> Column:
             return F.struct(
-                F.lit(kind).alias("kind"), form_no.alias("form_no"), pos.alias("pos"), raw.alias("raw")
+                F.lit(kind).alias("kind"), form_no.alias("form_no"), pos.alias("pos"), inputs.alias("inputs"), raw.alias("raw")
             )
 
-        def next_state(stack=stack, open_=open_, seen=seen, found=found) -> Column:
+        def next_state(stack=stack, open_=open_, seen=seen, found=found, inputs=inputs) -> Column:
             return F.struct(
                 stack.alias("stack"), open_.alias("open"), seen.alias("seen"), (pos + 1).alias("pos"),
-                found.alias("found"), blocks.alias("blocks"),
+                inputs.alias("inputs"), found.alias("found"), blocks.alias("blocks"),
             )
 
         name = tag_name(raw)
@@ -163,7 +164,7 @@ def nest_forms(tokens: Column) -> Column:
                 .otherwise(next_state(stack=rest)),
             )
             .when(name == "input", next_state(
-                found=F.array_append(found, as_entry("input", F.try_element_at(open_, F.lit(-1))))
+                found=F.array_append(found, as_entry("input", F.try_element_at(open_, F.lit(-1)))), inputs=inputs + 1
             ))
             .when(name != "form", next_state(stack=F.concat(here, stack)))
             .when(raw.rlike(_CLOSED_AT_ONCE), next_state(

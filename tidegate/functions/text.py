@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -88,14 +89,28 @@ def clean_agent(col: Column) -> Column:
     return F.coalesce(F.nullif(F.left(kept, F.lit(20)), F.lit("")), F.lit(dims.DEFAULT_AGENT))
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build` over `value`, which is evaluated once however often it is named."""
+    return F.transform(F.array(value), build)[0]
+
+
+def last_of_equal_keys(entries: Column) -> Column:
+    """Of array<struct<key, value>> the entries without a later one of their key, in order; sorted, not searched."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+
+    def latest(ordered: Column) -> Column:
+        return F.filter(ordered, lambda e, i: F.coalesce(~F.get(ordered, i + 1)["key"].eqNullSafe(e["key"]), F.lit(True)))
+
+    back = F.transform(bound(F.array_sort(placed), latest), lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.transform(F.array_sort(back), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
 def lower_keys(headers: Column) -> Column:
     """Headers with lower-case names; of names that collide, the last one is kept."""
     entries = F.transform(
         F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
     )
-    keys = F.transform(entries, lambda e: e["key"])
-    latest = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(latest)
+    return F.map_from_entries(last_of_equal_keys(entries))
 
 
 def header(headers: Column, name: str) -> Column:

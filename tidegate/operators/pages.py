@@ -38,7 +38,7 @@ def with_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 _FORM_TAGS = r"(?i)^<(?:form|input)(?=[\s/>])"
-_ENTRIES = "array<struct<kind:string,form_no:int,pos:int,raw:string>>"
+_ENTRIES = "array<struct<kind:string,form_no:int,pos:int,inputs:int,raw:string>>"
 
 
 def _form_struct(entry: Column, ends: Column, url: Column) -> Column:
@@ -51,7 +51,9 @@ def _form_struct(entry: Column, ends: Column, url: Column) -> Column:
         F.lower(F.coalesce(H.attribute(entry["attrs"], "method"), F.lit("get"))).alias("method"),
         U.joined_host(url, action).alias("action_host"),
         entry["pos"].alias("from_pos"),
-        F.coalesce(end, F.lit(2**31 - 1)).alias("to_pos"),
+        F.coalesce(end["pos"], F.lit(2**31 - 1)).alias("to_pos"),
+        entry["inputs"].alias("from_input"),
+        F.coalesce(end["inputs"], F.lit(2**31 - 1)).alias("to_input"),
     )
 
 
@@ -69,8 +71,8 @@ def _input_struct(entry: Column) -> Column:
 def with_forms(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds arrays `forms` and `inputs`; needs `tokens`.
 
-    A form covers the positions between `from_pos` and `to_pos`; an input carries its position and
-    its innermost form.
+    A form covers the positions between `from_pos` and `to_pos`, and of the inputs those behind the first
+    `from_input` and up to `to_input`; an input carries its position and its innermost form.
     """
     entries = F.col("form_entries")
     has_inputs = F.exists("tokens", lambda t: t.rlike(_FORM_TAGS))
@@ -81,11 +83,12 @@ def with_forms(pages: DataFrame, url: str = "url") -> DataFrame:
             e["kind"].alias("kind"),
             e["form_no"].alias("form_no"),
             e["pos"].alias("pos"),
+            e["inputs"].alias("inputs"),
             F.when(e["kind"] != "close", H.attributes(e["raw"])).alias("attrs"),
         ),
     )
     closed = F.filter(entries, lambda e: e["kind"] == "close")
-    ends = F.map_from_entries(F.transform(closed, lambda e: F.struct(e["form_no"].alias("n"), e["pos"].alias("p"))))
+    ends = F.map_from_entries(F.transform(closed, lambda e: F.struct(e["form_no"].alias("n"), F.struct(e["pos"].alias("pos"), e["inputs"].alias("inputs")).alias("p"))))
     return (
         pages.withColumn("form_entries", parsed)
         .withColumn("form_ends", ends)
@@ -179,7 +182,7 @@ def page_scripts(pages: DataFrame, key: str = "page_id", html: str = "html", url
 
 
 def _meta_entries(tokens: Column) -> Column:
-    """array<struct<key, value>> with the last of equal keys kept."""
+    """array<struct<key, value>> with the last of equal keys kept; each tag is parsed once."""
 
     def entry(attrs: Column) -> Column:
         name = F.coalesce(
@@ -191,9 +194,7 @@ def _meta_entries(tokens: Column) -> Column:
         )
 
     parsed = F.transform(H.keep_tags(tokens, "meta"), H.attributes)
-    named = F.filter(F.transform(parsed, entry), lambda e: e["key"] != "")
-    keys = F.transform(named, lambda e: e["key"])
-    return F.filter(named, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return X.last_of_equal_keys(F.filter(F.transform(parsed, entry), lambda e: e["key"] != ""))
 
 
 def page_meta(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -215,7 +216,7 @@ def page_features(
             f["action"].alias("action"),
             f["method"].alias("method"),
             f["action_host"].alias("action_host"),
-            _plain_inputs(F.filter("inputs", lambda i: encloses(f, i["pos"]))).alias("inputs"),
+            _plain_inputs(F.slice("inputs", f["from_input"] + 1, F.least(f["to_input"], F.size("inputs")) - f["from_input"])).alias("inputs"),
         ),
     )
     orphans = _plain_inputs(F.filter("inputs", lambda i: i["form_no"].isNull()))
