@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from urllib.parse import urljoin, urlparse
 
 import pytest
@@ -120,18 +121,33 @@ def test_host_parts(spark):
 def test_labels(spark):
     want = {
         "login.paypal.com": "paypal", "evil.paypal.co.uk": "paypal", "a.b.github.io": "b", "github.io": "github",
-        "localhost": "localhost", "com": "com", "x.unknown": "x", "": "",
+        "localhost": "localhost", "com": "com", "x.unknown": "x", "": "", "paypa1.co.ke": "paypa1", "a.paypa1.pages.dev": "paypa1",
     }
     rows = spark.createDataFrame([(h,) for h in want], "h string")
     assert {r["h"]: r["l"] for r in rows.select("h", U.sld_label(F.col("h")).alias("l")).collect()} == want
-    listed = ["com", "*.ck", "!www.ck"]
-    odd = {"a.b.ck": "a", "x.www.ck": "www"}
+    listed = ["com", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp"]
+    odd = {"a.b.ck": "a", "x.www.ck": "www", "x.city.kawasaki.jp": "city", "a.b.kawasaki.jp": "a", "kawasaki.jp": "kawasaki"}
     rows = spark.createDataFrame([(h,) for h in odd], "h string")
     assert {r["h"]: r["l"] for r in rows.select("h", U.sld_label(F.col("h"), listed).alias("l")).collect()} == odd
     domains = spark.createDataFrame([(d, label) for _, _, d, _, label in dims.brand_rows()], "d string, label string")
     assert domains.filter(U.sld_label(F.col("d")) != F.col("label")).count() == 0
 
 
+def test_suffix_list_files(spark, tmp_path, monkeypatch):
+    """Expression and driver-side twin agree on any list; a file has a version; a missing one is told."""
+    path = tmp_path / "list.dat"
+    path.write_text("// VERSION: 7\n// a comment\ncom\nck trailing words\n*.ck\n!www.ck\n公司.cn\ncn\n", encoding="utf-8")
+    listed = dims.suffix_list(str(path))
+    assert listed.version == "7" and "xn--55qx5d.cn" in listed.entries and "ck" in listed.entries
+    rng = random.Random(1)
+    names = {".".join(rng.choice(["a", "b", "www", "ck", "com", "cn", "公司", "xn--55qx5d"]) for _ in range(rng.randint(1, 5))) for _ in range(400)}
+    rows = spark.createDataFrame([(n,) for n in names], "h string")
+    assert {r["h"]: r["l"] for r in rows.select("h", U.sld_label(F.col("h"), listed).alias("l")).collect()} == {n: dims.label_of(n, listed) for n in names}
+    monkeypatch.setattr(dims.os.path, "isfile", lambda _: False)
+    with pytest.warns(UserWarning, match="suffix list"):
+        assert dims.suffix_list.__wrapped__().version == "common"
+
+
 def test_brand_table_size():
     rows = dims.brand_rows()
     assert (len(rows), len({r[2] for r in rows}), len({r[4] for r in rows})) == (239, 237, 199)

@@ -248,3 +248,26 @@ def test_whole_suffix_list(spark):
                                     "request_id long, url string, method string, req_headers map<string,string>, body string")
     hit = {r.rule_id: r.triggered for r in R.rule_results(R.evaluate(traffic, suffixes=suffixes)).collect()}
     assert hit["typosquatting"]
+
+
+def test_suffixes_beyond_the_common_ones_by_default(spark, tmp_path):
+    """Look-alikes below country and hosting suffixes are hits in the rule, the join and a stream."""
+    from tidegate.sources import dims
+    from tidegate.streaming import jobs as J
+
+    if dims.suffix_list().version == "common":
+        pytest.skip("this machine has no suffix list file")
+    hosts = ["paypa1.co.ke", "paypa1.pages.dev", "paypa1.com", "paypal.com"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host for r in M.typosquat_hits(rows, dims.brand_domains(spark)).collect()} == set(hosts[:3])
+    traffic = spark.createDataFrame(
+        [(i, f"https://{h}/", "GET", {"Content-Type": "text/html"}, "<p>x</p>") for i, h in enumerate(hosts)],
+        "request_id long, url string, method string, req_headers map<string,string>, body string",
+    )
+    hit = {r.request_id for r in R.rule_results(R.evaluate(traffic)).filter("rule_id = 'typosquatting' and triggered").collect()}
+    assert hit == {0, 1, 2}
+    traffic.write.json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    J.write_stream(J.read_traffic_stream(spark, str(tmp_path / "in")), out, str(tmp_path / "check")).awaitTermination()
+    lines = J.read_audit(spark, out, "rules_analysis").filter("rule_code = 'typosquatting' and rule_score > 0")
+    assert {r.event_id for r in lines.collect()} == {0, 1, 2}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegate.functions.text import bound
 from tidegate.sources import dims
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
@@ -119,26 +122,34 @@ def host_tokens(name: Column) -> Column:
     return F.split(F.lower(name), r"[.\-_]+")
 
 
-def sld_label(name: Column, suffixes: list[str] | None = None) -> Column:
-    """First label of the registrable domain; a bare suffix gives its first label.
+def sld_label(name: Column, suffixes: dims.SuffixList | list[str] | None = None) -> Column:
+    """First label of the registrable domain; a bare suffix gives its first label.
 
-    `suffixes` takes a whole public suffix list, with its `*.` and `!` entries.
+    `suffixes` is a public suffix list with its `*.` and `!` entries (default: `dims.suffix_list()`). It is
+    met from the end of the name: the top-level label leads to the entries below it, in which the suffixes of
+    the name are looked up, the longest first.
     """
-    listed = list(dims.PUBLIC_SUFFIXES if suffixes is None else suffixes)
-    plain = [s for s in listed if not s.startswith(("*.", "!"))]
-    wild = [s[2:] for s in listed if s.startswith("*.")]
-    kept = [s[1:] for s in listed if s.startswith("!")]
+    known = dims.suffix_list() if suffixes is None else suffixes
+    if not isinstance(known, dims.SuffixList):
+        known = dims.SuffixList("given", tuple(known))
+    tops = F.from_json(F.lit(json.dumps(known.by_top, ensure_ascii=False)), "map<string,string>")
     parts = F.split(name, r"\.")
+    here = F.struct(F.try_element_at(tops, F.element_at(parts, -1)).alias("rules"), parts.alias("parts"), host_suffixes(name).alias("sizes"))
+
+    def label(at: Column) -> Column:
+        def listed(mark: str, text: Column) -> Column:
+            return F.contains(at["rules"], F.concat(F.lit("|" + mark), text, F.lit("|")))
+
+        def is_suffix(s: Column, i: Column) -> Column:
+            below = (i > 0) & listed("!", F.get(at["sizes"], i - 1))
+            wild = F.contains(s, F.lit(".")) & listed("*.", F.regexp_replace(s, r"^[^.]*\.", ""))
+            return below | ((listed("", s) | wild) & ~listed("!", s))
 
-    def is_suffix(s: Column) -> Column:
-        hit = among(s, plain)
-        if wild:
-            hit = hit | F.regexp_replace(s, r"^[^.]*\.", "").isin(wild)
-        return hit & ~s.isin(kept) if kept else hit
+        first = F.try_element_at(F.filter(at["sizes"], is_suffix), F.lit(1))
+        labels = F.size(at["parts"])
+        return F.get(at["parts"], F.greatest(labels - F.coalesce(F.size(F.split(first, r"\.")), F.lit(1)) - 1, F.lit(0)))
 
-    first = F.try_element_at(F.filter(host_suffixes(name), is_suffix), F.lit(1))
-    suffix_labels = F.coalesce(F.size(F.split(first, r"\.")), F.lit(1))
-    return parts[F.greatest(F.size(parts) - suffix_labels - 1, F.lit(0))]
+    return bound(here, label)
 
 
 def normalize_confusables(name: Column) -> Column:

@@ -64,9 +64,13 @@ def suffixes(h: str) -> str:
     return f"list_transform(range(1, len({parts}) + 1), lambda i: array_to_string({parts}[i:], '.'))"
 
 
+#: The entries of the list in use for the top-level labels that the given pages have; none of them is a wildcard.
+PAGE_SUFFIXES = [s for s in dims.suffix_list().entries if s.rsplit(".", 1)[-1] in ("com", "net", "org") and not s.startswith(("*", "!"))]
+
+
 def label(h: str) -> str:
     parts = f"string_split({h}, '.')"
-    known = values(dims.PUBLIC_SUFFIXES)
+    known = values(PAGE_SUFFIXES)
     place = f"list_position(list_transform({suffixes(h)}, lambda s: list_contains({known}, s)), true)"
     return f"{parts}[greatest(coalesce(nullif({place}, 0), len({parts})) - 1, 1)]"
 
