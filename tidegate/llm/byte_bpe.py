@@ -10,7 +10,6 @@ order the rule asks for: lowest rank first, leftmost first. Encoded pre-tokens a
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from hashlib import sha256
 from heapq import heappop, heappush
 
@@ -18,7 +17,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tidegate.llm.common import id_and_text, map_texts
+from tidegate.llm.common import id_and_text, map_texts, worker_cache
 
 #: Pre-tokens in each of the two generations of a worker's cache; longer ones (in characters) are not kept.
 CACHE = 250_000
@@ -183,7 +182,7 @@ class ByteBpe:
         return b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session that hands texts to Python some megabytes at a time: the default of 10,000 rows lets a
+    batch of long texts, and the buffers on both sides, grow to hundreds."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
+_caches: list[Callable[[], None]] = []
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """Keeps what `fn` makes in the Python worker until `release_caches` is called there."""
+    kept = lru_cache(maxsize=1)(fn)
+    _caches.append(kept.cache_clear)
+    return kept
+
+
+def release_caches() -> None:
+    """Python workers live on from stage to stage: one that needs room drops what others have left."""
+    for clear in _caches:
+        clear()
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only `_id` and `_text`: other columns, whatever their names, cannot clash."""
+    docs = short_batches(docs)
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *more)
 
 

@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import id_and_text, map_texts, sample_texts, slices
+from tidegate.llm.common import id_and_text, map_texts, release_caches, sample_texts, short_batches, slices
 
 TEXTS_PER_LANGUAGE = 64
 CHARS_PER_TEXT = 400
@@ -216,9 +216,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release_caches()
         for batch in slices(batches):
             keep = [model.identified(t, allowed) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
         Model._built.clear()  # workers go on to other stages
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)

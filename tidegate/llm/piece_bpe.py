@@ -9,12 +9,11 @@ none is tried twice.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from tidegate.llm.common import id_and_text, map_texts
+from tidegate.llm.common import id_and_text, map_texts, worker_cache
 from tidegate.llm.tokencount import PRE_TOKEN, SPACE, splittable
 
 #: Remembered pair tests; and pre-tokens in each of the two generations of a worker's cache.
@@ -194,7 +193,7 @@ class PieceBpe:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def load(path: str) -> PieceBpe:
     return PieceBpe(path)
 
