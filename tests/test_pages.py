@@ -238,3 +238,26 @@ def test_pages_of_very_many_tags(spark):
 def test_headers_that_collide(spark):
     rows = spark.sql("SELECT map('A', '1', 'b', '2', 'a', '3') AS h UNION ALL SELECT map() UNION ALL SELECT NULL")
     assert [r[0] for r in rows.select(X.lower_keys(F.col("h"))).collect()] == [{"b": "2", "a": "3"}, {}, None]
+
+
+def test_references_equal_the_standard(spark):
+    """Attributes: whatever `html.unescape` makes of random references; page text: names and numbers of any kind."""
+    import html
+    import html.entities
+
+    rng = random.Random(9)
+    names = list(html.entities.html5)
+    numbers = ["#0", "#x0", "#x0000041;", "#65", "#00065;", "#128;", "#x80;", "#x9F", "#x81;", "#xD800;", "#x110000;", "#99999999999;", "#x1F600;",
+               "#13;", "#11;", "#xFFFE;", "#x7f;", "#xfdd0;", "#65a", "#xg", "#", "#;", "#x;"]
+    texts = ["".join(rng.choice(["&", "&", "a", ";", " ", "x&", "é"]) + rng.choice([rng.choice(names), rng.choice(names)[:-1], rng.choice(numbers), "notit;", "zz", ""])
+                     for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    texts += [f"&{n}" for n in names] + [f"&{n}" for n in numbers] + ["", "&", "&&amp;", "&amp", "&ampx;", "&CounterClockwiseContourIntegral;" * 3]
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "s string")
+    got = {r["s"]: r["a"] for r in rows.select("s", X.decode_entities(F.col("s"), attribute=True).alias("a")).collect()}
+    assert {s: a for s, a in got.items() if a != html.unescape(s).replace("\ud800", "\ufffd")} == {}
+    want = {
+        "&#x0000041;b": "Ab", "&#x80;": "€", "&#150;": "–", "&#x81;": "\x81", "&#99999999999;": "\ufffd", "&hellip x": "… x", "&NotEqualTilde;": "≂̸",
+        "&notit;": "&notit", "&copy-x": "&copy-x", "&#65a": "&#65a", "&#x1F600": "😀", "&#xD800;": "\ufffd", "&amp;&lt": "&<",
+    }
+    rows = spark.createDataFrame([(s,) for s in want], "s string")
+    assert {r["s"]: r["d"] for r in rows.select("s", X.decode_entities(F.col("s")).alias("d")).collect()} == want

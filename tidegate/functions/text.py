@@ -140,51 +140,82 @@ def decode_headers(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _entity_json() -> str:
-    """Named references of HTML 4, from the standard library's table, plus `apos`; common ones first."""
-    every = {**{name: chr(code) for name, code in html.entities.name2codepoint.items()}, "apos": "'"}
-    common = ("amp", "nbsp", "lt", "gt", "quot", "apos")
-    return json.dumps({n: every[n] for n in [*common, *every]}, ensure_ascii=False)
+def _names_json() -> str:
+    """All names of HTML 5 with and without their semicolon, from the standard library's table, below their first
+    two characters; those of common names first."""
+    levels: dict[str, dict[str, str]] = {start: {} for start in ("am", "nb", "lt", "gt", "qu", "ap")}
+    for name, chars in html.entities.html5.items():
+        levels.setdefault(name[:2], {})[name] = chars
+    return json.dumps(levels, ensure_ascii=False)
 
 
-def _entity_map() -> Column:
-    return F.from_json(F.lit(_entity_json()), "map<string,string>")
+def _names_at(piece: Column) -> Column:
+    """The names that start like `piece`, with their characters; null if there are none."""
+    return F.try_element_at(F.from_json(F.lit(_names_json()), "map<string,map<string,string>>"), F.left(piece, F.lit(2)))
 
 
-def _char_from_reference(name: Column) -> Column:
-    digits = F.regexp_extract(name, r"^#(?:[xX]([0-9a-fA-F]{1,6})|0*([0-9]{1,7}))$", 1)
-    decimal = F.regexp_extract(name, r"^#(?:[xX]([0-9a-fA-F]{1,6})|0*([0-9]{1,7}))$", 2)
-    code = F.when(digits != "", F.conv(digits, 16, 10)).when(decimal != "", decimal).cast("int")
-    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-    return F.when(valid, char).when(code.isNotNull(), F.lit("�"))
+# What a number from 0x80 on means in pages, U+FFFD where a byte has no character.
+C1_CHARACTERS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_NUMBER = r"^#(?:[xX]0*([0-9a-fA-F]*)|0*([0-9]*))"
 
 
-def decode_entities(text: Column, attribute: bool = False) -> Column:
-    """Replace character references in one pass.
+def _char_of_number(piece: Column, attribute: bool) -> Column:
+    """The character of a numeric reference of any length; the ones that are none give U+FFFD or, in an attribute,
+    nothing where the standard says so."""
+    hexed, decimal = F.regexp_extract(piece, _NUMBER, 1), F.regexp_extract(piece, _NUMBER, 2)
+    big = (F.length(hexed) > 6) | (F.length(decimal) > 7)
+    code = F.when(big, 0x110000).otherwise(
+        F.when(piece.rlike("^#[xX]"), F.conv(F.nullif(hexed, F.lit("")), 16, 10)).otherwise(F.nullif(decimal, F.lit(""))).cast("int")
+    )
+    code = F.coalesce(code, F.lit(0))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    lost = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0 if attribute else F.lit(False))
+    named = F.when(lost, F.lit("\ufffd")).when(
+        code.between(0x80, 0x9F), F.substring(F.lit(C1_CHARACTERS), code - 0x7F, F.lit(1))
+    )
+    if attribute:
+        gone = code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF)
+        named = named.when(gone | ((code % 0x10000) >= 0xFFFE), F.lit(""))
+    return named.otherwise(char)
+
+
+def _page_reference(p: Column) -> Column:
+    """What follows an ampersand in page text: a name counts as a whole, with its semicolon or without; an unknown
+    one loses the semicolon, as the page parser hands it on."""
+    name = F.regexp_extract(p, r"^[a-zA-Z][-.a-zA-Z0-9]*", 0)
+    number = F.regexp_extract(p, r"^#(?:[xX][0-9a-fA-F]+|[0-9]++(?![a-fA-F]))", 0)
+    char = F.try_element_at(_names_at(p), F.concat(name, F.lit(";")))
+
+    def rest(head: Column) -> Column:
+        left = _after(p, head)
+        return F.when(left.startswith(";"), F.substring(left, F.lit(2), F.length(left))).otherwise(left)
+
+    return (
+        F.when(number != "", F.concat(_char_of_number(p, False), rest(number)))
+        .when(name == "", F.concat(F.lit("&"), p))
+        .otherwise(F.concat(F.coalesce(char, F.concat(F.lit("&"), name)), rest(name)))
+    )
+
+
+def _attribute_reference(p: Column) -> Column:
+    """What follows an ampersand in an attribute: the longest name that it starts with counts."""
+    number = F.regexp_extract(p, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
 
-    In page text a reference may lack its semicolon and an unknown one keeps its name; in an
-    attribute only complete references count.
-    """
+    def named(names: Column) -> Column:
+        fits = F.filter(F.map_keys(names), lambda k: F.startswith(p, k))
+        longest = F.aggregate(fits, F.lit(""), lambda best, k: F.when(F.length(k) > F.length(best), k).otherwise(best))
+        return bound(longest, lambda k: F.when(k != "", F.concat(F.try_element_at(names, k), _after(p, k))))
+
+    char = F.when(number != "", F.concat(_char_of_number(p, True), _after(p, number))).otherwise(bound(_names_at(p), named))
+    return F.coalesce(char, F.concat(F.lit("&"), p))
+
+
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references of HTML 5 in one pass: in page text as the page parser reads them, in an attribute as
+    the standard has it (`html.unescape`)."""
     parts = F.split(text, "&")
-    pattern = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)" + (";" if attribute else ";?")
-
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, pattern, 1)
-        char = F.when(name.startswith("#"), _char_from_reference(name)).otherwise(
-            F.try_element_at(_entity_map(), name)
-        )
-        whole = F.regexp_extract(p, pattern, 0)
-        unknown = F.concat(F.lit("&"), p) if attribute else F.concat(F.lit("&"), name, _after(p, whole))
-        return (
-            F.when(name == "", F.concat(F.lit("&"), p))
-            .when(char.isNotNull(), F.concat(char, _after(p, whole)))
-            .otherwise(unknown)
-        )
-
-    decoded = F.concat(
-        parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), "")
-    )
+    piece = _attribute_reference if attribute else _page_reference
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
