@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate import schemas
 from tidegate.functions import text as X
 from tidegate.functions import urls as U
 from tidegate.operators import decisions as D
 from tidegate.operators import enforcement as E
 from tidegate.operators import filters as T
+from tidegate.operators import intake as N
 from tidegate.operators import matching as M
 from tidegate.operators import pages as P
 from tidegate.operators import quality as Q
@@ -23,6 +25,7 @@ from tidegate.plans import oracle as O
 from tidegate.plans import views as V
 from tidegate.session import checkpoint, scratch_path
 from tidegate.sources import dims, readers, writers
+from tidegate.sources import publish as B
 from tidegate.sources.publish import Change, TableSet
 from tidegate.streaming import jobs as J
 
@@ -1325,6 +1328,141 @@ def q4(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ I intake of posted records, published tables
+def _posted(kind: str, error: str, base: int = 0, more: str = "", column: str = "id") -> str:
+    """Outcomes of a batch of even posts and then of all, a replay of half of them: ids go by batch and post."""
+    codes = " ".join(f"WHEN {O.q(text)} THEN {code}" for text, code in N.STATUS.items())
+    return f"""
+        SELECT post_id, CASE WHEN error IS NULL THEN 201 ELSE CASE error {codes} ELSE 400 END END::BIGINT AS status,
+               CASE WHEN error IS NULL THEN n END AS {column}, error
+        FROM (SELECT *, row_number() OVER (PARTITION BY error IS NULL ORDER BY post_id % 2, post_id) + {base} AS n
+              FROM (SELECT payload_id AS post_id, {error} AS error FROM {kind}_payloads p {more}))"""
+
+
+def _post_twice(post: Callable, tables: TableSet, posts: DataFrame, column: str = "id") -> DataFrame:
+    post(tables, posts.filter("post_id % 2 = 0"), writer="posts", batch=0)
+    told = post(tables, posts, writer="posts", batch=1)
+    return told.select("post_id", long("status").alias("status"), F.col("id").alias(column), "error")
+
+
+def _payload_posts(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    return V.load(spark, sf_dir, view).withColumnRenamed("payload_id", "post_id")
+
+
+EVENT_ERROR = (
+    "CASE WHEN payload_id % 13 IN (1, 5) THEN 'Invalid JSON body' "
+    "WHEN payload_id % 13 = 2 THEN 'Invalid payload: url, headers must be an object' "
+    "WHEN payload_id % 13 = 3 THEN 'Invalid payload: headers, method, timestamp, guard_action, risk_score' "
+    "WHEN payload_id % 13 = 4 THEN 'Invalid payload: url, method, timestamp, guard_action, risk_score' "
+    "WHEN json_extract_string(payload, '$.risk_score') = '7' THEN 'Invalid payload: risk_score' END"
+)
+ANALYSIS_ERRORS = {1: "Invalid event_id", 2: "Invalid rule_code", 3: "Invalid rule_score", 4: "Invalid details"}
+SESSION_ERRORS = {1: "Invalid or missing start_time", 2: "Missing agent_name", 3: "Invalid environment value"}
+
+
+@query(
+    "i1_post_events",
+    O.from_views(
+        _posted("event", f"CASE WHEN s.session_id IS NULL THEN 'Session not found' ELSE {EVENT_ERROR} END", column="event_id", more="""
+            JOIN guard_events e ON e.event_id = p.payload_id
+            LEFT JOIN sessions s ON s.session_id = e.session_id AND p.payload_id % 17 <> 0"""),
+        "event_payloads", "guard_events", "sessions",
+    ),
+)
+def i1(spark, sf_dir):
+    session = F.when(F.col("event_id") % 17 != 0, F.col("session_id"))
+    of = guard_events(spark, sf_dir).select(F.col("event_id").alias("post_id"), session.alias("session_id"))
+    tables = B.start(spark, scratch_path(spark, "posted"), {"sessions": sessions(spark, sf_dir)})
+    return _post_twice(N.post_events, tables, _payload_posts(spark, sf_dir, "event_payloads").join(of, "post_id"), "event_id")
+
+
+@query(
+    "i2_post_analyses",
+    O.from_views(
+        _posted("analysis", f"""coalesce({_case("payload_id", ANALYSIS_ERRORS, 7)},
+            CASE WHEN e.event_id IS NULL THEN 'Referenced event does not exist' END)""", column="analysis_id", more="""
+            LEFT JOIN (SELECT event_id FROM guard_events WHERE guard_action <> 'Block') e ON e.event_id = p.payload_id + 1"""),
+        "analysis_payloads", "guard_events",
+    ),
+)
+def i2(spark, sf_dir):
+    events = readers.with_headers(guard_events(spark, sf_dir)).filter("guard_action <> 'Block'")
+    events = events.select(*[c.split()[0] for c in schemas.EVENTS.split(", ")])
+    tables = B.start(spark, scratch_path(spark, "posted"), {"events": events, "rules": rules(spark)})
+    return _post_twice(N.post_analyses, tables, _payload_posts(spark, sf_dir, "analysis_payloads"), "analysis_id")
+
+
+@query(
+    "i3_post_rules",
+    O.from_views(
+        """SELECT payload_id AS post_id, CASE WHEN error IS NULL THEN 201 WHEN error = 'rule_code already exists' THEN 409 ELSE 400 END::BIGINT AS status, error
+           FROM (SELECT payload_id, CASE payload_id % 11 WHEN 1 THEN 'Missing weight' WHEN 2 THEN 'Invalid rule_code' WHEN 3 THEN 'Invalid weight'
+                  WHEN 4 THEN 'Invalid rule_type' WHEN 5 THEN 'Invalid compute_class' WHEN 6 THEN 'Invalid is_enabled'
+                  WHEN 7 THEN 'Invalid is_hard_block' WHEN 8 THEN 'Invalid description' WHEN 9 THEN 'rule_code already exists'
+                  ELSE CASE WHEN row_number() OVER (PARTITION BY payload_id % 11 IN (0, 10), json_extract_string(payload, '$.rule_code') ORDER BY payload_id % 2, payload_id) > 1
+                            THEN 'rule_code already exists' END END AS error FROM rule_payloads)""",
+        "rule_payloads",
+    ),
+)
+def i3(spark, sf_dir):
+    tables = B.start(spark, scratch_path(spark, "posted"), {"rules": rules(spark)})
+    return _post_twice(N.post_rules, tables, _payload_posts(spark, sf_dir, "rule_payloads")).drop("id")
+
+
+@query(
+    "i4_post_sessions",
+    O.from_views(_posted("session", _case("payload_id", SESSION_ERRORS, 5), 2_000_000, column="session_id"), "session_payloads"),
+)
+def i4(spark, sf_dir):
+    tables = B.start(spark, scratch_path(spark, "posted"), {"sessions": sessions(spark, sf_dir)}, {"sessions": 2_000_000})
+    return _post_twice(N.post_sessions, tables, _payload_posts(spark, sf_dir, "session_payloads"), "session_id")
+
+
+@query(
+    "v1_published_mutations",
+    O.from_views(
+        f"""SELECT 'rule' AS kind, r.rule_code AS id, CAST(coalesce(c.is_enabled, r.is_enabled) AS VARCHAR) AS value FROM rules r LEFT JOIN changes c ON c.rule_code = r.rule_code
+               WHERE r.is_hard_block OR r.rule_code IN (SELECT rule_code FROM rules_analysis)
+            UNION ALL SELECT 'rule', rule_code, CAST(any_value(c.is_enabled) AS VARCHAR) FROM rules_analysis a JOIN changes c USING (rule_code)
+               WHERE rule_code NOT IN (SELECT rule_code FROM rules) GROUP BY rule_code
+            UNION ALL SELECT 'session', CAST(s.session_id AS VARCHAR), coalesce({O.iso_us('coalesce(s.end_time, w.end_time)')}, '') || '/' ||
+               coalesce(CAST(CASE WHEN s.user_id NOT IN (SELECT user_id FROM users WHERE is_admin) THEN s.user_id END AS VARCHAR), '')
+               FROM sessions s LEFT JOIN wins w ON w.session_id = s.session_id WHERE s.environment <> 'prod'
+            UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), '' FROM guard_events WHERE session_id NOT IN (SELECT session_id FROM sessions WHERE environment = 'prod')
+            UNION ALL SELECT 'analysis', CAST(analysis_id AS VARCHAR), '' FROM rules_analysis WHERE event_id NOT IN (SELECT event_id FROM guard_events
+               WHERE session_id IN (SELECT session_id FROM sessions WHERE environment = 'prod'))""",
+        "sessions", "guard_events", "rules_analysis", "users", extra=U2_X | CLOSES,
+    ),
+)
+def v1(spark, sf_dir):
+    """All mutations as versions of one set of tables, read as they are after the last one."""
+    every = {
+        "sessions": sessions(spark, sf_dir), "events": guard_events(spark, sf_dir), "rules_analysis": analyses(spark, sf_dir),
+        "rules": rules(spark).filter("is_hard_block"), "users": V.load(spark, sf_dir, "users"),
+    }
+    tables = B.start(spark, scratch_path(spark, "published"), every)
+    seen = tables.table("rules_analysis").select(
+        F.col("rule_code").alias("rule_id"), F.lit("contextual").alias("rule_type"), F.lit(False).alias("hard_block"), F.col("details").alias("explanation")
+    )
+    N.register_rules(tables, K.rules_from_results(seen))
+    N.enable_rules(tables, _rule_changes(spark, sf_dir))
+    N.close_sessions(tables, close_requests(spark, sf_dir))
+    N.delete_sessions(tables, tables.table("sessions").filter("environment = 'prod'"))
+    N.delete_users(tables, tables.table("users").filter("is_admin"))
+    now = tables.current()
+
+    def shown(name: str, kind: str, key: str, value: Column) -> DataFrame:
+        return tables.table(name, now).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), value.alias("value"))
+
+    ends = F.concat(F.coalesce(iso_us("end_time"), F.lit("")), F.lit("/"), F.coalesce(F.col("user_id").cast("string"), F.lit("")))
+    return (
+        shown("rules", "rule", "rule_code", F.col("is_enabled").cast("string"))
+        .unionByName(shown("sessions", "session", "session_id", ends))
+        .unionByName(shown("events", "event", "event_id", F.lit("")))
+        .unionByName(shown("rules_analysis", "analysis", "analysis_id", F.lit("")))
+    )
+
+
 # ------------------------------------------------------------------ the decision job
 def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The traffic as its senders would post it: some name a session, some an unknown environment."""
