@@ -217,3 +217,30 @@ def test_tokens_odd_rows(table, odd_texts, library):
         ids = library.encode(text or "")
         assert counts[i] == made[i]["n_tokens"] == len(ids) and made[i]["ids"] == ",".join(map(str, ids))
     assert tokencount.token_counts(docs.limit(0), MODEL).count() == 0 and piece_bpe.encode_decode(docs.limit(0), MODEL).count() == 0
+
+
+def test_a_long_text_full_of_licence_phrases():
+    """Time is linear to the text: 60,000 places, some of phrases within each other."""
+    import time
+
+    words = ["cc", "by", "nc", "under", "the", "mit", "license"] * 60_000
+    begun = time.time()
+    found = licences.Scanner.scan(" ".join(words))
+    places = [i for i in range(len(words)) if words[i : i + 3] == ["cc", "by", "nc"] or words[i : i + 4] == ["under", "the", "mit", "license"]]
+    assert (found["n_base"], found["first_word"], found["last_word"]) == (len(places), min(places), max(places)) and time.time() - begun < 10
+
+
+def test_wrong_ids_show_in_the_decoded_text():
+    """The digest is made of what the ids say: ids of another piece decode to its text."""
+    bpe = piece_bpe.PieceBpe(MODEL)
+    bpe.ids = bpe.ids | {"▁the": bpe.ids["▁of"]}
+    assert bpe.round_trip("the cat")[2] == "of cat"
+
+
+def test_repeated_ids_are_rated_once(table, spark):
+    texts = [f"fine word{i % 7}" if i % 2 else f"vile word{i % 5}" for i in range(40)] + ["vile again"] * 200
+    ids = [*range(40), *([1] * 200)]
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    model = ordinal.fit(table(texts, ids), ratings, "grade", 2)
+    got = {r["_id"]: r["tails"][0] for r in ordinal.grade(table(texts[:40]), model).collect()}
+    assert all((p >= 0.5) == bool(i % 2) for i, p in got.items())

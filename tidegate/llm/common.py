@@ -144,7 +144,7 @@ def bitmap_of(slots: DataFrame, bits: int) -> np.ndarray:
     number = F.col("slot") + 1
     parts = slots.groupBy(F.bitmap_bucket_number(number).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
     made = np.zeros(bits // 8, np.uint8)
-    for r in parts.where("b is not null").toLocalIterator():
+    for r in parts.where("b is not null").collect():
         made[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return made
 

@@ -120,9 +120,11 @@ class Scanner:
         words = raw.translate(TO_WORDS).split()
         joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
         starts, base, more, tagged = [], set(), set(), False
+        spaces = counted = 0  # spaces before `counted`: hits come in the order of their ends
         for end, phrase in cls.automaton().iter(joined):
             if phrase in BASE:
-                starts.append(joined.count(" ", 0, end - len(phrase) - 1))
+                spaces, counted = spaces + joined.count(" ", counted, end), end
+                starts.append(spaces - phrase.count(" ") - 1)
                 base.add(BASE[phrase])
             elif phrase == TAG:
                 tagged = True

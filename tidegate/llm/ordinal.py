@@ -124,7 +124,7 @@ def fit(
     docs: DataFrame, ratings: DataFrame, grade_col: str, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
     max_rated: int = MAX_RATED,
 ) -> Model:
-    """Fits on at most `max_rated` rated documents, those whose hashed ids are smallest.
+    """Fits on at most `max_rated` ratings, those whose hashed ids are smallest, with one text each.
 
     `ratings` has `id_col` and `grade_col` (0 .. n_grades - 1; nulls are left out). Ratings without a
     document and null texts add nothing; without any rated text all weights are zero.
@@ -133,7 +133,9 @@ def fit(
     rated = rated.where(f"_rid IS NOT NULL AND _grade BETWEEN 0 AND {n_grades - 1}")
     rated = F.broadcast(rated.orderBy(F.xxhash64("_rid"), "_rid", "_grade").limit(max_rated))
     texts = id_and_text(docs, id_col, text_col).where("_text IS NOT NULL")
-    texts = texts.join(rated, texts["_id"] == rated["_rid"]).select("_grade", "_text")
+    # an id may repeat very often among the documents: the smallest text counts, so at most `max_rated` rows are collected
+    texts = texts.join(rated, texts["_id"] == rated["_rid"]).groupBy("_rid", "_grade").agg(F.min("_text").alias("_text"))
+    texts = texts.orderBy("_rid", "_grade").select("_grade", "_text")
     packed = lambda t: np.fromiter(map(bucket, features(t)), "<i4").tobytes()
     rows = map_texts(texts, "_f binary", lambda batch: {"_f": [packed(t) for t in batch]}, ("_grade",)).toPandas()
     grades = rows["_grade"].to_numpy(np.int64)

@@ -114,7 +114,7 @@ class PieceBpe:
                 piece = shorter.get(last)
 
     def token(self, token: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text) of a pre-token."""
+        """(number of ids, ids joined by commas, text decoded from the ids) of a pre-token."""
         known = self.cache.get(token)
         if known is None:
             if len(self.cache) >= CACHE:
@@ -122,20 +122,16 @@ class PieceBpe:
                 self.cache.clear()
             known = self.older.get(token)
         if known is None:
-            ids, plain = [], []
+            ids = []
             for piece in self.split(token.replace(" ", SPACE)):
                 number = self.ids.get(piece)
                 if number is not None:
                     ids.append(number)
-                    plain.append(piece)
                 elif self.bytes:
-                    data = piece.encode("utf-8", "surrogatepass")
-                    ids += [self.bytes[b] for b in data]
-                    plain.append(piece)
+                    ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
                 else:
                     ids.append(self.unknown)
-                    plain.append(self.unknown_text)
-            decoded = "".join(plain).replace(SPACE, " ")
+            decoded = self._text(ids, False)
             known = len(ids), ",".join(map(str, ids)), token if decoded == token else decoded
         self.cache[token] = known
         return known
@@ -156,6 +152,10 @@ class PieceBpe:
     def decode(self, ids: list[int]) -> str:
         """Text of any ids: bytes are put together, bytes that are no UTF-8 become U+FFFD each, control ids
         have no text, unknown ones the model's mark; one space before the text is left out."""
+        return self._text(ids, True)
+
+    def _text(self, ids: list[int], first: bool) -> str:
+        """`first` says whether the ids begin a text."""
         out: list[str] = []
         held = bytearray()
 
@@ -176,7 +176,6 @@ class PieceBpe:
                     at += 1
             held.clear()
 
-        first = True
         for i in ids:
             kind = self.types[i]
             if kind == 6:
