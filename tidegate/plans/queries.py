@@ -800,6 +800,43 @@ def r16(spark, sf_dir):
     )
 
 
+@query(
+    "c16_response_records",
+    O.with_ctes(
+        f"""SELECT p.request_id, {O.iso('p.ts')} AS timestamp, 'RESPONSE' AS type, p.status_code::BIGINT AS status_code, p.url, s.decision, s.risk_score,
+                   (SELECT count(*) FROM long l WHERE l.request_id = p.request_id) AS rules, e.decision AS enforced, e.reason, e.source
+            FROM pages_x p JOIN scored s ON s.request_id = p.request_id LEFT JOIN ({_enforced_sql(False, False)}) e ON e.request_id = p.request_id""",
+        "signals", O.scored_ctes() | REASONS,
+    ),
+)
+def c16(spark, sf_dir):
+    """Each response with its evaluation and the enforcement of its request; bodies are pruned before the joins."""
+    records = A.response_shape(
+        V.traffic(spark, sf_dir), scored(spark, sf_dir), E.enforcement(html_view(spark, sf_dir), decisions(spark, sf_dir), "fail_closed", False)
+    )
+    return records.select(
+        "request_id", "timestamp", "type", long("status_code").alias("status_code"), "url", "evaluation.decision", "evaluation.risk_score",
+        long(F.size("evaluation.rule_results")).alias("rules"), F.col("request_enforcement.decision").alias("enforced"),
+        "request_enforcement.reason", "request_enforcement.source",
+    )
+
+
+@query(
+    "c17_displayed_weights",
+    O.from_views(
+        """SELECT r.rule_code, round(r.weight * c.n / (SELECT count(*) FROM rules_analysis), 4) AS weight
+           FROM rules r JOIN (SELECT rule_code, count(*) AS n FROM rules_analysis GROUP BY rule_code) c ON c.rule_code = r.rule_code""",
+        "rules_analysis", extra=RULES_X,
+    ),
+)
+def c17(spark, sf_dir):
+    """Weights as they are shown, each scaled by the share of the analyses that its rule has."""
+    counts = analyses(spark, sf_dir).groupBy("rule_code").agg(F.count("*").alias("n"))
+    every = counts.agg(F.sum("n")).scalar()
+    weight = F.col("weight") * F.col("n") / every
+    return rules(spark).join(counts, "rule_code").select("rule_code", X.display_weight(weight).alias("weight"))
+
+
 # The responses that are analysed, in the form of the traffic that the scoring reads.
 RESPONSES = {
     "traffic": """
