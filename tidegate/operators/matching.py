@@ -87,10 +87,9 @@ def verdicts_as_of(
 
 
 # ------------------------------------------------------------------ privacy filter list
-def _grams(text: Column, size: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))
-    )
+def _grams(text: Column, size: int | Column) -> Column:
+    width = size if isinstance(size, Column) else F.lit(size)
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substring(text, i, width))
 
 
 def filter_list_hits(hosts: DataFrame, filter_list: DataFrame) -> DataFrame:
@@ -110,22 +109,13 @@ def filter_list_hits(hosts: DataFrame, filter_list: DataFrame) -> DataFrame:
         .groupBy("domain")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
-    found = _contained(hosts, filed, GRAM)
-    for size in range(1, GRAM):
-        exact = listed.filter(F.length("domain") == size).select("domain", F.col("domain").alias("gram"))
-        found = found.unionByName(_contained(hosts, exact, size))
-    return found.distinct()
-
-
-def _contained(hosts: DataFrame, filed: DataFrame, size: int) -> DataFrame:
-    exploded = hosts.filter(F.length("host") >= size).select(
-        "host", F.explode(F.array_distinct(_grams(F.col("host"), size))).alias("gram")
-    )
-    return (
-        exploded.join(filed, "gram")
-        .filter(F.contains("host", "domain"))
-        .select("host")
-    )
+    short = listed.filter(F.length("domain") < GRAM).select("domain", F.col("domain").alias("gram"))
+    filed = filed.unionByName(short)
+    # hosts are cut once, into pieces of those lengths only that the list has
+    sizes = filed.agg(F.sort_array(F.collect_set(F.length("gram")))).scalar()
+    pieces_of = F.transform("_sizes", lambda n: F.when(F.length("host") >= n, _grams(F.col("host"), n)).otherwise(F.array().cast("array<string>")))
+    exploded = hosts.withColumn("_sizes", sizes).select("host", F.explode(F.array_distinct(F.flatten(pieces_of))).alias("gram"))
+    return exploded.join(filed, "gram").filter(F.contains("host", "domain")).select("host").distinct()
 
 
 # ------------------------------------------------------------------ custom blocklist

@@ -97,10 +97,6 @@ class Spec:
     columns: Callable[[Payload], dict[str, Column]]
     not_object: str = "Invalid JSON body"
 
-    def over(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
-        """`build` over the parsed payload."""
-        return self.bound(payload, build)[0]
-
     def bound(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
         """`build` over the parsed payload, in an array of one element.
 
@@ -120,16 +116,6 @@ class Spec:
         bound = F.transform(F.array(F.try_parse_json(payload)), read)
         return F.transform(bound, lambda r: build(r["_whole"], lambda name: Field(r[name])))
 
-    def error_of(self, payload: str) -> Column:
-        return self.over(
-            payload, lambda whole, p: F.when(~whole, F.lit(self.not_object)).otherwise(self.error(p))
-        )
-
-    def row_of(self, payload: str) -> Column:
-        return self.over(
-            payload, lambda _, p: F.struct(*[c.alias(n) for n, c in self.columns(p).items()])
-        )
-
 
 def checked(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
     """All rows in one pass: `error` in place of the payload, and `_row`, the typed columns, null beside an error.
@@ -148,12 +134,10 @@ def checked(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
 
 
 def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): valid rows get the typed columns, rejected ones their `error`."""
-    checked = df.withColumn("error", spec.error_of(payload))
-    valid = checked.filter("error is null").withColumn("_row", spec.row_of(payload)).select(
-        *[c for c in df.columns if c != payload], "_row.*"
-    )
-    return valid, checked.filter("error is not null")
+    """(valid, rejected): valid rows get the typed columns, rejected ones their `error`; a row is parsed once a side."""
+    judged = checked(df.withColumn("_read", F.col(payload)), spec, "_read")
+    valid = judged.filter("error is null").select(*[c for c in df.columns if c != payload], "_row.*")
+    return valid, judged.filter("error is not null").select(*df.columns, "error")
 
 
 def _first(*checks: tuple[Column, str]) -> Column:
