@@ -39,6 +39,8 @@ def test_traffic_source(spark, log):
     good = {r["request_id"]: r for r in rows.filter("request_id is not null").collect()}
     assert good[1]["agent_name"] == "bot" and good[2]["agent_name"] == "a"
     assert good[1]["environment"] == "prod" and good[3]["timestamp"] is not None
+    named = {r["request_id"]: r["agent_name"] for r in readers.read_traffic(spark, log, agent_headers=("x-none", "B", "X-Agent-Name")).collect()}
+    assert named[1] == "2" and named[2] == "a"
 
 
 def test_binary_bodies(spark):
