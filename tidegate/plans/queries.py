@@ -821,6 +821,46 @@ def c16(spark, sf_dir):
     )
 
 
+@query(
+    "c13_lower_case_headers",
+    O.with_ctes(
+        """SELECT request_id, user_agent, CASE WHEN method = 'POST' THEN lower(content_type) ELSE content_type END AS content_type, 2 AS names FROM pages_x""",
+        "pages_x",
+    ),
+)
+def c13(spark, sf_dir):
+    """Names in any case; of two that collide the later one counts."""
+    page = V.load(spark, sf_dir, "traffic")
+    once = F.create_map(F.lit("User-Agent"), "user_agent", F.lit("Content-Type"), "content_type")
+    twice = F.map_concat(once, F.create_map(F.lit("CONTENT-TYPE"), F.lower("content_type")))
+    headers = X.lower_keys(F.when(F.col("method") == "POST", twice).otherwise(once))
+    return page.select("request_id", headers.alias("h")).select(
+        "request_id", F.col("h")["user-agent"].alias("user_agent"), F.col("h")["content-type"].alias("content_type"), long(F.size("h")).alias("names")
+    )
+
+
+@query(
+    "c14_agents_from_headers",
+    O.with_ctes(
+        """SELECT request_id, CASE request_id % 4 WHEN 0 THEN agent_name WHEN 1 THEN 'second-' || request_id WHEN 2 THEN 'first-' || request_id END AS agent_name
+           FROM pages_x""",
+        "pages_x",
+    ),
+)
+def c14(spark, sf_dir):
+    """The agent of a request that does not name one, from two headers in this order of precedence."""
+    page = F.col("request_id")
+    first = F.concat(F.lit("first-"), page)
+    headers = (
+        F.when(page % 4 == 1, F.create_map(F.lit("x-second"), F.concat(F.lit("second-"), page), F.lit("X-First"), F.lit("")))
+        .when(page % 4 == 2, F.create_map(F.lit("X-Second"), F.lit("other"), F.lit("X-FIRST"), first))
+        .otherwise(F.create_map(F.lit("X-Third"), F.lit("none")))
+    )
+    named = F.when(page % 4 == 0, F.col("agent_name"))
+    raw = V.traffic(spark, sf_dir).withColumns({"agent_name": named, "req_headers": headers})
+    return readers.finish_traffic(raw, ("X-First", "X-Second")).select("request_id", "agent_name")
+
+
 @query(
     "c17_displayed_weights",
     O.from_views(
