@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.session import checkpoint_dir, scratch_path
@@ -26,6 +27,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Asks the driver to let go of plans that are done with: only then Spark deletes their shuffle files, of which
+    an iteration leaves a few for each task, stage and round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def short_batches(df: DataFrame) -> DataFrame:
     """`df`, in a session that hands texts to Python some megabytes at a time: the default of 10,000 rows lets a
     batch of long texts, and the buffers on both sides, grow to hundreds."""

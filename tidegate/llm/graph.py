@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import checkpoint
+from tidegate.llm.common import checkpoint, drop_finished
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,3 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(below.union(least.select("u", F.col("m").alias("v"))).distinct())
+        del both, low, large, least, below
+        drop_finished(edges.sparkSession)
