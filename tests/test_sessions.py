@@ -115,6 +115,34 @@ def test_context_equals_brute_force(spark, parts, depth, span):
             past.append(e)
 
 
+@pytest.mark.parametrize("parts, span", [(1, 6), (12, 6), (12, 0)])
+def test_every_event_has_its_whole_history(spark, parts, span):
+    """Also events of sessions over many parts, without a session or without a URL."""
+    rng = random.Random(9)
+    events = [
+        (i, rng.choice([1, 1, 1, 1, 2, None]), moment(rng, span), rng.choice([f"https://h.com/{i}", f"https://h.com/{i}", None])) for i in range(300)
+    ]
+    rows = spark.createDataFrame(events, "event_id long, session_id long, timestamp timestamp, url string")
+    found = S.whole_histories(rows, parts)
+    got = {r["event_id"]: r["previous_urls"] for r in found.collect()}
+    assert found.columns == [*rows.columns, "previous_urls"] and found.count() == len(events)
+    for session in (1, 2, None):
+        past = []
+        for e in sorted((e for e in events if e[1] == session), key=lambda e: (e[2], e[0])):
+            assert got[e[0]] == [url for url in past if url]
+            past.append(e[3])
+
+
+def test_query_gives_every_event_its_previous_urls(spark):
+    """Not the newest event of each session alone."""
+    from tidegate.plans import queries
+
+    made = queries.QUERIES["w1_previous_urls"](spark, "/root/testdata/sf0.001")
+    every = queries.guard_events(spark, "/root/testdata/sf0.001")
+    assert made.columns == ["event_id", "session_id", "previous_urls"] and made.count() == every.count()
+    assert made.join(every, "event_id", "left_anti").count() == 0
+
+
 def test_parts_of_a_hot_session_are_even(spark):
     """A session with nine tenths of the rows, all at one time, is spread over the parts."""
     from tidegate.operators import scan

@@ -77,3 +77,25 @@ def latest(rows: DataFrame, key: list[str], order: list[str], what: str, name: s
     carried = summaries(parted, key, {"_seen": seen}).select(*key, PART, F.last("_seen", ignorenulls=True).over(before).alias("_came"))
     here = parted.withColumn(name, F.last(what, ignorenulls=True).over(inside))
     return with_carried(here, carried, key).withColumn(name, F.coalesce(name, "_came")).drop(PART, "_came")
+
+
+def gathered(rows: DataFrame, key: list[str], order: list[str], what: str, name: str, parts: int | None = None) -> DataFrame:
+    """`rows` with `name`: the list of `what` over the earlier rows of the key, in order; nulls are left out.
+
+    The lists of a key are as long as the key, so all of them together grow with its square. Rows pass one by one:
+    no task holds more than its part and one list. What came before a part is a row of its own in front of it.
+    """
+    parted = in_parts(rows, key, order, parts)
+    kind = parted.schema[what].dataType.simpleString()
+    inside = Window.partitionBy(*key, PART).orderBy("_here", *order)
+    across = Window.partitionBy(*key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    split = summaries(parted, key, {"_split": F.lit(True)})
+    values = F.sort_array(F.collect_list(F.struct(*order, F.col(what).alias("_what"))))
+    lists = with_carried(parted, split, key).where("_split").groupBy(*key, PART).agg(
+        F.array_compact(F.transform(values, lambda v: v["_what"])).alias("_list")
+    )
+    came = lists.select(*key, PART, F.flatten(F.collect_list("_list").over(across)).alias("_came"), F.lit(0).alias("_here"))
+    every = parted.withColumn("_here", F.lit(1)).unionByName(came, allowMissingColumns=True)
+    before = F.coalesce(F.first("_came").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.array().cast(f"array<{kind}>"))
+    here = F.collect_list(what).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return every.withColumn(name, F.concat(before, here)).where("_here = 1").select(*rows.columns, name)

@@ -289,6 +289,11 @@ def previous_urls(context: DataFrame, asked: DataFrame) -> DataFrame:
     return context.drop("event_id").join(wanted, same).select("event_id", "session_id", "position", "url")
 
 
+def whole_histories(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """W1 for every event: `previous_urls`, all earlier URLs of its session, oldest first."""
+    return scan.gathered(events, ["session_id"], ["timestamp", "event_id"], "url", "previous_urls", parts)
+
+
 def latest_urls(context: DataFrame, depth: int) -> DataFrame:
     """W1 with a bound: event_id and `previous_urls`, its latest `depth` earlier URLs, oldest first."""
     later = F.explode(F.sequence(F.col("position") + 1, F.col("position") + depth))

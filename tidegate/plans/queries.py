@@ -1010,6 +1010,21 @@ _context("w3_unique_domains", "unique_domains_visited")
 
 @query(
     "w1_previous_urls",
+    O.from_views(
+        """SELECT event_id, session_id,
+                  coalesce(array_to_string(list(url) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' '), '') AS previous_urls
+           FROM guard_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)""",
+        "guard_events",
+    ),
+)
+def w1(spark, sf_dir):
+    """The whole history of every event."""
+    events = guard_events(spark, sf_dir).select("event_id", "session_id", "timestamp", "url")
+    return S.whole_histories(events).select("event_id", "session_id", F.array_join("previous_urls", " ").alias("previous_urls"))
+
+
+@query(
+    "w1_newest_history",
     O.from_views(
         """SELECT n.event_id, c.session_id, c.position, c.url FROM context c
            JOIN (SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id, max(position) AS position FROM context GROUP BY session_id) n
@@ -1017,7 +1032,7 @@ _context("w3_unique_domains", "unique_domains_visited")
         "guard_events", extra=CONTEXT,
     ),
 )
-def w1(spark, sf_dir):
+def w1_newest(spark, sf_dir):
     """The history of the event under evaluation, which is the newest one of its session."""
     every = checkpoint(context(spark, sf_dir))
     newest = every.groupBy("session_id").agg(F.max_by("event_id", "position").alias("event_id"))
