@@ -99,7 +99,7 @@ def post_analyses(tables: TableSet, posts: DataFrame, **batch) -> DataFrame:
     """Rule analyses of events. Input: post_id, payload. Payload, event and rule are looked at in this order."""
 
     def judge(fresh: DataFrame, now: Version) -> DataFrame:
-        checked = Q.checked(fresh, Q.ANALYSES)
+        checked = checkpoint(Q.checked(fresh, Q.ANALYSES))
         asked = checked.where("error is null").select(F.col("post_id").alias("analysis_id"), "_row.event_id", "_row.rule_code")
         orphans = K.orphan_analyses(asked, tables.table("events", now), tables.table("rules", now))
         found = orphans.select(F.col("analysis_id").alias("post_id"), F.col("error").alias("_orphan"))

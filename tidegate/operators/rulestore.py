@@ -79,12 +79,10 @@ def orphan_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def orphan_analyses(analyses: DataFrame, events: DataFrame, rules: DataFrame) -> DataFrame:
     """Analyses without an event or, where the event exists, without a rule."""
-    no_event = analyses.join(events.select("event_id"), "event_id", "left_anti").withColumn(
-        "error", F.lit("Referenced event does not exist")
+    there = events.select("event_id", F.lit(True).alias("_event")).distinct()
+    known = rules.select("rule_code", F.lit(True).alias("_rule")).distinct()
+    error = F.when(F.col("_event").isNull(), F.lit("Referenced event does not exist")).when(
+        F.col("_rule").isNull(), F.lit("Referenced rule does not exist")
     )
-    no_rule = (
-        analyses.join(rules.select("rule_code"), "rule_code", "left_anti")
-        .join(events.select("event_id"), "event_id", "left_semi")
-        .withColumn("error", F.lit("Referenced rule does not exist"))
-    )
-    return no_event.unionByName(no_rule)
+    found = analyses.join(there, "event_id", "left").join(known, "rule_code", "left").withColumn("error", error)
+    return found.where("error is not null").select(*analyses.columns, "error")
