@@ -131,3 +131,42 @@ def test_enforcement(spark):
     assert (late["decision"], late["source"], late["reason"], late["status_code"]) == ("allow", "backend_timeout", E.OPEN, None)
     with pytest.raises(ValueError):
         enforced(spark, "allow", failure_mode="open")
+
+
+def test_payloads_are_checked_in_compiled_projections(spark):
+    """Functions of arrays are interpreted row by row; nothing of the check hides in one, and no filter repeats the parse."""
+    df = spark.createDataFrame([(1, "{}")], "n long, payload string").repartition(2)
+    for spec in (Q.TRAFFIC, Q.EVENTS, Q.RULES, Q.ANALYSES, Q.SESSIONS, Q.SESSION_ENDS, Q.RULE_FLAGS):
+        for found in (Q.checked(df, spec), *Q.split_valid(df, spec)):
+            plan = found._jdf.queryExecution().executedPlan().toString().lower()
+            assert "lambda" not in plan and plan.count("parsejson") + plan.count("parse_json") == 1
+
+
+@pytest.mark.parametrize("text", [
+    "2024-01-02T03:04:05Z", "2024-01-02 03:04:05.1234567+05:30", "2024-01-02T03:04:05-0530", "2024-01-02T03:04:05,5Z", "2024-01-02T03:04",
+    " 2024-01-02T03:04:05.5Z\n", "2024-02-30T03:04:05Z", "2024-01-02T24:04:05Z", "2024-01-02T03:04:60+00:00", "2024-01-02T03:04:05+19:00", "2024-01-02", "x",
+])
+def test_whole_times_are_read_as_the_others(spark, text):
+    """Times with seconds and an offset take a short way; it gives what the parts give."""
+    import re
+
+    from tidegate.functions import text as X
+
+    found = re.fullmatch(X._ISO, text.strip())
+    want = None
+    if found:
+        day, hours, minutes, seconds, offset = (g or d for g, d in zip(found.groups(), ("", "00", "00", "00", "Z")))
+        offset = offset.replace("Z", "+00:00") if ":" in offset or offset == "Z" else offset[:3] + ":" + offset[3:]
+        full = f"{day}T{hours}:{minutes}:{seconds.replace(',', '.')}{offset}"
+        want = spark.sql("SELECT try_to_timestamp(:t)", {"t": full}).first()[0]
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(X.parse_iso(df.t)).first()[0] == want
+
+
+def test_orphans_are_told_once(spark):
+    """Events and rules that come twice, keys that are null."""
+    analyses = spark.createDataFrame([(1, 5, "a"), (2, 6, "a"), (3, 5, "b"), (4, None, "a"), (5, 5, None), (5, 5, None)], "analysis_id long, event_id long, rule_code string")
+    events = spark.createDataFrame([(5,), (5,), (None,)], "event_id long")
+    rules = spark.createDataFrame([("a",), ("a",), (None,)], "rule_code string")
+    got = sorted((r["analysis_id"], r["error"].split()[1]) for r in K.orphan_analyses(analyses, events, rules).collect())
+    assert got == [(2, "event"), (3, "rule"), (4, "event"), (5, "rule"), (5, "rule")]

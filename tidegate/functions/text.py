@@ -52,6 +52,8 @@ _ISO = (
     r"^(\d{4}-\d{2}-\d{2})"
     r"(?:[T ](\d{2})(?::(\d{2})(?::(\d{2}(?:[.,]\d+)?))?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
+#: Of these the ones with seconds and an offset, which a cast reads as they are.
+_WHOLE_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 
 
 def parse_iso(col: Column) -> Column:
@@ -67,7 +69,7 @@ def parse_iso(col: Column) -> Column:
         part(1, ""), F.lit("T"), part(2, "00"), F.lit(":"), part(3, "00"), F.lit(":"),
         F.translate(part(4, "00"), ",", "."), offset,
     )
-    return F.when(text.rlike(_ISO), F.try_to_timestamp(full))
+    return F.when(text.rlike(_WHOLE_ISO), F.try_to_timestamp(text)).when(text.rlike(_ISO), F.try_to_timestamp(full))
 
 
 def iso_z(col: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as X
+from tidegate.session import checkpoint
 from tidegate.sources import dims
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -20,7 +21,7 @@ _INTEGER = r"^\s*[+-]?\d+\s*$"
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a parsed payload: `bound` holds its type name and its variant value."""
+    """One field of a parsed payload: `bound` holds its type name, its variant value and, of a string, its text."""
 
     bound: Column
 
@@ -54,7 +55,7 @@ class Field:
 
     @property
     def text(self) -> Column:
-        return F.when(self.is_text, self._get("string"))
+        return self.bound["text"]
 
     @property
     def any_text(self) -> Column:
@@ -72,12 +73,12 @@ class Field:
         return X.clean_string(self.text, max_length)
 
     def number(self, minimum: float | None = None, maximum: float | None = None) -> Column:
-        readable = ~self.is_text | self.any_text.rlike(_NUMBER)
+        readable = ~self.is_text | self.text.rlike(_NUMBER)
         return F.when(readable, X.bounded_float(self._get("double"), minimum, maximum))
 
     @property
     def positive_int(self) -> Column:
-        readable = ~self.is_text | self.any_text.rlike(_INTEGER)
+        readable = ~self.is_text | self.text.rlike(_INTEGER)
         return F.when(readable, X.positive_int(self._get("long")))
 
     @property
@@ -97,40 +98,35 @@ class Spec:
     columns: Callable[[Payload], dict[str, Column]]
     not_object: str = "Invalid JSON body"
 
-    def bound(self, payload: str, build: Callable[[Column, Payload], Column]) -> Column:
-        """`build` over the parsed payload, in an array of one element.
-
-        One-element arrays bind the variant and its fields, so a filter on the result that the
-        optimizer moves around still parses each payload once.
-        """
-
-        def field(v: Column, name: str) -> Column:
-            value = F.try_variant_get(v, f"$.{name}", "variant")
-            kind = F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
-            return F.struct(kind.alias("kind"), value.alias("value")).alias(name)
-
-        def read(v: Column) -> Column:
-            whole = F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
-            return F.struct(whole.alias("_whole"), *[field(v, n) for n in self.fields])
-
-        bound = F.transform(F.array(F.try_parse_json(payload)), read)
-        return F.transform(bound, lambda r: build(r["_whole"], lambda name: Field(r[name])))
-
 
 def checked(df: DataFrame, spec: Spec, payload: str = "payload") -> DataFrame:
     """All rows in one pass: `error` in place of the payload, and `_row`, the typed columns, null beside an error.
 
-    The outer generator keeps later filters above the parse, and the optimizer infers none below it.
+    Projections, not functions of arrays, read the fields, so that they run as compiled code and share what they have
+    in common. The outer generator keeps later filters above the parse, and the optimizer infers none below it.
     """
 
-    def both(whole: Column, p: Payload) -> Column:
-        error = F.when(~whole, F.lit(spec.not_object)).otherwise(spec.error(p))
-        row = F.struct(*[c.alias(n) for n, c in spec.columns(p).items()])
-        return F.struct(error.alias("error"), row.alias("_row"))
+    def field(name: str) -> Column:
+        value = F.try_variant_get("_v", f"$.{name}", "variant")
+        kind = F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+        text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        return F.struct(kind.alias("kind"), value.alias("value"), text.alias("text")).alias(f"_f_{name}")
 
+    def of(name: str) -> Field:
+        return Field(F.col(f"_f_{name}"))
+
+    # the JVM leaves methods of over 8,000 bytes uncompiled, and the checks of a payload are longer in one method
+    df.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     kept = [c for c in df.columns if c != payload]
-    made = df.select(*kept, F.inline_outer(spec.bound(payload, both)))
-    return made.withColumn("_row", F.when(F.col("error").isNull(), F.col("_row")))
+    fields = [f"_f_{n}" for n in spec.fields]
+    parsed = df.select(*kept, F.try_parse_json(payload).alias("_v"))
+    whole = F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT")
+    read = parsed.select(*kept, whole.alias("_whole"), *[field(n) for n in spec.fields])
+    error = F.when(~F.col("_whole"), F.lit(spec.not_object)).otherwise(spec.error(of))
+    judged = read.select(*kept, F.struct(error.alias("error"), *fields).alias("_judged"))
+    bound = judged.select(*kept, F.inline_outer(F.array("_judged")))
+    row = F.struct(*[c.alias(n) for n, c in spec.columns(of).items()])
+    return bound.select(*kept, "error", F.when(F.col("error").isNull(), row).alias("_row"))
 
 
 def split_valid(df: DataFrame, spec: Spec, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -152,12 +148,10 @@ def _not_in(field: Field, allowed: list[str]) -> Column:
 # ------------------------------------------------------------------ Q1 traffic
 def _traffic_error(p: Payload) -> Column:
     names = ("url", "method", "headers", "body")
-    missing = F.array_compact(F.array(*[F.when(~p(n).present, F.lit(n)) for n in names]))
+    missing = F.concat_ws(", ", *[F.when(~p(n).present, F.lit(n)) for n in names])
     env, ts = p("environment"), p("timestamp")
     bad_env = env.given & ~F.coalesce(F.lower(env.clean()).isin(dims.ENVIRONMENTS), F.lit(False))
-    listed = F.when(
-        F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", "))
-    )
+    listed = F.when(missing != "", F.concat(F.lit("Missing required fields: "), missing))
     return F.coalesce(
         listed,
         _first(
@@ -202,19 +196,16 @@ TRAFFIC = Spec(_TRAFFIC_FIELDS, _traffic_error, _traffic_columns, "JSON request
 # ------------------------------------------------------------------ Q3 events
 def _event_error(p: Payload) -> Column:
     headers = p("headers")
-    faults = F.array_compact(
-        F.array(
-            F.when(p("url").clean().isNull(), F.lit("url")),
-            F.when(~headers.given, F.lit("headers")).when(
-                ~headers.is_object, F.lit("headers must be an object")
-            ),
-            F.when(p("method").clean(16).isNull(), F.lit("method")),
-            F.when(p("timestamp").timestamp.isNull(), F.lit("timestamp")),
-            F.when(_not_in(p("guard_action"), dims.GUARD_ACTIONS), F.lit("guard_action")),
-            F.when(p("risk_score").number(0, 1).isNull(), F.lit("risk_score")),
-        )
+    faults = F.concat_ws(
+        ", ",
+        F.when(p("url").clean().isNull(), F.lit("url")),
+        F.when(~headers.given, F.lit("headers")).when(~headers.is_object, F.lit("headers must be an object")),
+        F.when(p("method").clean(16).isNull(), F.lit("method")),
+        F.when(p("timestamp").timestamp.isNull(), F.lit("timestamp")),
+        F.when(_not_in(p("guard_action"), dims.GUARD_ACTIONS), F.lit("guard_action")),
+        F.when(p("risk_score").number(0, 1).isNull(), F.lit("risk_score")),
     )
-    return F.when(F.size(faults) > 0, F.concat(F.lit("Invalid payload: "), F.array_join(faults, ", ")))
+    return F.when(faults != "", F.concat(F.lit("Invalid payload: "), faults))
 
 
 def _event_columns(p: Payload) -> dict[str, Column]:
@@ -270,8 +261,12 @@ RULES = Spec(_RULE_FIELDS, _rule_error, _rule_columns)
 def split_new_rules(
     df: DataFrame, rules: DataFrame, order: str, payload: str = "payload"
 ) -> tuple[DataFrame, DataFrame]:
-    """Q4 with the key: a code that exists, or that an earlier valid row has taken, is rejected."""
+    """Q4 with the key: a code that exists, or that an earlier valid row has taken, is rejected.
+
+    Valid rows are met several times, so they are written once; they have no payload any more.
+    """
     valid, rejected = split_valid(df, RULES, payload)
+    valid = checkpoint(valid)
     first = valid.groupBy("rule_code").agg(F.min(order).alias("_first"))
     state = valid.join(first, "rule_code").join(
         rules.select("rule_code", F.lit(True).alias("_known")), "rule_code", "left"
