@@ -54,3 +54,26 @@ def test_stage_drops_pairs_beyond_four_bits(spark):
     component = brute_jaccard([(r["doc_id"], r["text"]) for r in docs.collect()])
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     assert kept == {i for i, low in component.items() if i == low} and 177 not in kept
+
+
+def test_stage_takes_pairs_from_fingerprints(spark, monkeypatch):
+    """The stage searches the fingerprints of all texts, and the pairs found connect what the radius connects."""
+    from tidegate.llm import jaccard, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *rest: seen.append(distinct.count()) or links(distinct, *rest))
+    rows = docs.selectExpr("xxhash64(text) AS key", "text AS _text")
+    pairs = {(r["a"], r["b"]) for r in jaccard._alike(rows, 5).collect()}
+    prints = {r["key"]: simhash.simhash(r["_text"], 5) & simhash.MASK for r in rows.collect()}
+    assert seen == [len(set(prints.values()))]
+    near = {(max(x, y), min(x, y)) for x in prints for y in prints if x != y and (prints[x] ^ prints[y]).bit_count() <= jaccard.RADIUS}
+    assert pairs and pairs <= near
+    root = {k: k for k in prints}
+    for a, b in pairs:
+        root = {k: root[b] if r == root[a] else r for k, r in root.items()}
+    assert all(root[a] == root[b] for a, b in near)
+    del seen[:]
+    corpus_pipeline.near_dedup(spark, docs, SF).count()
+    assert len(seen) == 1
