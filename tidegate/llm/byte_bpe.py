@@ -69,8 +69,10 @@ class ByteBpe:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.split = regex.compile(SPLIT).findall
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        #: Ids joined by commas and bytes decoded from the ids, of pre-tokens met lately and before. Two tables of
+        #: plain strings each: the garbage collector walks over tuples, and joins read them without a step of Python.
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self._turn()
 
     def merged(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, by the index of pair occurrences over all of them."""
@@ -130,15 +132,23 @@ class ByteBpe:
         counts = np.concatenate([[0], np.cumsum(np.array(symbols[:-1], np.int64) >= 0)])[ends].tolist() if len(data) else [0] * len(words)
         return [left_over[a:b] for a, b in zip([0, *counts], counts)]
 
-    def _learn(self, tokens: set[str]) -> dict[str, tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, bytes decoded from the ids) of pre-tokens not known yet."""
-        new = list(tokens)
-        made = {}
+    def _turn(self) -> None:
+        self.ids_of = {t: str(i) for t, i in self.special.items()}
+        self.data_of = {t: self.data[i] for t, i in self.special.items()}
+
+    def _learn(self, tokens: set[str]) -> None:
+        new, (ids_then, data_then) = [], self.older
+        for t in tokens:
+            known = ids_then.get(t)
+            if known is None:
+                new.append(t)
+            else:
+                self.ids_of[t], self.data_of[t] = known, data_then[t]
         for at in range(0, len(new), INDEXED):
             part = new[at : at + INDEXED]
             for token, ids in zip(part, self.merged([t.encode("utf-8", "surrogatepass") for t in part])):
-                made[token] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.data.__getitem__, ids)))
-        return made
+                self.ids_of[token] = ",".join(map(str, ids))
+                self.data_of[token] = b"".join(map(self.data.__getitem__, ids))
 
     def round_trips(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, all ids joined by commas, the text decoded from them) of each whole text."""
@@ -150,26 +160,20 @@ class ByteBpe:
                 cut.append(self.split(text))
             else:
                 cut.append([t for i, part in enumerate(self.marks.split(text)) for t in ([part] if i % 2 else self.split(part))])
-        if len(self.cache) >= CACHE:
-            self.older, self.cache = self.cache, {}
-        wanted = {t for tokens in cut for t in tokens}
-        known = {t: (1, str(i), self.data[i]) for t, i in self.special.items() if t in wanted}
-        fresh = set()
-        for t in wanted:
-            if t not in known:
-                value = self.cache.get(t) or self.older.get(t)
-                if value is None:
-                    fresh.add(t)
-                else:
-                    known[t] = self.cache[t] = value
-        learnt = self._learn(fresh)
-        known |= learnt
-        self.cache |= {t: v for t, v in learnt.items() if len(t) <= KEPT_CHARS}
+        if len(self.ids_of) >= CACHE:
+            self.older = self.ids_of, self.data_of
+            self._turn()
+        fresh = set().union(*cut).difference(self.ids_of)
+        self._learn(fresh)
         out = []
         for tokens in cut:
-            made = [known[t] for t in tokens]
-            decoded = b"".join([m[2] for m in made]).decode("utf-8", "replace")
-            out.append((sum([m[0] for m in made]), ",".join([m[1] for m in made]), decoded))
+            # a pre-token has at least one id
+            ids = ",".join(map(self.ids_of.__getitem__, tokens))
+            decoded = b"".join(map(self.data_of.__getitem__, tokens)).decode("utf-8", "replace")
+            out.append((ids.count(",") + 1 if ids else 0, ids, decoded))
+        for t in fresh:
+            if len(t) > KEPT_CHARS:
+                del self.ids_of[t], self.data_of[t]
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from tidegate.llm.common import id_and_text, map_texts, worker_cache
 from tidegate.llm.tokencount import PRE_TOKEN, SPACE, splittable
 
-#: Remembered pair tests; and pre-tokens in each of the two generations of a worker's cache.
+#: Remembered pair tests; and pre-tokens after which a worker's cache starts anew, with the last one beside it.
 PAIRS = 300_000
-CACHE = 120_000
+CACHE = 180_000
 
 
 class PieceBpe:
@@ -52,9 +52,17 @@ class PieceBpe:
                 if piece[:n] in self.automaton:
                     self.shorter[piece] = piece[:n]
                     break
+        #: The text of each id that is neither a byte nor, in front of a text, cut.
+        self.plain = [
+            None if kind == 6 else "" if kind == 3 else self.unknown_text if kind == 2 else piece.replace(SPACE, " ")
+            for piece, kind in zip(self.pieces, self.types)
+        ]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: Ids joined by commas and text decoded from the ids, of pre-tokens met lately and before. Two tables of plain
+        #: strings each: the garbage collector walks over tuples, and joins read them without a step of Python.
+        self.ids_of: dict[str, str] = {}
+        self.text_of: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
 
     def merged(self, text: str) -> list[str]:
         """Merging by the rule itself: the neighbours whose joined piece scores best, leftmost first."""
@@ -113,36 +121,37 @@ class PieceBpe:
                 at -= len(last)
                 piece = shorter.get(last)
 
-    def token(self, token: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, text decoded from the ids) of a pre-token."""
-        known = self.cache.get(token)
-        if known is None:
-            if len(self.cache) >= CACHE:
-                self.older = dict(self.cache)
-                self.cache.clear()
-            known = self.older.get(token)
-        if known is None:
-            ids = []
-            for piece in self.split(token.replace(" ", SPACE)):
-                number = self.ids.get(piece)
-                if number is not None:
-                    ids.append(number)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-                else:
-                    ids.append(self.unknown)
-            decoded = self._text(ids, False)
-            known = len(ids), ",".join(map(str, ids)), token if decoded == token else decoded
-        self.cache[token] = known
-        return known
+    def _learn(self, token: str) -> None:
+        """Enters a pre-token; there is at least one id."""
+        known = self.older[0].get(token)
+        if known is not None:
+            self.ids_of[token], self.text_of[token] = known, self.older[1][token]
+            return
+        ids = []
+        for piece in self.split(token.replace(" ", SPACE)):
+            number = self.ids.get(piece)
+            if number is not None:
+                ids.append(number)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            else:
+                ids.append(self.unknown)
+        decoded = self._text(ids, False)
+        self.ids_of[token] = ",".join(map(str, ids))
+        self.text_of[token] = token if decoded == token else decoded
 
     def round_trip(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, all ids joined by commas, the text decoded from them) of a whole text."""
         if not text:
             return 0, "", ""
-        get, slow = self.cache.get, self.token
-        made = [get(t) or slow(t) for t in PRE_TOKEN.findall(" " + text.replace(SPACE, " "))]
-        return sum([m[0] for m in made]), ",".join([m[1] for m in made]), "".join([m[2] for m in made])[1:]
+        if len(self.ids_of) >= CACHE:
+            self.older = self.ids_of, self.text_of
+            self.ids_of, self.text_of = {}, {}
+        tokens = PRE_TOKEN.findall(" " + text.replace(SPACE, " "))
+        for token in set(tokens).difference(self.ids_of):
+            self._learn(token)
+        ids = ",".join(map(self.ids_of.__getitem__, tokens))
+        return ids.count(",") + 1, ids, "".join(map(self.text_of.__getitem__, tokens))[1:]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, without begin or end; none for null and empty texts."""
@@ -156,6 +165,10 @@ class PieceBpe:
 
     def _text(self, ids: list[int], first: bool) -> str:
         """`first` says whether the ids begin a text."""
+        if not first:
+            parts = [self.plain[i] for i in ids]
+            if None not in parts:
+                return "".join(parts)
         out: list[str] = []
         held = bytearray()
 
